@@ -50,21 +50,21 @@ UNICODE_SPACES = "".join(
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
-def is_ascii(text: Column) -> Column:
-    return F.length(text) == F.octet_length(text)
-
-
-def fold(text: Column) -> Column:
-    """Lower case with full case folding. Pure ASCII text skips the expansions."""
+def fold_sql(text: str) -> str:
+    """SQL for lower case with full case folding; pure ASCII skips the expansions."""
     expanded = text
     for source, target in CASEFOLD_EXPANSIONS.items():
-        expanded = F.replace(expanded, F.lit(source), F.lit(target))
-    return F.when(is_ascii(text), F.lower(text)).otherwise(F.lower(expanded))
+        expanded = f"replace({expanded}, '{source}', '{target}')"
+    return f"if(length({text}) = octet_length({text}), lower({text}), lower({expanded}))"
+
+
+def normal_sql(text: str) -> str:
+    """SQL for case-folded text with everything but ``a-z0-9`` deleted."""
+    return f"regexp_replace({fold_sql(text)}, '[^a-z0-9]+', '')"
 
 
-def normalize(text: Column) -> Column:
-    """Case-folded text with everything but ``a-z0-9`` deleted."""
-    return F.regexp_replace(fold(text), "[^a-z0-9]+", "")
+def normalize(name: str) -> Column:
+    return F.expr(normal_sql(name))
 
 
 def strip(text: Column) -> Column:

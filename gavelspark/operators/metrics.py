@@ -33,13 +33,10 @@ def rate(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def confidence_bin(confidence: Column) -> Column:
+def confidence_bin(name: str) -> Column:
     """1..10, or 0 for a confidence that falls in no bin."""
-    above = None
-    for edge in BIN_EDGES[:-1]:
-        step = (confidence > edge).cast("int")
-        above = step if above is None else above + step
-    return F.when(confidence <= BIN_EDGES[-1], above).otherwise(F.lit(0))
+    above = " + ".join(f"int({name} > {edge}D)" for edge in BIN_EDGES[:-1])
+    return F.expr(f"if({name} <= {BIN_EDGES[-1]}D, {above}, 0)")
 
 
 def attribute_slices(attributes: Sequence[str], cut: float = SLICE_CUT) -> dict[str, Column]:
@@ -91,7 +88,7 @@ def decision_cube(
         (F.sum("_latency") if latency else F.max(F.lit(None).cast("double"))).alias("latency_sum"),
     ]
     keys = [*by, *flags, "expected", "predicted", "bin"]
-    cells = base.withColumn("bin", confidence_bin(F.col("_confidence"))).groupBy(*keys).agg(*aggregates)
+    cells = base.withColumn("bin", confidence_bin("_confidence")).groupBy(*keys).agg(*aggregates)
     if slices is None:
         return cells
     names = F.array_compact(
@@ -102,52 +99,57 @@ def decision_cube(
     )
 
 
-def pair(expected: str, predicted: str) -> Column:
-    return (F.col("expected") == expected) & (F.col("predicted") == predicted)
-
-
-def _cells(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
-
-
 def confusion_aggregates() -> list[Column]:
     return [
-        _cells(pair(e, p)).alias(f"n_{e.lower()}_{p.lower()}") for e in LABELS for p in LABELS
+        F.expr(
+            f"coalesce(sum(if(expected = '{e}' and predicted = '{p}', n, 0L)), 0L) as {_n(e, p)}"
+        )
+        for e in LABELS
+        for p in LABELS
     ]
 
 
-def _n(e: str, p: str) -> Column:
-    return F.col(f"n_{e.lower()}_{p.lower()}")
-
+def _n(e: str, p: str) -> str:
+    return f"n_{e.lower()}_{p.lower()}"
 
-def _support(label: str) -> Column:
-    return _n(label, ALLOW) + _n(label, ESCALATE) + _n(label, REJECT)
 
+def _support(label: str) -> str:
+    return "(" + " + ".join(_n(label, other) for other in LABELS) + ")"
 
-def _predicted(label: str) -> Column:
-    return _n(ALLOW, label) + _n(ESCALATE, label) + _n(REJECT, label)
 
+def _predicted(label: str) -> str:
+    return "(" + " + ".join(_n(other, label) for other in LABELS) + ")"
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(rate(part, whole), F.lit(0.0))
 
+def _rate(part: str, whole: str) -> str:
+    return f"double({part}) / nullif(double({whole}), 0D)"
 
-def f1(label: str) -> Column:
-    """2tp / (2tp + fp + fn): one division of integers, 0 for an absent label."""
-    return _ratio(2 * _n(label, label), _support(label) + _predicted(label))
-
-
-def macro_f1() -> Column:
-    """Mean over all three labels, absent ones included."""
-    return (f1(ALLOW) + f1(ESCALATE) + f1(REJECT)) / F.lit(3.0)
 
+def _ratio(part: str, whole: str) -> str:
+    return f"coalesce({_rate(part, whole)}, 0D)"
 
-def false_acceptance() -> Column:
-    return rate(_n(REJECT, ALLOW), _support(REJECT))
 
-
-def false_rejection() -> Column:
-    return rate(_n(ALLOW, REJECT), _support(ALLOW))
+def _f1(label: str) -> str:
+    """2tp / (2tp + fp + fn): one division of integers, 0 for an absent label."""
+    return _ratio(f"2 * {_n(label, label)}", f"{_support(label)} + {_predicted(label)}")
+
+
+# Mean over all three labels, absent ones included.
+MACRO_F1 = f"({_f1(ALLOW)} + {_f1(ESCALATE)} + {_f1(REJECT)}) / 3D"
+FALSE_ACCEPTANCE = _rate(_n(REJECT, ALLOW), _support(REJECT))
+FALSE_REJECTION = _rate(_n(ALLOW, REJECT), _support(ALLOW))
+METRICS = {
+    "rows": "rows",
+    "accuracy": _rate("correct", "rows"),
+    "macro_f1": MACRO_F1,
+    "false_acceptance_rate": FALSE_ACCEPTANCE,
+    "false_rejection_rate": FALSE_REJECTION,
+    "escalation_rate": _rate(_predicted(ESCALATE), "rows"),
+    "citation_accuracy": _rate("cited_right", "cited"),
+    "remediation_accuracy": _rate("remedied_right", "remedied"),
+    "mean_absolute_calibration": _rate("gap_sum", "rows"),
+    "mean_latency_ms": _rate("latency_sum", "rows"),
+}
 
 
 def metric_row(cube: DataFrame, by: Sequence[str] = (), *, levels: Sequence[Sequence[str]] | None = None) -> DataFrame:
@@ -155,84 +157,64 @@ def metric_row(cube: DataFrame, by: Sequence[str] = (), *, levels: Sequence[Sequ
     level leaves out read ``all``."""
     sums = [
         *confusion_aggregates(),
-        F.sum("n").alias("rows"),
-        *(F.sum(m).alias(m) for m in MEASURES if m != "n"),
+        F.expr("sum(n) as rows"),
+        *(F.expr(f"sum({m}) as {m}") for m in MEASURES if m != "n"),
     ]
     if levels is None:
         totals = cube.groupBy(*by).agg(*sums)
-        keys = [F.col(c) for c in by]
+        keys = list(by)
     else:
         totals = cube.groupingSets([[F.col(c) for c in level] for level in levels], *by).agg(
             *sums, *(F.grouping(c).alias(f"_grouped_{c}") for c in by)
         )
-        keys = [
-            F.when(F.col(f"_grouped_{c}") == 1, F.lit("all")).otherwise(F.col(c).cast("string")).alias(c)
-            for c in by
-        ]
-    predicted_escalate = _predicted(ESCALATE)
-    return totals.select(
-        *keys,
-        F.col("rows").cast("long").alias("rows"),
-        rate(F.col("correct"), F.col("rows")).alias("accuracy"),
-        macro_f1().alias("macro_f1"),
-        false_acceptance().alias("false_acceptance_rate"),
-        false_rejection().alias("false_rejection_rate"),
-        rate(predicted_escalate, F.col("rows")).alias("escalation_rate"),
-        rate(F.col("cited_right"), F.col("cited")).alias("citation_accuracy"),
-        rate(F.col("remedied_right"), F.col("remedied")).alias("remediation_accuracy"),
-        rate(F.col("gap_sum"), F.col("rows")).alias("mean_absolute_calibration"),
-        rate(F.col("latency_sum"), F.col("rows")).alias("mean_latency_ms"),
-    )
+        keys = [f"if(_grouped_{c} = 1, 'all', string({c})) as {c}" for c in by]
+    return totals.selectExpr(*keys, *(f"{sql} as {name}" for name, sql in METRICS.items()))
 
 
 def confusion_matrix(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Dense: nine rows per group, zeros included, in label order."""
     totals = cube.groupBy(*by).agg(*confusion_aggregates())
-    entries = F.array(
-        *(
-            F.struct(F.lit(e).alias("expected"), F.lit(p).alias("predicted"), _n(e, p).alias("n"))
-            for e in LABELS
-            for p in LABELS
-        )
+    entries = ", ".join(
+        f"struct('{e}' as expected, '{p}' as predicted, {_n(e, p)} as n)" for e in LABELS for p in LABELS
     )
-    return totals.select(*by, F.inline(entries))
+    return totals.selectExpr(*by, f"inline(array({entries}))")
 
 
 def classification_report(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy and both averages."""
     totals = cube.groupBy(*by).agg(*confusion_aggregates())
-    rows = sum((_support(label) for label in LABELS[1:]), _support(LABELS[0]))
-
-    def entry(label, precision, recall, score, support):
-        return F.struct(
-            F.lit(label).alias("label"), precision.alias("precision"), recall.alias("recall"),
-            score.alias("f1_score"), support.cast("long").alias("support"),
-        )
-
-    parts = {
-        label: (
-            _ratio(_n(label, label), _predicted(label)),
-            _ratio(_n(label, label), _support(label)),
-            f1(label),
-            _support(label),
-        )
-        for label in LABELS
-    }
+    per_class = totals.selectExpr(
+        *by,
+        " + ".join(_support(label) for label in LABELS) + " as _rows",
+        " + ".join(_n(label, label) for label in LABELS) + " as _right",
+        *(
+            f"""struct('{label}' as label, {_ratio(_n(label, label), _predicted(label))} as precision,
+                {_ratio(_n(label, label), _support(label))} as recall,
+                {_f1(label)} as f1_score, {_support(label)} as support) as _{label}"""
+            for label in LABELS
+        ),
+    )
+    accuracy = _rate("_right", "_rows")
 
-    def macro(k):
-        return (parts[ALLOW][k] + parts[ESCALATE][k] + parts[REJECT][k]) / F.lit(3.0)
+    def macro(field: str) -> str:
+        return "(" + " + ".join(f"_{label}.{field}" for label in LABELS) + f") / 3D as {field}"
 
-    def weighted(k):
-        return rate(sum((parts[l][k] * parts[l][3] for l in LABELS[1:]), parts[ALLOW][k] * parts[ALLOW][3]), rows)
+    def weighted(field: str) -> str:
+        parts = " + ".join(f"_{label}.{field} * _{label}.support" for label in LABELS)
+        return f"({parts}) / nullif(double(_rows), 0D) as {field}"
 
-    accuracy = rate(_n(ALLOW, ALLOW) + _n(ESCALATE, ESCALATE) + _n(REJECT, REJECT), rows)
-    entries = F.array(
-        *(entry(label, *parts[label]) for label in LABELS),
-        entry("accuracy", accuracy, accuracy, accuracy, rows),
-        entry("macro avg", macro(0), macro(1), macro(2), rows),
-        entry("weighted avg", weighted(0), weighted(1), weighted(2), rows),
+    fields = ("precision", "recall", "f1_score")
+    entries = [f"_{label}" for label in LABELS]
+    entries.append(
+        "struct('accuracy' as label, "
+        + ", ".join(f"{accuracy} as {field}" for field in fields)
+        + ", _rows as support)"
     )
-    return totals.select(*by, F.inline(entries))
+    for name, average in (("macro avg", macro), ("weighted avg", weighted)):
+        entries.append(
+            f"struct('{name}' as label, " + ", ".join(map(average, fields)) + ", _rows as support)"
+        )
+    return per_class.selectExpr(*by, f"inline(array({', '.join(entries)}))")
 
 
 def binned_calibration_error(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -251,10 +233,8 @@ def binned_calibration_error(cube: DataFrame, by: Sequence[str] = ()) -> DataFra
 def metric_long(row: DataFrame, keys: Sequence[str], drop_null: bool = False) -> DataFrame:
     """Metric columns as (keys, metric, value) rows: the form gates and receipts read."""
     names = [c for c in row.columns if c not in keys]
-    entries = F.array(
-        *(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names)
-    )
-    long = row.select(*keys, F.inline(entries))
+    entries = ", ".join(f"struct('{c}' as metric, double({c}) as value)" for c in names)
+    long = row.selectExpr(*keys, f"inline(array({entries}))")
     return long.filter(F.col("value").isNotNull()) if drop_null else long
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.functions.text import normalize
+from gavelspark.functions.text import normal_sql, normalize
 from gavelspark.schemas import ALLOW, ESCALATE
 
 BROADCAST_CHARACTERS = 4_000_000
@@ -35,14 +35,14 @@ def rules_of(rules: DataFrame, version: str) -> DataFrame:
 
 def with_normal_terms(rules: DataFrame) -> DataFrame:
     """Normalize the terms. One that becomes empty would match every text: refuse it."""
-
-    def normal(term: Column) -> Column:
-        plain = normalize(term)
-        return F.when(F.length(plain) > 0, plain).otherwise(
-            F.raise_error(F.concat(F.lit("rule term has no letter or digit: "), term))
-        )
-
-    return rules.withColumn("terms", F.transform("terms", normal))
+    return rules.withColumn(
+        "terms",
+        F.expr(
+            f"""transform(transform(terms, t -> struct(t as raw, {normal_sql('t')} as plain)),
+                t -> if(length(t.plain) > 0, t.plain,
+                        raise_error(concat('rule term has no letter or digit: ', t.raw))))"""
+        ),
+    )
 
 
 def rule_characters(rules: DataFrame) -> int:
@@ -60,39 +60,19 @@ def _by_version(rules: DataFrame) -> DataFrame:
     )
 
 
-def _rule_struct(rule: Column, hits: Column) -> Column:
-    return F.struct(
-        rule["rule_id"].alias("rule_id"),
-        rule["version"].alias("version"),
-        rule["action"].alias("action"),
-        rule["text"].alias("text"),
-        rule["remediation"].alias("remediation"),
-        rule["ordinal"].alias("ordinal"),
-        hits.alias("hits"),
-    )
-
-
-def _hits(rules: Column, text: Column) -> Column:
+def _hits(rules: str, text: str) -> Column:
     """Rules that match, in declaration order, with the number of terms found."""
-    counted = F.transform(
-        rules,
-        lambda rule: _rule_struct(
-            rule, F.size(F.filter(rule["terms"], lambda term: F.contains(text, term)))
-        ),
+    return F.expr(
+        f"""filter(transform({rules}, r -> struct(
+                r.rule_id, r.version, r.action, r.text, r.remediation, r.ordinal,
+                size(filter(r.terms, t -> contains({text}, t))) as hits)),
+            r -> r.hits > 0)"""
     )
-    return F.filter(counted, lambda rule: rule["hits"] > 0)
-
 
-def _first(hits: Column) -> Column:
-    return F.get(hits, F.lit(0))
 
-
-def _best(hits: Column) -> Column:
-    """Most terms found; declaration order breaks a tie."""
-    ranked = F.transform(
-        hits, lambda rule: F.struct((-rule["hits"]).alias("k"), rule["ordinal"].alias("o"), rule.alias("rule"))
-    )
-    return F.array_min(ranked)["rule"]
+FIRST = "get({hits}, 0)"
+# Most terms found; declaration order breaks a tie.
+BEST = "array_min(transform({hits}, r -> struct(-r.hits as k, r.ordinal as o, r as rule))).rule"
 
 
 def match_rules(
@@ -113,23 +93,21 @@ def match_rules(
     if rule_characters(rules) > broadcast_characters:
         return _match_by_fragments(cases, rules, content, version, key, pinned_version)
     by_version = _by_version(rules)
-    text = cases.withColumn("_text", normalize(F.col(content)))
+    text = cases.withColumn("_text", normalize(content))
     if pinned_version is not None:
         pinned = by_version.filter(F.col("_version") == pinned_version).select("_rules")
         text = text.withColumn("_pinned_rules", pinned.scalar()).withColumn(
-            "_pinned", _hits(F.col("_pinned_rules"), F.col("_text"))
+            "_pinned", _hits("_pinned_rules", "_text")
         )
     matched = text.join(
         F.broadcast(by_version), F.col(version) == F.col("_version"), "left"
-    ).withColumn("_hits", _hits(F.col("_rules"), F.col("_text")))
-    columns = [
-        *cases.columns,
-        _first(F.col("_hits")).alias("first_rule"),
-        _best(F.col("_hits")).alias("best_rule"),
+    ).withColumn("_hits", _hits("_rules", "_text"))
+    answers = [
+        FIRST.format(hits="_hits") + " as first_rule", BEST.format(hits="_hits") + " as best_rule"
     ]
     if pinned_version is not None:
-        columns.append(_first(F.col("_pinned")).alias("pinned_rule"))
-    return matched.select(*columns)
+        answers.append(FIRST.format(hits="_pinned") + " as pinned_rule")
+    return matched.select(*cases.columns, *map(F.expr, answers))
 
 
 def _match_by_fragments(
@@ -162,7 +140,7 @@ def _match_by_fragments(
                 F.explode(
                     F.array_distinct(
                         F.regexp_extract_all(
-                            normalize(F.col(content)), F.lit(window_pattern), F.lit(1)
+                            normalize(content), F.lit(window_pattern), F.lit(1)
                         )
                     )
                 ).alias("_window"),
@@ -178,11 +156,11 @@ def _match_by_fragments(
             & (F.col("_head") == F.col("_fragment"))
             & F.startswith(F.col("_window"), F.col("term")),
         )
-        rule = [F.col(c) for c in ("version", "rule_id", "action", "text", "remediation", "ordinal")]
+        rule = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
         return (
             pairs.groupBy("_key", *rule, "position").agg(F.lit(1).alias("_one"))
             .groupBy("_key", *rule).agg(F.count("*").cast("int").alias("hits"))
-            .select("_key", _rule_struct(F.struct(*rule), F.col("hits")).alias("rule"))
+            .select("_key", F.struct(*rule, "hits").alias("rule"))
         )
 
     hits = found(F.col(version)).groupBy("_key").agg(
@@ -198,51 +176,44 @@ def _match_by_fragments(
     return matched
 
 
-def verdict(rule: Column, *, with_evidence: bool, check_evidence: bool = False) -> Column:
-    """Result struct of a matched rule (or of a null one: nothing restricted)."""
-    evidence = F.when(rule.isNotNull() & F.lit(with_evidence), F.array(rule["text"])).otherwise(
-        F.array().cast("array<string>")
-    )
-    result = F.struct(
-        F.coalesce(rule["action"], F.lit(ALLOW)).alias("decision"),
-        rule["rule_id"].alias("policy"),
-        F.when(rule.isNull(), F.lit("No restricted policy topic was detected."))
-        .otherwise(
-            F.concat(
-                F.lit("The content matches "), rule["rule_id"],
-                F.lit(" under policy "), rule["version"], F.lit("."),
-            )
-        )
-        .alias("reason"),
-        evidence.alias("evidence"),
-        F.when(rule.isNull(), F.lit(UNMATCHED))
-        .otherwise(F.lit(MATCHED_WITH_EVIDENCE if with_evidence else MATCHED_WITHOUT_EVIDENCE))
-        .alias("confidence"),
-        rule["remediation"].alias("remediation"),
-        F.coalesce(rule["action"] == ESCALATE, F.lit(False)).alias("review_required"),
-    )
-    return require_evidence(result) if check_evidence else result
+def verdict(rule: str, *, with_evidence: bool, check_evidence: bool = False) -> Column:
+    """Result struct of a matched rule column (null: nothing restricted was found)."""
+    return F.expr(verdict_sql(rule, with_evidence=with_evidence, check_evidence=check_evidence))
 
 
-def require_evidence(result: Column) -> Column:
+def verdict_sql(rule: str, *, with_evidence: bool, check_evidence: bool = False) -> str:
+    none = "cast(array() as array<string>)"
+    evidence = f"if({rule} is null, {none}, array({rule}.text))" if with_evidence else none
+    sure = MATCHED_WITH_EVIDENCE if with_evidence else MATCHED_WITHOUT_EVIDENCE
+    result = f"""struct(
+        coalesce({rule}.action, '{ALLOW}') as decision,
+        {rule}.rule_id as policy,
+        if({rule} is null, 'No restricted policy topic was detected.',
+           concat('The content matches ', {rule}.rule_id, ' under policy ', {rule}.version, '.')) as reason,
+        {evidence} as evidence,
+        if({rule} is null, {UNMATCHED}D, {sure}D) as confidence,
+        {rule}.remediation as remediation,
+        coalesce({rule}.action = '{ESCALATE}', false) as review_required)"""
+    return require_evidence_sql(result) if check_evidence else result
+
+
+def require_evidence_sql(result: str) -> str:
     """A policy without evidence becomes an escalation for review."""
-    missing = result["policy"].isNotNull() & (F.size(result["evidence"]) == 0)
-    return F.struct(
-        F.when(missing, F.lit(ESCALATE)).otherwise(result["decision"]).alias("decision"),
-        result["policy"].alias("policy"),
-        F.when(missing, F.lit("A rule matched, but policy evidence was insufficient."))
-        .otherwise(result["reason"])
-        .alias("reason"),
-        result["evidence"].alias("evidence"),
-        F.when(missing, F.lit(INSUFFICIENT_EVIDENCE)).otherwise(result["confidence"]).alias("confidence"),
-        result["remediation"].alias("remediation"),
-        F.when(missing, F.lit(True)).otherwise(result["review_required"]).alias("review_required"),
-    )
+    return f"""transform(array({result}), r -> if(r.policy is not null and size(r.evidence) = 0,
+        struct('{ESCALATE}' as decision, r.policy as policy,
+               'A rule matched, but policy evidence was insufficient.' as reason,
+               r.evidence as evidence, {INSUFFICIENT_EVIDENCE}D as confidence,
+               r.remediation as remediation, true as review_required),
+        r))[0]"""
+
+
+def require_evidence(result: str) -> Column:
+    return F.expr(require_evidence_sql(result))
 
 
 def _decided(matched: DataFrame, rule: str, cases: DataFrame, **options) -> DataFrame:
     return matched.select(
-        *cases.columns, verdict(F.col(rule), **options).alias("_result")
+        *cases.columns, verdict(rule, **options).alias("_result")
     ).select(*cases.columns, "_result.*")
 
 
@@ -275,17 +246,13 @@ def decide_all(cases: DataFrame, rules: DataFrame, pinned_version: str = "v1", *
     """The three built-in systems in one pass over the cases, one row per case and system."""
     matched = match_rules(cases, rules, pinned_version=pinned_version, **options)
 
-    def named(name: str, rule: str, **how) -> Column:
-        return F.struct(
-            F.lit(name).alias("system"), verdict(F.col(rule), **how).alias("result")
-        )
-
-    answers = F.array(
-        named("static_policy", "pinned_rule", with_evidence=False),
-        named("versioned_policy", "first_rule", with_evidence=True),
-        named("ranked_policy", "best_rule", with_evidence=True, check_evidence=True),
-    )
-    return matched.select(*cases.columns, F.inline(answers)).select(
+    answers = [
+        ("static_policy", verdict_sql("pinned_rule", with_evidence=False)),
+        ("versioned_policy", verdict_sql("first_rule", with_evidence=True)),
+        ("ranked_policy", verdict_sql("best_rule", with_evidence=True, check_evidence=True)),
+    ]
+    entries = ", ".join(f"struct('{name}' as system, {result} as result)" for name, result in answers)
+    return matched.select(*cases.columns, F.expr(f"inline(array({entries}))")).select(
         *cases.columns, "system", "result.*"
     )
 

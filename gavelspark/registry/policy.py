@@ -153,12 +153,12 @@ def evidence_check(spark, folder):
     """A system that loses its evidence on every other document."""
     cases = document_cases(spark, folder)
     matched = po.match_rules(cases, document_rules(spark, folder))
-    result = po.verdict(F.col("first_rule"), with_evidence=True)
+    result = po.verdict("first_rule", with_evidence=True)
     even = F.substring("case_id", 3, 20).cast("long") % 2 == 0
     lost = matched.withColumn("_r", result).withColumn(
         "_r", F.when(even, F.col("_r").withField("evidence", F.array().cast("array<string>"))).otherwise(F.col("_r"))
     )
-    return lost.withColumn("_r", po.require_evidence(F.col("_r"))).select(
+    return lost.withColumn("_r", po.require_evidence("_r")).select(
         "case_id", "_r.decision", "_r.confidence", "_r.review_required"
     )
 

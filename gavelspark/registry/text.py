@@ -46,12 +46,12 @@ union all
 select 'page' as kind, page_id as id, md5({sql_normal("html")}) as digest from pages""",
 )
 def text_normalize(spark, folder):
-    marked = F.concat("text", F.lit(" Straße ﬁn ẞ Café"))
-    documents = table(spark, folder, "documents").select(
-        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.md5(tx.normalize(marked)).alias("digest")
+    marked = F.concat("text", F.lit(" Straße ﬁn ẞ Café")).alias("marked")
+    documents = table(spark, folder, "documents").select("doc_id", marked).select(
+        F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.md5(tx.normalize("marked")).alias("digest")
     )
     pages = table(spark, folder, "pages").select(
-        F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.md5(tx.normalize(F.col("html"))).alias("digest")
+        F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.md5(tx.normalize("html")).alias("digest")
     )
     return documents.unionByName(pages)
 
