@@ -152,23 +152,38 @@ METRICS = {
 }
 
 
-def metric_row(cube: DataFrame, by: Sequence[str] = (), *, levels: Sequence[Sequence[str]] | None = None) -> DataFrame:
+def metric_row(
+    cube: DataFrame,
+    by: Sequence[str] = (),
+    *,
+    levels: Sequence[Sequence[str]] | None = None,
+    binned: bool = False,
+) -> DataFrame:
     """One metric row per group. ``levels`` are grouping sets over ``by``; the columns a
-    level leaves out read ``all``."""
+    level leaves out read ``all``. ``binned`` adds the binned calibration error, from the
+    same cube."""
+    measures = [m for m in MEASURES if m != "n"]
     sums = [
         *confusion_aggregates(),
         F.expr("sum(n) as rows"),
-        *(F.expr(f"sum({m}) as {m}") for m in MEASURES if m != "n"),
+        *(F.expr(f"sum({m}) as {m}") for m in measures),
     ]
-    if levels is None:
-        totals = cube.groupBy(*by).agg(*sums)
-        keys = list(by)
-    else:
+    if levels is not None:
         totals = cube.groupingSets([[F.col(c) for c in level] for level in levels], *by).agg(
             *sums, *(F.grouping(c).alias(f"_grouped_{c}") for c in by)
         )
         keys = [f"if(_grouped_{c} = 1, 'all', string({c})) as {c}" for c in by]
-    return totals.selectExpr(*keys, *(f"{sql} as {name}" for name, sql in METRICS.items()))
+    else:
+        totals = cube.groupBy(*by, *(["bin"] if binned else [])).agg(*sums)
+        keys = list(by)
+    columns = dict(METRICS)
+    if binned:
+        added = [_n(e, p) for e in LABELS for p in LABELS] + ["rows", *measures]
+        totals = totals.groupBy(*by).agg(
+            *(F.expr(f"sum({c}) as {c}") for c in added), F.expr(f"sum({BIN_GAP}) as bin_gap")
+        )
+        columns["expected_calibration_error"] = _rate("bin_gap", "rows")
+    return totals.selectExpr(*keys, *(f"{sql} as {name}" for name, sql in columns.items()))
 
 
 def confusion_matrix(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -217,16 +232,17 @@ def classification_report(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return per_class.selectExpr(*by, f"inline(array({', '.join(entries)}))")
 
 
+# Distance between accuracy and mean confidence of one bin, times its rows.
+BIN_GAP = "if(bin > 0, abs(correct - confidence_sum), 0D)"
+
+
 def binned_calibration_error(cube: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Calibration error over the confidence bins. Rows in no bin still count in the total."""
     bins = cube.groupBy(*by, "bin").agg(
-        F.sum("n").alias("n"), F.sum("correct").alias("correct"),
-        F.sum("confidence_sum").alias("confidence_sum"),
+        *(F.expr(f"sum({c}) as {c}") for c in ("n", "correct", "confidence_sum"))
     )
-    gap = F.when(F.col("bin") > 0, F.abs(F.col("correct") - F.col("confidence_sum"))).otherwise(0.0)
     return bins.groupBy(*by).agg(
-        F.sum("n").cast("long").alias("rows"),
-        (F.sum(gap) / F.sum("n")).alias("calibration_error"),
+        F.expr("sum(n) as rows"), F.expr(f"sum({BIN_GAP}) / sum(n) as calibration_error")
     )
 
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from gavelspark.functions import decisions as dc
 from gavelspark.operators import gates as gt
 from gavelspark.operators import metrics as mt
-from gavelspark.plans.candidate import evidence
+from gavelspark.plans.candidate import chosen_confidence, evidence, measure
 from gavelspark.registry import registered
 from gavelspark.registry.decisions import CHOSEN, SLICES, probabilities, slices, sql_threshold
 from gavelspark.registry.fixtures import cte, fixture
 from gavelspark.registry.policy import sql_metric_columns
 from gavelspark.sources.sinks import nested_receipt
-from gavelspark.sources.storage import new_folder
+from gavelspark.sources.storage import new_folder, stage
 
 LABELS_SQL = "(values ('ALLOW'), ('ESCALATE'), ('REJECT'))"
 
@@ -176,33 +176,46 @@ def error_taxonomy(spark, folder):
 # ---- gates --------------------------------------------------------------------------
 
 
+MODELS = {
+    "strict": dc.Thresholds(0.95, 0.2, 0.05),
+    "chosen": CHOSEN,
+    "lenient": dc.Thresholds(0.5, 0.8, 0.2),
+}
+
+
 def metric_table(spark, folder):
-    """Evidence of several models: the two probability columns of every model are blended
-    differently, and one model lacks a slice."""
-    scored = fixture(spark, folder, "scored").withColumnsRenamed(
-        {"insult": "identity_attack", "obscene": "sexual_explicit"}
-    ).withColumns(
-        {c: F.col(c).cast("double") for c in ("threat", "identity_attack", "sexual_explicit")}
+    """Evidence of three threshold choices from one pass over the scored rows; one of the
+    models lacks a slice. Written down, as a release gate would find it."""
+    pa, _, pr = probabilities()
+    choices = F.array(
+        *(
+            F.struct(F.lit(name).alias("model_id"), dc.threshold_decision(pa, pr, choice).alias("decision"))
+            for name, choice in MODELS.items()
+        )
+    )
+    decided = (
+        fixture(spark, folder, "scored")
+        .select(
+            "label",
+            F.col("threat").cast("double").alias("threat"),
+            F.col("insult").cast("double").alias("identity_attack"),
+            F.col("obscene").cast("double").alias("_explicit"),
+            *probabilities(),
+            F.inline(choices),
+        )
+        .withColumn("sexual_explicit", F.when(F.col("model_id") != "lenient", F.col("_explicit")))
+        .withColumn("confidence", chosen_confidence())
+    )
+    return stage(
+        measure(decided, split="test", attributes=["threat", "identity_attack", "sexual_explicit"])
     )
-    thresholds = {
-        "strict": dc.Thresholds(0.95, 0.2, 0.05),
-        "chosen": CHOSEN,
-        "lenient": dc.Thresholds(0.5, 0.8, 0.2),
-    }
-    combined = None
-    for name, choice in thresholds.items():
-        attributes = ["threat", "identity_attack"] + ([] if name == "lenient" else ["sexual_explicit"])
-        part = evidence(scored, model_id=name, split="test", thresholds=choice, attributes=attributes)
-        combined = part if combined is None else combined.unionByName(part)
-    return combined
 
 
 def _gate_sql() -> str:
-    models = {"strict": dc.Thresholds(0.95, 0.2, 0.05), "chosen": CHOSEN, "lenient": dc.Thresholds(0.5, 0.8, 0.2)}
     parts = " union all ".join(
         f"select '{m}' as model_id, label, threat, insult as identity_attack, "
         f"{'obscene' if m != 'lenient' else 'false'} as sexual_explicit, p_allow, p_escalate, p_reject, {sql_threshold(t)} as decision from scored"
-        for m, t in models.items()
+        for m, t in MODELS.items()
     )
     far = "cast(count(*) filter (label = 'REJECT' and decision = 'ALLOW' and {w}) as double) / nullif(count(*) filter (label = 'REJECT' and {w}), 0)"
     checks = {
@@ -259,9 +272,9 @@ def _agreement(spark, folder):
     return report.select(models, "*")
 
 
-def _external(spark, folder):
-    """False acceptance of two outside sets: two thirds of the scored rows stand in."""
-    metrics = metric_table(spark, folder).filter(
+def _external(metrics):
+    """False acceptance on an outside set; half the model's own stands in."""
+    metrics = metrics.filter(
         (F.col("slice") == "overall") & (F.col("metric") == "false_acceptance_rate")
     )
     return metrics.select("model_id", (F.col("value") / 2).alias("false_acceptance_rate"))
@@ -281,9 +294,8 @@ complete as (
 
 @registered("complete_release_checks", COMPLETE + "select * from complete")
 def complete_release_checks(spark, folder):
-    checks, _ = gt.complete_release(
-        metric_table(spark, folder), _external(spark, folder), _agreement(spark, folder)
-    )
+    metrics = metric_table(spark, folder)
+    checks, _ = gt.complete_release(metrics, _external(metrics), _agreement(spark, folder))
     return checks.drop("value")
 
 
@@ -295,8 +307,9 @@ def complete_release_checks(spark, folder):
 )
 def complete_release(spark, folder):
     """The model side is the earlier verdict here, and raw metrics in the check list."""
-    earlier = gt.comment_release(metric_table(spark, folder))
-    _, verdict = gt.complete_release(earlier, _external(spark, folder), _agreement(spark, folder))
+    metrics = metric_table(spark, folder)
+    earlier = gt.comment_release(metrics)
+    _, verdict = gt.complete_release(earlier, _external(metrics), _agreement(spark, folder))
     return verdict
 
 
@@ -310,12 +323,13 @@ select model_id, 'public-evidence-v1' as policy, case when a and b and c and d t
        cast((not a)::int + (not b)::int + (not c)::int + (not d)::int as bigint) as failed_checks from public""",
 )
 def public_evidence(spark, folder):
-    external = _external(spark, folder)
+    metrics = metric_table(spark, folder)
+    external = _external(metrics)
     doubled = external.withColumn("false_acceptance_rate", F.col("false_acceptance_rate") * 2)
     audit = _agreement(spark, folder).select(
         "model_id", "case_count", (F.col("model_id") == "strict").alias("complete")
     )
-    _, verdict = gt.public_evidence(metric_table(spark, folder), external, doubled, audit)
+    _, verdict = gt.public_evidence(metrics, external, doubled, audit)
     return verdict
 
 
