@@ -14,6 +14,7 @@ from gavelspark.registry.fixtures import cte, fixture
 from gavelspark.registry.text import sql_normal, sql_string
 from gavelspark.sources import policy_data as pd
 from gavelspark.sources.readers import table
+from gavelspark.sources.storage import spread_small
 
 
 def document_rules(spark, folder):
@@ -35,7 +36,7 @@ def document_rules(spark, folder):
 
 
 def document_cases(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = spread_small(table(spark, folder, "documents"), "doc_id")
     return documents.select(
         F.concat(F.lit("D-"), "doc_id").alias("case_id"),
         F.col("lang").alias("policy_version"),

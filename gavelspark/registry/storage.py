@@ -46,7 +46,9 @@ def jsonl_round_trip(spark, folder):
 def csv_round_trip(spark, folder):
     path = new_folder(spark, "csv")
     rows = fixture(spark, folder, "human_rows").select(*PROMPT_SCHEMA.fieldNames())
-    rows.write.option("quoteAll", "true").option("escape", '"').csv(path, header=True)
+    rows.write.options(
+        quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path, header=True)
     return (
         rd.read_csv(spark, path)
         .groupBy(F.md5("user_input").alias("user_input"), "human_annotation", "toxicity", "jailbreaking")

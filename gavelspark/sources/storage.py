@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
 
@@ -40,3 +41,22 @@ def stage(frame: DataFrame) -> DataFrame:
     path = new_folder(frame.sparkSession, "stage")
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def spread_small(frame: DataFrame, key: str) -> DataFrame:
+    """Spread a table over all cores when it is small and lies in fewer files than cores.
+
+    Costly per-row work on a small file would otherwise run in one task. Larger inputs
+    are left as they are: they have enough splits, and are not worth a shuffle.
+    """
+    spark = frame.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = frame.inputFiles()
+    if not files or len(files) >= cores:
+        return frame
+    listed = spark.read.format("binaryFile").load(files)
+    size = listed.agg(F.sum("length")).first()[0] or 0
+    return frame.repartition(cores, key) if size <= SMALL_INPUT_BYTES else frame
