@@ -146,7 +146,6 @@ def chosen_calibration_error(spark, folder):
     return _calibration(spark, folder, "chosen")
 
 
-CATEGORIES = F.array_compact(F.array("category_1", "category_2"))
 OUTCOME = """case when expected_decision = 'REJECT' and predicted_decision = 'ALLOW' then 'false_accept'
      when expected_decision = 'ALLOW' and predicted_decision = 'REJECT' then 'false_reject'
      when predicted_decision = 'ESCALATE' then 'escalated'
@@ -169,7 +168,9 @@ def outcome_classes(spark, folder):
   union all select 'uncategorized', {OUTCOME} from taxonomy where category_1 is null and category_2 is null) t group by all""",
 )
 def error_taxonomy(spark, folder):
-    records = fixture(spark, folder, "taxonomy").withColumn("categories", CATEGORIES)
+    records = fixture(spark, folder, "taxonomy").withColumn(
+        "categories", F.array_compact(F.array("category_1", "category_2"))
+    )
     return mt.category_outcomes(records)
 
 

@@ -23,50 +23,83 @@ SLICE_CUT = 0.5
 PROBABILITY_COLUMNS = ("p_allow", "p_escalate", "p_reject")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_STRING, _DOUBLE, _INT, _BOOLEAN = T.StringType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
+_STRINGS = T.ArrayType(T.StringType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 RULE_SCHEMA = _struct(
-    "version string, rule_id string, topic string, action string, "
-    "terms array<string>, text string, remediation string, ordinal int"
+    version=_STRING,
+    rule_id=_STRING,
+    topic=_STRING,
+    action=_STRING,
+    terms=_STRINGS,
+    text=_STRING,
+    remediation=_STRING,
+    ordinal=_INT,
 )
 
 CASE_SCHEMA = _struct(
-    "case_id string, policy_version string, slice_name string, language string, "
-    "content string, expected_decision string, expected_rule_id string, "
-    "expected_remediation string, label_budget int"
+    case_id=_STRING,
+    policy_version=_STRING,
+    slice_name=_STRING,
+    language=_STRING,
+    content=_STRING,
+    expected_decision=_STRING,
+    expected_rule_id=_STRING,
+    expected_remediation=_STRING,
+    label_budget=_INT,
 )
 
 RESULT_SCHEMA = _struct(
-    "decision string, policy string, reason string, evidence array<string>, "
-    "confidence double, remediation string, review_required boolean, latency_ms double"
+    decision=_STRING,
+    policy=_STRING,
+    reason=_STRING,
+    evidence=_STRINGS,
+    confidence=_DOUBLE,
+    remediation=_STRING,
+    review_required=_BOOLEAN,
+    latency_ms=_DOUBLE,
 )
 
 COMMENT_SCHEMA = _struct(
-    "text string, toxicity double, severe_toxicity double, obscene double, threat double, "
-    "insult double, identity_attack double, sexual_explicit double"
+    text=_STRING, toxicity=_DOUBLE, **{name: _DOUBLE for name in SAFETY_ATTRIBUTES}
 )
 
 VOTE_SCHEMA = _struct(
-    "prompt string, response string, is_safe boolean, category map<string,boolean>"
+    prompt=_STRING,
+    response=_STRING,
+    is_safe=_BOOLEAN,
+    category=T.MapType(T.StringType(), T.BooleanType()),
 )
 
 PROMPT_SCHEMA = _struct(
-    "user_input string, human_annotation string, toxicity string, jailbreaking string"
+    user_input=_STRING, human_annotation=_STRING, toxicity=_STRING, jailbreaking=_STRING
 )
 
 ANNOTATION_SCHEMA = _struct(
-    "case_id string, policy_version string, slice_name string, language string, content string, "
-    "annotated_decision string, annotated_rule_id string, supporting_passage string, "
-    "reason string, remediation string, review_required boolean, "
-    "annotation_confidence double, ambiguity_note string"
+    case_id=_STRING,
+    policy_version=_STRING,
+    slice_name=_STRING,
+    language=_STRING,
+    content=_STRING,
+    annotated_decision=_STRING,
+    annotated_rule_id=_STRING,
+    supporting_passage=_STRING,
+    reason=_STRING,
+    remediation=_STRING,
+    review_required=_BOOLEAN,
+    annotation_confidence=_DOUBLE,
+    ambiguity_note=_STRING,
 )
 
 ERROR_RECORD_SCHEMA = _struct(
-    "expected_decision string, predicted_decision string, categories array<string>"
+    expected_decision=_STRING, predicted_decision=_STRING, categories=_STRINGS
 )
 
 METRIC_SCHEMA = _struct(
-    "model_id string, split string, slice string, metric string, value double"
+    model_id=_STRING, split=_STRING, slice=_STRING, metric=_STRING, value=_DOUBLE
 )
