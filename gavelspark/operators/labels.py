@@ -20,8 +20,12 @@ COMMENT_SLICE = "real_civil_comments"
 def labelled_comments(
     comments: DataFrame, *, text: str = "text", score: str = "toxicity", cuts: ScoreCuts = ScoreCuts()
 ) -> DataFrame:
-    """Drop rows without text or score, then add the three-way ``label``."""
-    return comments.dropna(subset=[text, score]).withColumn(
+    """Drop rows without text or score, then add the three-way ``label``.
+
+    The null tests are written out because, unlike ``dropna``, they reach the scan.
+    """
+    present = F.col(text).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)
+    return comments.filter(present).withColumn(
         "label", score_decision(F.col(score).cast("double"), cuts)
     )
 

@@ -45,13 +45,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = PROMPT_SCHEMA) -> DataFrame:
-    """CSV with a header and quoted fields that may hold line breaks and doubled quotes."""
+    """CSV with a header and quoted fields that may hold line breaks and doubled quotes.
+    An empty string field is the empty string, quoted or not."""
     return (
         spark.read.schema(schema)
         .option("mode", "FAILFAST")
-        .option("nullValue", "\u0000")
         .option("emptyValue", "")
         .csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+        .na.fill("")
     )
 
 
