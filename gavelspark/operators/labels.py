@@ -144,38 +144,45 @@ def majority_labels(votes: DataFrame, *, require_rows: bool = False) -> DataFram
     """Majority label per text, ties dropped, with the categories that more than half of
     all its votes name.
 
-    Input: ``text, is_safe, categories``. Every vote becomes one row per distinct
-    category plus a marker row with a null category that carries the safe count; both
-    kinds are counted in one aggregation with partial sums, so a text that holds a large
-    share of all votes is reduced before the shuffle. What reaches the second grouping
-    is one row per text and category.
+    Input: ``text, is_safe, categories``. Every vote becomes a marker row, which carries
+    the text and the safe vote, and one narrow row per distinct category with the text's
+    digest only. Both kinds are counted in one aggregation with partial sums, so a text
+    that holds a large share of all votes is reduced before the shuffle. What reaches the
+    second grouping is one row per text and category.
     """
-    names = F.array_union(F.array(F.lit(None).cast("string")), F.coalesce("categories", F.array().cast("array<string>")))
     counted = (
-        votes.select("text", F.col("is_safe").cast("long").alias("_safe"), F.explode(names).alias("_category"))
-        .groupBy("text", "_category")
+        votes.select("text", "is_safe", "categories", F.sha2("text", 256).alias("_key"))
+        .selectExpr(
+            "_key",
+            "is_safe",
+            "text",
+            """explode(array_union(array(cast(null as string)),
+                                   coalesce(categories, cast(array() as array<string>)))) as _category""",
+        )
+        .selectExpr(
+            "_key", "_category", "if(_category is null, text, null) as _text", "bigint(is_safe) as _safe"
+        )
+        .groupBy("_key", "_category", "_text")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_safe").alias("_safe"))
     )
-    marker = F.col("_category").isNull()
-    folded = counted.groupBy("text").agg(
-        F.max(F.when(marker, F.col("_n"))).alias("n"),
-        F.max(F.when(marker, F.col("_safe"))).alias("safe_votes"),
-        F.collect_list(F.when(~marker, F.struct(F.col("_category").alias("name"), F.col("_n").alias("votes")))).alias("_named"),
+    folded = counted.groupBy("_key").agg(
+        F.expr("max(if(_category is null, _n, null)) as n"),
+        F.expr("max(if(_category is null, _safe, null)) as safe_votes"),
+        F.expr("max(_text) as text"),
+        F.expr(
+            "collect_list(if(_category is null, null, struct(_category as name, _n as votes))) as _named"
+        ),
     )
-    decided = folded.filter(2 * F.col("safe_votes") != F.col("n"))
+    decided = folded.filter("2 * safe_votes <> n")
     if require_rows and decided.isEmpty():
         raise ValueError("no example has a majority label")
-    safe = 2 * F.col("safe_votes") > F.col("n")
-    major = F.filter("_named", lambda c: 2 * c["votes"] > F.col("n"))
-    return decided.select(
-        tx.digest_id(F.col("text"), VOTE_ID_PREFIX).alias("example_id"),
+    return decided.selectExpr(
+        f"concat('{VOTE_ID_PREFIX}', substring(_key, 1, 16)) as example_id",
         "text",
-        safe.alias("safe"),
-        F.array_sort(F.transform(major, lambda c: c["name"])).alias("categories"),
-        F.col("n").alias("annotation_count"),
-        (F.when(safe, F.col("safe_votes")).otherwise(F.col("n") - F.col("safe_votes")) / F.col("n")).alias(
-            "safe_label_agreement"
-        ),
+        "2 * safe_votes > n as safe",
+        "array_sort(transform(filter(_named, c -> 2 * c.votes > n), c -> c.name)) as categories",
+        "n as annotation_count",
+        "if(2 * safe_votes > n, safe_votes, n - safe_votes) / n as safe_label_agreement",
     )
 
 

@@ -120,45 +120,42 @@ def _match_by_fragments(
 ) -> DataFrame:
     """The same matches for a rule table of any size, as an equi-join.
 
-    Every term starts with a fragment of ``q`` characters, ``q`` being the shortest term
-    (at most ``FRAGMENT``). Each text yields its windows of the longest term's length;
-    a window can only hold a term whose fragment it starts with.
+    A term is found by its first ``FRAGMENT`` characters, or by all of them if it is
+    shorter. Each text yields its distinct fragments of the lengths that occur, the full
+    ones together with the text that follows, which decides whether the term is there.
     """
     terms = with_normal_terms(rules).select(
         "version", "rule_id", "action", "text", "remediation", "ordinal",
         F.posexplode("terms").alias("position", "term"),
-    )
-    shortest, longest = terms.agg(F.min(F.length("term")), F.max(F.length("term"))).first()
-    q = min(shortest, FRAGMENT)
-    window_pattern = f"(?=(.{{{q},{longest}}}))"
+    ).withColumn("_fragment", F.substring("term", 1, FRAGMENT))
+    lengths, longest = terms.agg(
+        F.sort_array(F.collect_set(F.length("_fragment"))), F.max(F.length("term"))
+    ).first()
+    if not lengths:
+        lengths, longest = [FRAGMENT], FRAGMENT
+    # A piece shorter than a fragment stands for a whole short term.
+    patterns = [f"(?=(.{{{q}}}))" for q in lengths if q < FRAGMENT]
+    if FRAGMENT in lengths:
+        patterns.append(f"(?=(.{{{FRAGMENT},{longest}}}))")
+    pieces = F.concat(*(F.regexp_extract_all("_text", F.lit(p), F.lit(1)) for p in patterns))
 
-    def windows(version_column: Column) -> DataFrame:
-        return (
+    def found(version_column: Column) -> DataFrame:
+        windows = (
             cases.select(
-                F.col(key).alias("_key"),
-                version_column.alias("_version"),
-                F.explode(
-                    F.array_distinct(
-                        F.regexp_extract_all(
-                            normalize(content), F.lit(window_pattern), F.lit(1)
-                        )
-                    )
-                ).alias("_window"),
+                F.col(key).alias("_key"), version_column.alias("_version"), normalize(content).alias("_text")
             )
-            .withColumn("_head", F.substring("_window", 1, q))
+            .select("_key", "_version", F.explode(F.array_distinct(pieces)).alias("_window"))
+            .withColumn("_head", F.substring("_window", 1, FRAGMENT))
         )
-
-    def found(version_column: Column) -> DataFrame:
-        fragments = terms.withColumn("_fragment", F.substring("term", 1, q))
-        pairs = windows(version_column).join(
-            fragments,
+        pairs = windows.join(
+            terms,
             (F.col("_version") == F.col("version"))
             & (F.col("_head") == F.col("_fragment"))
             & F.startswith(F.col("_window"), F.col("term")),
         )
         rule = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
         return (
-            pairs.groupBy("_key", *rule, "position").agg(F.lit(1).alias("_one"))
+            pairs.select("_key", *rule, "position").distinct()
             .groupBy("_key", *rule).agg(F.count("*").cast("int").alias("hits"))
             .select("_key", F.struct(*rule, "hits").alias("rule"))
         )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions.decisions import (
@@ -16,6 +16,7 @@ from gavelspark.schemas import PROBABILITY_COLUMNS
 from gavelspark.sources.sinks import text_free
 
 LATE = "1 hour"
+SPLIT_EVENTS = 10_000_000
 
 
 def moderate(
@@ -107,21 +108,29 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
 
     The first enqueue opens a case, the first later resolve closes it, everything else is
     rejected. Both steps are minima with partial aggregation, so no case's history is
-    collected, however long it is.
+    collected, however long it is. The join between them spreads a case with very many
+    events over several tasks.
     """
     at = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
-    opening = F.col("kind") == "enqueue"
     opened = log.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("events"), F.min(F.when(opening, at)).alias("opened")
+        F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("kind") == "enqueue", at)).alias("opened")
     )
+    answer = [c for c in ("reviewer_decision", "reviewer_id") if c in log.columns]
     closings = log.filter(F.col("kind") == "resolve").select(
+        "case_id", at.alias("_at"), F.xxhash64(seq).alias("_spread"), *answer
+    )
+    # At most one case in SPLIT_EVENTS events is this long, which bounds the broadcast.
+    long_cases = opened.filter(F.col("events") > SPLIT_EVENTS).select("case_id", _parts().alias("_parts"))
+    closings = closings.join(F.broadcast(long_cases), "case_id", "left").withColumn(
+        "_part", F.expr("if(_parts is null, 0, int(pmod(_spread, _parts)))")
+    )
+    openings = opened.filter(F.col("opened").isNotNull()).select(
         "case_id",
-        at.alias("_at"),
-        *(c for c in ("reviewer_decision", "reviewer_id") if c in log.columns),
+        "opened",
+        F.explode(F.sequence(F.lit(0), F.when(F.col("events") > SPLIT_EVENTS, _parts() - 1).otherwise(0))).alias("_part"),
     )
-    answer = [c for c in ("reviewer_decision", "reviewer_id") if c in log.columns]
     closed = (
-        closings.join(opened.select("case_id", "opened"), "case_id")
+        closings.join(openings, ["case_id", "_part"])
         .filter(F.col("_at") > F.col("opened"))
         .groupBy("case_id")
         .agg(F.min(F.struct("_at", *answer)).alias("_closed"))
@@ -146,5 +155,9 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
     )
 
 
+def _parts() -> Column:
+    return (F.col("events") / SPLIT_EVENTS).cast("int") + 1
+
+
 def pending_count(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count_if(F.col("status") == "pending").alias("pending"))

@@ -70,6 +70,14 @@ def test_large_table_sample_is_narrowed_and_still_exact(spark, monkeypatch):
     assert sorted(r.id for r in narrowed.collect()) == sorted(whole)
 
 
+def test_first_rows_of_a_large_table(spark, monkeypatch):
+    frame = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("i"), F.col("id").alias("v"))
+    whole = sorted(i * 7919 % 20_011 for i in range(20_000))[:40]
+    for limit in (1_000, 10_000_000):
+        monkeypatch.setattr(sp, "SMALL_TABLE", limit)
+        assert [r.i for r in sp.first_rows(frame, 40, order_by="i").collect()] == whole
+
+
 def test_seeded_shuffle_order(spark):
     got = [r.id for r in sp.seeded_shuffle(spark.range(100), key="id", seed=3).collect()]
     assert got == sorted(range(100), key=lambda i: sha(f"3:{i}"))

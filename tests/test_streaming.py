@@ -113,8 +113,9 @@ def random_events(seed, n=400):
     return events
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_review_queue_equals_a_sequential_fold(spark, seed):
+@pytest.mark.parametrize("seed, split", [(1, 10_000_000), (2, 10_000_000), (3, 7), (4, 20)])
+def test_review_queue_equals_a_sequential_fold(spark, seed, split, monkeypatch):
+    monkeypatch.setattr(mo, "SPLIT_EVENTS", split)
     events = random_events(seed)
     queue = mo.review_queue(spark.createDataFrame(events, EVENT), keep_unknown=True)
     assert {r.case_id: (r.status, r.reviewer_decision, r.rejected_events) for r in queue.collect()} == fold(events)
