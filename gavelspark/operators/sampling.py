@@ -39,22 +39,25 @@ def _restrict(frame: DataFrame, ids: DataFrame, key: str, size: int) -> DataFram
     return frame.join(chosen, key, "left_semi")
 
 
-def smallest_hashes(frame: DataFrame, key: str, size: int, seed: int | None = None) -> DataFrame:
-    """Ids of the ``size`` smallest hashes.
+def _likely_smallest(hashed: DataFrame, rows: int, size: int) -> DataFrame:
+    """Rule out nearly all rows of a large table by a bound on the uniform ``_hash``.
 
-    On a large table the hashes are uniform, so nearly all rows are ruled out by a bound
-    on the hash before the sort; otherwise every task would hand ``size`` ids to the one
-    that merges them. The bound is only used if enough rows remain below it.
+    Otherwise every task would hand ``size`` rows to the one that merges them. The bound
+    is only used if enough rows remain below it.
     """
-    ids = frame.select(key, hash_order(F.col(key), seed).alias("_hash"))
-    rows = frame.count()
     if rows > SMALL_TABLE:
         share = (size + 12.0 * size**0.5 + 100.0) / rows
         if share < 0.5:
-            below = ids.filter(F.col("_hash") < format(int(share * 16**15), "015x"))
-            if below.count() >= size:
-                ids = below
-    return ids.orderBy("_hash", key).limit(size).select(key)
+            below = hashed.filter(F.col("_hash") < format(int(share * 16**15), "015x"))
+            if below.select("_hash").count() >= size:
+                return below
+    return hashed
+
+
+def smallest_hashes(frame: DataFrame, key: str, size: int, seed: int | None = None) -> DataFrame:
+    """Ids of the ``size`` smallest hashes."""
+    ids = frame.select(key, hash_order(F.col(key), seed).alias("_hash"))
+    return _likely_smallest(ids, frame.count(), size).orderBy("_hash", key).limit(size).select(key)
 
 
 def sample_exact(
@@ -68,11 +71,21 @@ def sample_exact(
     return sample_at_most(frame, size, key=key, seed=seed).orderBy(order_by or key)
 
 
-def sample_at_most(frame: DataFrame, size: int | None, *, key: str, seed: int = 42) -> DataFrame:
-    """Down-sample only when there are more than ``size`` rows; ``None`` keeps all."""
+def sample_at_most(
+    frame: DataFrame, size: int | None, *, key: str, seed: int = 42, unique: bool = True
+) -> DataFrame:
+    """Down-sample only when there are more than ``size`` rows; ``None`` keeps all.
+
+    A ``key`` that is not unique (``unique=False``) cannot select rows by itself; then the
+    rows themselves are ranked, those with equal keys by their other columns.
+    """
     if not size:
         return frame
-    return _restrict(frame, smallest_hashes(frame, key, size, seed), key, size)
+    if unique:
+        return _restrict(frame, smallest_hashes(frame, key, size, seed), key, size)
+    hashed = frame.withColumn("_hash", hash_order(F.col(key), seed))
+    ranked = _likely_smallest(hashed, frame.count(), size)
+    return ranked.orderBy("_hash", key, F.xxhash64(*frame.columns)).limit(size).drop("_hash")
 
 
 def hash_top(frame: DataFrame, size: int, *, key: str, check: bool = True) -> DataFrame:

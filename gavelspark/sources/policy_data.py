@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gavelspark.functions import text as tx
 from gavelspark.schemas import ALLOW, ESCALATE, REJECT, RULE_SCHEMA
+from gavelspark.sources.storage import spread_small
 
 # The policy table, in declaration order.
 POLICY_TERMS = {
@@ -71,11 +72,8 @@ def policy_cases(
         ).alias("_rules")
     )
     i = F.col("_i")
-    # The bare indices are spread over all cores before they multiply.
-    spread = indices.sparkSession.sparkContext.defaultParallelism
     cells = (
-        indices.select(F.col(index).cast("long").alias("_i"))
-        .repartition(spread, "_i")
+        spread_small(indices.select(F.col(index).cast("long").alias("_i")), "_i")
         .select("_i", F.posexplode(_literals(slices)).alias("_s", "slice_name"))
         .select("_i", "_s", "slice_name", F.posexplode(_literals(versions)).alias("_v", "policy_version"))
         .join(by_version, "policy_version")

@@ -24,19 +24,22 @@ def read_comments(
     *,
     limit: int | None = None,
     seed: int = 42,
-    key: str = "text",
+    key: str | None = None,
     attributes: tuple[str, ...] = SAFETY_ATTRIBUTES,
     cuts: ScoreCuts = ScoreCuts(),
 ) -> DataFrame:
     """Scored comments: text, score and attributes only, labelled, down-sampled if larger
-    than ``limit``. ``key`` names the column the sample is drawn by."""
+    than ``limit``. ``key`` names a unique id column to draw the sample by; without one it
+    is drawn by the text."""
     wanted = [c for c in COMMENT_SCHEMA.fieldNames() if c in ("text", "toxicity", *attributes)]
     fields = [COMMENT_SCHEMA[c] for c in wanted]
-    if key not in wanted:
+    if key is not None:
         fields.append(T.StructField(key, T.LongType()))
     paths = [path] if isinstance(path, str) else path
     rows = spark.read.schema(T.StructType(fields)).parquet(*paths)
-    return sample_at_most(labelled_comments(rows, cuts=cuts), limit, key=key, seed=seed)
+    return sample_at_most(
+        labelled_comments(rows, cuts=cuts), limit, key=key or "text", seed=seed, unique=key is not None
+    )
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -68,6 +68,10 @@ def test_large_table_sample_is_narrowed_and_still_exact(spark, monkeypatch):
     monkeypatch.setattr(sp, "SMALL_TABLE", 1_000)
     narrowed = sp.smallest_hashes(frame, "id", 50, 42)
     assert sorted(r.id for r in narrowed.collect()) == sorted(whole)
+    # Every id three times: rows are counted, not ids.
+    tripled = frame.withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
+    picked = sp.sample_at_most(tripled, 50, key="id", unique=False).collect()
+    assert len(picked) == 50 and {r.id for r in picked} == set(whole[:17])
 
 
 def test_first_rows_of_a_large_table(spark, monkeypatch):

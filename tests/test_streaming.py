@@ -86,6 +86,28 @@ def test_moderation_drops_text_and_refuses_bad_requests(spark):
     ]
 
 
+def test_texts_are_scored_and_moderated_on_a_stream(spark, tmp_path):
+    import pandas as pd
+
+    from gavelspark.operators.model import predict_with
+
+    rows = [(1, "a calm text", "r1"), (2, "a bad text", "r2"), (3, "an odd text", "r3")]
+    frame = spark.createDataFrame(rows, "id int, text string, content_reference string")
+    folder = folder_of(tmp_path, "requests", [frame])
+
+    def predictor(texts):
+        reject = texts.str.contains("bad").astype(float) * 0.8 + 0.05
+        allow = texts.str.contains("calm").astype(float) * 0.9
+        return pd.DataFrame({"p_allow": allow, "p_escalate": 1 - allow - reject, "p_reject": reject})
+
+    scored = predict_with(
+        stream_table(spark, folder, "requests"), predictor, keep=("id", "text", "content_reference")
+    )
+    decided = write_available(mo.moderate(scored, model_id="m", thresholds=Thresholds(0.6, 0.5, 0.2)), "texts")
+    assert "text" not in decided.columns
+    assert {r.id: r.decision for r in decided.collect()} == {1: "ALLOW", 2: "REJECT", 3: "ESCALATE"}
+
+
 def fold(events):
     """One event at a time, as a queue would."""
     state, rejected = {}, {}
