@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelspark.functions.decisions import (
     Thresholds,
@@ -111,7 +112,10 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
     collected, however long it is. The join between them spreads a case with very many
     events over several tasks.
     """
-    at = F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    # Stated here as well, so that the joins below infer nothing new and the aggregation is
+    # shuffled once for its three uses.
+    log = log.filter(F.col("case_id").isNotNull())
+    at = _order_key(log, ts, seq)
     opened = log.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("kind") == "enqueue", at)).alias("opened")
     )
@@ -120,7 +124,9 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
         "case_id", at.alias("_at"), F.xxhash64(seq).alias("_spread"), *answer
     )
     # At most one case in SPLIT_EVENTS events is this long, which bounds the broadcast.
-    long_cases = opened.filter(F.col("events") > SPLIT_EVENTS).select("case_id", _parts().alias("_parts"))
+    long_cases = opened.filter(F.col("events") > SPLIT_EVENTS).select(
+        "case_id", F.when(F.col("opened").isNotNull(), _parts()).alias("_parts")
+    )
     closings = closings.join(F.broadcast(long_cases), "case_id", "left").withColumn(
         "_part", F.expr("if(_parts is null, 0, int(pmod(_spread, _parts)))")
     )
@@ -155,6 +161,17 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
     )
 
 
+def _order_key(log: DataFrame, ts: str, seq: str) -> Column:
+    """One value that orders like (ts, seq). For whole-number sequences it is a decimal,
+    which a hash aggregation can hold; a pair would have to be sorted."""
+    if not isinstance(log.schema[seq].dataType, T.IntegralType):
+        return F.struct(F.col(ts).alias("ts"), F.col(seq).alias("seq"))
+    return F.expr(
+        f"""cast(unix_micros(cast({ts} as timestamp)) as decimal(17, 0)) * 20000000000000000000BD
+            + cast({seq} as decimal(20, 0)) + 9223372036854775808BD"""
+    )
+
+
 def _parts() -> Column:
     return (F.col("events") / SPLIT_EVENTS).cast("int") + 1
 

@@ -143,6 +143,17 @@ def test_review_queue_equals_a_sequential_fold(spark, seed, split, monkeypatch):
     assert {r.case_id: (r.status, r.reviewer_decision, r.rejected_events) for r in queue.collect()} == fold(events)
 
 
+def test_review_queue_is_shuffled_once_and_takes_any_sequence(spark, tmp_path):
+    spark.createDataFrame(random_events(5), EVENT).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    queue = mo.review_queue(log)
+    rows = queue.collect()
+    plan = queue._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 2 and "ReusedExchange" in plan
+    named = log.withColumn("seq", F.format_string("%09d", "seq"))
+    assert sorted(mo.review_queue(named).collect()) == sorted(rows)
+
+
 def test_review_queue_from_a_stream_with_redeliveries(spark, tmp_path):
     events = sorted(random_events(9), key=lambda e: e[1])
     frames = [spark.createDataFrame(events[i : i + 100], EVENT) for i in range(0, 400, 100)]
