@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm.common import documents
+from gavelspark.llm.language import identify
+from gavelspark.llm.quality import assess
+from gavelspark.llm.simhash import components
 from gavelspark.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +35,18 @@ def tokenizer_file(name: str) -> str:
 @query("op1_token_counts")
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(documents(spark, folder), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return components(documents(spark, folder)).drop("fp")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return assess(documents(spark, folder))
+
+
+@query("op9_language")
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(documents(spark, folder))
