@@ -5,6 +5,7 @@ far each can be trusted, and the posterior probability decides.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,12 @@ BASE = (
     "n_upper_words",
     "n_exclaimed",
     "n_distinct",
+    "n_alnum",
+    "n_plain_words",
 )
+#: A word of letters with at most one mark behind it.
+PLAIN = re.compile(r"(?<![^ \t\n\v\f\r])[^\W\d_]+[.,;:!?]?(?![^ \t\n\v\f\r])")
+NOT_ALNUM = re.compile(r"[\W_]+")
 BASE_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in BASE])
 GOOD, ABSTAIN, BAD = 1, 0, -1
 
@@ -67,6 +73,8 @@ def base_counts(text: str | None) -> tuple[int, ...]:
         sum(map(bytes.isupper, words)),
         text.count("!"),
         len(set(words)),
+        len(NOT_ALNUM.sub("", text)),
+        len(PLAIN.findall(text)),
     )
 
 
@@ -91,39 +99,42 @@ def between(value: Column, good: Column, bad: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """Each rule's vote: good, bad, or an abstention where the text says too little."""
+    """Each rule's vote: good, bad, or an abstention where the text says too little. Every kind
+    of junk is met by two rules or more, as accuracies are learnt from what rules agree on."""
     length = share("word_chars", "n_words")
     symbols, shouted = share("n_symbols", "n_words"), share("n_upper_words", "n_words")
     exclaimed, repeated = share("n_exclaimed", "n_words"), share("n_repeat_words", "n_words")
     variety, copied = share("n_distinct", "n_words"), share("n_dup_lines", "n_lines")
+    plain, marks = share("n_plain_words", "n_words"), 1 - share("n_alnum", "word_chars")
     enough = F.col("n_words") >= 50
     return {
         "word_length": between(length, length.between(3, 12), (length < 2) | (length > 20)),
+        "plain_words": between(plain, plain > 0.9, plain < 0.6),
+        "marks": between(marks, marks < 0.06, marks > 0.15),
         "symbols": between(symbols, symbols < 0.02, symbols > 0.1),
         "capitals": between(shouted, shouted < 0.1, shouted > 0.4),
         "exclamations": between(exclaimed, exclaimed < 0.02, exclaimed > 0.2),
-        "repeats": between(repeated, enough & (repeated < 0.05), repeated > 0.2),
-        "variety": between(variety, enough & (variety > 0.3), variety < 0.2),
-        "lines": between(copied, (F.col("n_lines") >= 3) & (copied < 0.1), copied > 0.3),
+        "repeats": between(repeated, repeated < 0.05, repeated > 0.2),
+        "variety": between(variety, enough & (variety > 0.3), enough & (variety < 0.15)),
+        "lines": between(copied, copied < 0.1, (F.col("n_lines") >= 4) & (copied > 0.3)),
         "length": between(length, enough, F.col("n_words") < 10),
     }
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Log evidence for good against bad: of each vote of each rule, and before any vote."""
+    """Log evidence for good against bad: of each rule's good and bad votes, and before any."""
 
     prior: float
     evidence: dict[str, dict[int, float]]
 
     def probability(self, voted: dict[str, Column]) -> Column:
-        """Posterior probability that a text is good."""
+        """Posterior probability that a text is good. An abstention says nothing."""
         total = F.lit(self.prior)
         for rule, value in voted.items():
-            weights = self.evidence[rule]
-            total = total + F.when(value == GOOD, weights[GOOD]).when(
-                value == BAD, weights[BAD]
-            ).otherwise(weights[ABSTAIN])
+            total = total + F.when(value == GOOD, self.evidence[rule][GOOD]).when(
+                value == BAD, self.evidence[rule][BAD]
+            ).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
 
@@ -133,45 +144,36 @@ def patterns(frame: DataFrame, voted: dict[str, Column]) -> DataFrame:
     return rows.groupBy(*voted).agg(F.count("*").alias("n"))
 
 
-def fit(counts: DataFrame, rules: list[str], rounds: int = 200, start: float = 0.8) -> LabelModel:
+def fit(counts: DataFrame, rules: list[str], rounds: int = 100) -> LabelModel:
     """Accuracies by expectation-maximisation over the counted vote combinations.
 
-    Each rule has, for good and for bad texts, a probability of each of its three votes. They
-    start where a rule that votes is right with probability ``start``, which names the two
-    classes, and are smoothed by one text, so that no vote decides alone for want of data. A
-    vote is kept from turning against its meaning: its evidence never has the other sign.
-    Without texts the model keeps its start.
+    A rule has two of them: how often its vote is right on good texts and how often on bad
+    ones, where it does not abstain. Junk has many kinds and a rule knows one, so a bad vote
+    is rare even on bad texts; the rounds therefore start from the belief that a text with a
+    bad vote is probably bad. Pseudo-votes keep accuracies off 0 and 1, and a vote's evidence
+    never turns against its meaning. Without texts the model rests on the pseudo-votes.
     """
     if len(rules) > 10:
         raise ValueError("vote combinations of more than ten rules are not collected")
     table = np.array([[r[n] for n in (*rules, "n")] for r in counts.collect()], dtype=np.int64)
     table = table.reshape(-1, len(rules) + 1)
     table = table[np.lexsort(table.T)]
-    seen, n = table[:, :-1] + 1, table[:, -1].astype(float)  # votes as 0, 1, 2
-    agreed = [0.25 * (1 - start), 0.75, 0.25 * start]
-    chance = np.array([[list(reversed(agreed)), agreed]] * len(rules))  # rule, class, vote
-    chance /= chance.sum(2, keepdims=True)
-    good = 0.9
-    for _ in range(rounds if len(n) else 0):
-        odds = math.log(good / (1 - good)) + sum(
-            np.log(chance[r, 1, seen[:, r]] / chance[r, 0, seen[:, r]]) for r in range(len(rules))
-        )
-        posterior = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-        weight = np.stack([n * (1 - posterior), n * posterior])
-        good = float(np.clip((weight[1].sum() + 1) / (n.sum() + 2), 0.05, 0.99))
-        for r in range(len(rules)):
-            for vote in range(3):
-                chance[r, :, vote] = weight[:, seen[:, r] == vote].sum(1) + 1
-        chance /= chance.sum(2, keepdims=True)
-    evidence = np.log(chance[:, 1] / chance[:, 0])
-    evidence[:, GOOD + 1] = np.maximum(evidence[:, GOOD + 1], 0)
-    evidence[:, BAD + 1] = np.minimum(evidence[:, BAD + 1], 0)
+    seen, n = table[:, :-1], table[:, -1].astype(float)
+    is_good, is_bad = seen == GOOD, seen == BAD
+    good = np.where(is_bad.any(1), 0.1, 0.99)
+    for _ in range(rounds):
+        prior = float(np.clip((n @ good + 9) / (n.sum() + 10), 0.5, 0.99))
+        weight = n * good
+        right_on_good = (weight @ is_good + 1.9) / (weight @ (is_good | is_bad) + 2)
+        weight = n * (1 - good)
+        right_on_bad = (weight @ is_bad + 0.4) / (weight @ (is_good | is_bad) + 2)
+        for_good = np.maximum(np.log(right_on_good / (1 - right_on_bad)), 0)
+        for_bad = np.minimum(np.log((1 - right_on_good) / right_on_bad), 0)
+        odds = np.log(prior / (1 - prior)) + is_good @ for_good + is_bad @ for_bad
+        good = 1 / (1 + np.exp(-odds))
     return LabelModel(
-        math.log(good / (1 - good)),
-        {
-            rule: {vote: float(evidence[r, vote + 1]) for vote in (BAD, ABSTAIN, GOOD)}
-            for r, rule in enumerate(rules)
-        },
+        math.log(prior / (1 - prior)),
+        {r: {GOOD: float(for_good[i]), BAD: float(for_bad[i])} for i, r in enumerate(rules)},
     )
 
 
