@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm.common import documents
+from gavelspark.llm.decontamination import contamination
 from gavelspark.llm.language import identify
 from gavelspark.llm.quality import assess
 from gavelspark.llm.simhash import components
@@ -50,3 +51,48 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language")
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(documents(spark, folder))
+
+
+def benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/benchmark.parquet")
+
+
+@query(
+    "op3_decontamination",
+    r"""
+    WITH doc_words AS (
+        SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), item_words AS (
+        SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ), wins AS (
+        SELECT DISTINCT item_id, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS win,
+            least(len(w), 13) AS n
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS s FROM item_words WHERE len(w) > 0)
+    ), lengths AS (SELECT DISTINCT n FROM wins
+    ), doc_wins AS (
+        SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM doc_words, lengths WHERE len(w) >= n)
+    ), hits AS (
+        SELECT r, s, n, item_id FROM doc_wins JOIN wins USING (win, n)
+    ), covered AS (
+        SELECT r, count(DISTINCT p) AS n_hit
+        FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM hits))
+        GROUP BY r
+    ), named AS (
+        SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+        coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM doc_words LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+    """,
+)
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(documents(spark, folder), benchmark(spark, folder)).drop("items")
