@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gavelspark.llm.common import documents
 from gavelspark.llm.decontamination import contamination
+from gavelspark.llm.html_text import page_texts
 from gavelspark.llm.language import identify
 from gavelspark.llm.quality import assess
 from gavelspark.llm.simhash import components
@@ -96,3 +97,12 @@ def benchmark(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(documents(spark, folder), benchmark(spark, folder)).drop("items")
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/pages.parquet")
+
+
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_texts(pages(spark, folder))
