@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gavelspark.llm.chat import perspectives
 from gavelspark.llm.common import documents
 from gavelspark.llm.decontamination import contamination
 from gavelspark.llm.html_text import page_texts
 from gavelspark.llm.language import identify
+from gavelspark.llm.packing import packed
 from gavelspark.llm.quality import assess
 from gavelspark.llm.simhash import components
-from gavelspark.llm.token_counts import token_counts
+from gavelspark.llm.token_counts import n_tokens, token_counts
+from gavelspark.llm.url_filter import judged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +109,86 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_html_text")
 def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_texts(pages(spark, folder))
+
+
+#: The rules of the query.
+URL_RULES = """
+    SELECT * FROM VALUES
+        ('org', '/', 'allow'),
+        ('example.org', '/es/', 'block'),
+        ('example.org', '/en/1', 'block'),
+        ('com', '/fr/', 'allow'),
+        ('com', '/de/', 'block')
+    AS rules(host, path, verdict)
+"""
+
+
+@query(
+    "op7_url_filter",
+    r"""
+    WITH urls AS (
+        SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+        FROM pages
+    ), parts AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+        FROM urls
+    ), rules(rule_host, rule_path, rule_verdict) AS (
+        VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+    ), fitting AS (
+        SELECT page_id, max({'n': length(rule_host) + length(rule_path), 'rule': rule_host || rule_path,
+            'verdict': rule_verdict}) AS won
+        FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
+            AND starts_with(path, rule_path)
+        GROUP BY page_id
+    )
+    SELECT page_id, host, path, won.rule AS rule, coalesce(won.verdict, 'allow') AS verdict
+    FROM parts LEFT JOIN fitting USING (page_id)
+    """,
+)
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(pages(spark, folder), spark.sql(URL_RULES))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return packed(docs, n_tokens(docs["text"], tokenizer_file("byte_bpe_50k.json")))
+
+
+@query(
+    "op10_chat",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text
+        FROM conversations
+    ), views AS (
+        SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+    ), rendered AS (
+        SELECT t.conv_id, perspective, turn, speaker, text,
+            CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+                ELSE 'user' END AS role
+        FROM turns t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
+    ), segments AS (
+        SELECT *, '<|im_start|>' || role || CASE WHEN role = 'user' THEN ' name=' || speaker ELSE '' END || chr(10) AS head
+        FROM rendered
+    ), placed AS (
+        SELECT *, head || text || '<|im_end|>' || chr(10) AS segment,
+            row_number() OVER w - 1 AS position,
+            coalesce(sum(length(head) + length(text) + 11) OVER (
+                PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(text), text
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+        FROM segments
+        WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, md5(text), text)
+    )
+    SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, speaker AS name, segment,
+        CAST(start AS BIGINT) AS "start", role = 'assistant' AS trained,
+        CAST(start + CASE WHEN role = 'assistant' THEN length(head) ELSE 0 END AS BIGINT) AS mask_start,
+        CAST(start + CASE WHEN role = 'assistant' THEN length(segment) ELSE 0 END AS BIGINT) AS mask_end
+    FROM placed
+    """,
+)
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
