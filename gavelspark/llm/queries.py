@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gavelspark.llm.chat import perspectives
 from gavelspark.llm.common import documents
@@ -13,6 +14,7 @@ from gavelspark.llm.html_text import page_texts
 from gavelspark.llm.language import identify
 from gavelspark.llm.packing import packed
 from gavelspark.llm.quality import assess
+from gavelspark.llm.secrets import secret_scan
 from gavelspark.llm.simhash import components
 from gavelspark.llm.token_counts import n_tokens, token_counts
 from gavelspark.llm.url_filter import judged
@@ -192,3 +194,16 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan(documents(spark, folder))
+    return found.select(
+        "doc_id",
+        "n_candidates",
+        "n_secrets",
+        F.transform("secrets", lambda s: s["start"]).alias("starts"),
+        F.transform("secrets", lambda s: s["value"]).alias("secrets"),
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
