@@ -207,7 +207,7 @@ def prefix_hits(text: Column, shared, width: int) -> Column:
     return F.arrow_udf(find, schema)(text)
 
 
-def contamination(
+def judged(
     docs: DataFrame,
     items: DataFrame,
     width: int = 13,
@@ -217,7 +217,8 @@ def contamination(
     item_key: str = "item_id",
     item_text: str = "text",
 ) -> DataFrame:
-    """``key``, ``n_words``, ``n_hit``, ``n_items``, ``items``, ``items_sha256``, ``contaminated``.
+    """``id``, ``digest``, ``n_words``, ``n_hit``, ``n_items``, ``items``, ``items_sha256``,
+    ``contaminated`` for each row of ``docs``; the digest is of the text.
 
     A document word is hit if it lies in an occurrence of any window of ``width`` words of any
     item; ``items`` are the ids of items with an occurring window, as sorted strings, and the
@@ -306,7 +307,8 @@ def contamination(
         seen.select("id", "digest", "n_words")
         .join(both, same, "left")
         .select(
-            F.col("id").alias(key),
+            "id",
+            "digest",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
             F.coalesce("items", none).alias("items"),
@@ -315,3 +317,18 @@ def contamination(
         .withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
     )
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The result of ``judged`` (where the options are described) with ``key`` for ``id``."""
+    return judged(docs, items, key=key, **options).drop("digest").withColumnRenamed("id", key)
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all columns as they came."""
+    found = judged(docs, items, key=key, text=text, **options).where("contaminated")
+    dropped = found.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    same = docs[key].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__digest"))
+    return docs.join(dropped, same, "left_anti")

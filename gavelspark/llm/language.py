@@ -228,3 +228,21 @@ def identify(
         held_out(docs[key]).alias("held_out"),
         predicted(docs[text], model).alias("__predicted"),
     ).select(key, "held_out", "__predicted.lang_pred", "__predicted.score")
+
+
+def in_known_language(
+    docs: DataFrame,
+    least: float = 0.5,
+    key: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+) -> DataFrame:
+    """The rows of ``docs`` whose text has letters and is in one language with a score of
+    ``least`` or more, with all columns as they came."""
+    model = train(docs.where(~held_out(docs[key])), key=key, text=text, lang=lang)
+    found = predicted(docs[text], model)
+    return (
+        docs.withColumn("__found", found)
+        .where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least))
+        .drop("__found")
+    )

@@ -317,3 +317,23 @@ def secret_scan(
         "secrets",
         "redacted",
     )
+
+
+def without_secrets(
+    docs: DataFrame,
+    threshold: float = 0.5,
+    key: str = "doc_id",
+    text: str = "text",
+    path: str = "source",
+    length: str = "n_chars",
+) -> DataFrame:
+    """``docs`` with the secrets in ``text`` replaced and ``length`` set anew where they were;
+    other rows and columns stay as they came."""
+    found = scanned(docs, train(docs, key=key, text=text, path=path), threshold, text, path)
+    changed = F.size("secrets") > 0
+    return found.withColumns(
+        {
+            length: F.when(changed, F.length("redacted")).otherwise(F.col(length)).cast(docs.schema[length].dataType),
+            text: F.col("redacted"),
+        }
+    ).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -184,6 +184,41 @@ def connected(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def grouped(rows: DataFrame, bits: int) -> DataFrame:
+    """Every fingerprint of ``rows`` (``id``, ``digest``, ``fp``), written to the shared folder:
+    ``fp``, ``n`` rows, ``first`` (smallest id and digest), ``n_links``, and of its component
+    ``root`` and ``chosen``, the smallest ``first``.
+
+    Equal fingerprints are one node throughout, so copies are never paired.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first")
+    firsts = stage(rows.groupBy("fp").agg(first, F.count("*").alias("n")))
+    found = stage(links(firsts.select("fp"), firsts.count(), bits))
+    roots = connected(found)
+    linked = stage(roots.join(firsts, roots["node"] == firsts["fp"]).select("fp", "root", "first"))
+    smallest = linked.groupBy("root").agg(F.min("first").alias("chosen"))
+    ends = found.select(F.explode(F.array("a", "b")).alias("fp"))
+    degrees = ends.groupBy("fp").agg(F.count("*").alias("n_links"))
+    known = linked.select("fp", "root").join(smallest, "root").join(degrees, "fp")
+    return stage(
+        firsts.join(known, "fp", "left").select(
+            "fp",
+            "n",
+            "first",
+            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+            F.coalesce("root", "fp").alias("root"),
+            F.coalesce("chosen", "first").alias("chosen"),
+        )
+    )
+
+
+def fingerprinted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rows = picked(docs, id=key, text=text)
+    return stage(
+        rows.select("id", F.xxhash64("text").alias("digest"), fingerprints(F.col("text")).alias("fp"))
+    )
+
+
 def components(
     docs: DataFrame, bits: int = 3, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -196,30 +231,13 @@ def components(
     fingerprint zero and are linked like any other. A null key stays null, and its row takes
     part like the others; a component of null keys only has a null id.
 
-    Equal fingerprints are one node throughout, so copies are never paired. Fingerprints of a
-    large share of all rows are joined to their component apart from the others.
+    Fingerprints of a large share of all rows are joined to their component apart from the
+    others.
     """
-    rows = stage(picked(docs, id=key, text=text).select("id", fingerprints(F.col("text")).alias("fp")))
-    firsts = stage(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    totals = firsts.agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).first()
-    found = stage(links(firsts.select("fp"), totals.nodes, bits))
-    roots = connected(found)
-    linked = stage(roots.join(firsts, roots["node"] == firsts["fp"]).select("fp", "root", "first"))
-    smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    degrees = (
-        found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    )
-    known = linked.join(smallest, "root").select("fp", "component_id").join(degrees, "fp")
-    nodes = stage(
-        firsts.join(known, "fp", "left").select(
-            "fp",
-            F.coalesce("component_id", "first").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-            "n",
-        )
-    )
-    is_hot = F.col("n") * HOT_SHARE > (totals.rows or 0)
-    hot = nodes.where(is_hot & (F.col("n") > 1)).drop("n")
+    rows = fingerprinted(docs, key, text)
+    nodes = grouped(rows, bits).select("fp", "n", F.col("chosen.id").alias("component_id"), "n_links")
+    is_hot = (F.col("n") > 1) & (F.col("n") * HOT_SHARE > F.lit(rows.count()))
+    hot = nodes.where(is_hot).drop("n")
     hot_values = [r.fp for r in hot.select("fp").collect()]  # fewer than HOT_SHARE
     apart = F.col("fp").isin(hot_values) if hot_values else F.lit(False)
     plain = rows.where(~apart).join(nodes.drop("n"), "fp")
@@ -231,3 +249,29 @@ def components(
         "component_id",
         "n_links",
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, bits: int = 3, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that remain when one document of each component stays: the one with
+    the smallest key (null last), of rows with that key and different texts the one with the
+    smaller digest, of equal rows any one. All columns are returned as they came."""
+    chosen = (
+        grouped(fingerprinted(docs, key, text), bits)
+        .where(F.col("first") == F.col("chosen"))
+        .select(as_text(F.col("first.id")).alias("__key"), F.col("first.digest").alias("__digest"))
+    )
+    marked = docs.withColumns({"__key": as_text(docs[key]), "__digest": F.xxhash64(docs[text])})
+    alike = Window.partitionBy("__key", "__digest").orderBy("__key")
+    return (
+        marked.join(chosen, ["__key", "__digest"], "left_semi")
+        .withColumn("__copy", F.row_number().over(alike))
+        .where(F.col("__copy") == 1)
+        .select(*(F.col(f"`{c}`") for c in docs.columns))
+    )
+
+
+def as_text(key: Column) -> Column:
+    """A key that null joins as well."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
