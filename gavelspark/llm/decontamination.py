@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavelspark.llm.common import picked
+from gavelspark.llm.common import as_text, picked
 from gavelspark.sources.storage import stage
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -254,10 +254,10 @@ def judged(
             "id",
             F.xxhash64("text").alias("digest"),
             prefix_hits(F.col("text"), shared, width).alias("found"),
-        ).select("id", "digest", "found.*")
+        ).select("id", as_text(F.col("id")).alias("doc"), "digest", "found.*")
     )
     hits = seen.where(F.size("hits") > 0).select(
-        "id", "digest", "n_words", F.explode("hits").alias("hit")
+        "doc", "digest", "n_words", F.explode("hits").alias("hit")
     )
     offset = F.col("offset")
     held = F.concat(
@@ -269,7 +269,7 @@ def judged(
         .where(F.col("hit.at") - offset + F.size("wanted") <= F.col("n_words"))
         .where(F.slice(held, 1, F.size("wanted")) == F.col("wanted"))
         .select(
-            "id",
+            "doc",
             "digest",
             "window",
             (F.col("hit.at") - offset).alias("start"),
@@ -277,7 +277,7 @@ def judged(
         )
     )
     earlier = (
-        Window.partitionBy("id", "digest")
+        Window.partitionBy("doc", "digest")
         .orderBy("start", "end")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -285,27 +285,24 @@ def judged(
         F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(earlier), F.lit(0))), F.lit(0)
     )
     n_hit = (
-        placed.select("id", "digest", "start", "end")
+        placed.select("doc", "digest", "start", "end")
         .distinct()
-        .select("id", "digest", covered.alias("new"))
-        .groupBy("id", "digest")
+        .select("doc", "digest", covered.alias("new"))
+        .groupBy("doc", "digest")
         .agg(F.sum("new").alias("n_hit"))
     )
     hit_items = (
-        placed.select("id", "digest", "window")
+        placed.select("doc", "digest", "window")
         .distinct()
         .join(found.select("item_id", "window").distinct(), "window")
-        .groupBy("id", "digest")
+        .groupBy("doc", "digest")
         .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
-    both = n_hit.join(hit_items, ["id", "digest"]).select(
-        F.col("id").alias("__id"), F.col("digest").alias("__digest"), "n_hit", "items"
-    )
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+    both = n_hit.join(hit_items, ["doc", "digest"])
     none = F.array().cast("array<string>")
     return (
-        seen.select("id", "digest", "n_words")
-        .join(both, same, "left")
+        seen.drop("hits")
+        .join(both, ["doc", "digest"], "left")
         .select(
             "id",
             "digest",

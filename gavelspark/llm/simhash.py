@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavelspark.llm.common import picked
+from gavelspark.llm.common import as_text, picked
 from gavelspark.sources.storage import stage
 
 SEED = 42
@@ -270,8 +270,3 @@ def without_near_duplicates(
         .where(F.col("__copy") == 1)
         .select(*(F.col(f"`{c}`") for c in docs.columns))
     )
-
-
-def as_text(key: Column) -> Column:
-    """A key that null joins as well."""
-    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
