@@ -162,8 +162,8 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     a known format or a long hexadecimal or mixed value assigned to a credential is a secret; a
     number alone, or a value that nothing is said about, is not. Each secret is also shown as
     the reviewers' usual false alarm, the same value behind a word like commit or checksum, and
-    each with other credential words and as other encodings, so that the trees do not hang on
-    the words and shapes of this corpus.
+    with other credential words, as other encodings and in a known format behind any word, so
+    that the trees do not hang on the words and shapes of this corpus.
     """
     value, before = F.col("found.value"), F.col("found.before")
     credential = before.rlike(SECRET_WORDS + r"\w*[\"'`]?\s*[:=]\s*[\"'`]?$")
@@ -182,6 +182,7 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     encoded = F.regexp_replace(F.base64(F.unhex(F.sha2(value, 256))), "=+$", "")
     upper = F.concat(F.lit("AKIA"), F.substring(F.upper(F.sha2(value, 256)), 1, 16))
     credentials = ('api_key = "', "password: '", "SECRET=", 'auth_token: "', "access key = ", 'private_key="')
+    anything = ("then ", "see ", "", "(", "with ", "- ")
     harmless = ("commit ", "checksum: ", "sha1 = ", "digest=", "build version: ", "revision ")
     return reduce(
         DataFrame.unionByName,
@@ -190,6 +191,7 @@ def labelled_findings(found: DataFrame) -> DataFrame:
             shown(credentials, value, 1.0),
             shown(credentials, encoded, 1.0),
             shown(credentials, upper, 1.0),
+            shown(anything, upper, 1.0),
             shown(harmless, value, 0.0),
             shown(harmless, encoded, 0.0),
         ),
