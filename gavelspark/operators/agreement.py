@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.operators.metrics import rate
+from gavelspark.operators.quality import guarded
 
 # What a finished annotation must fill in.
 REQUIRED_FIELDS = (
@@ -27,22 +28,24 @@ def missing_fields(rows: DataFrame, fields: tuple[str, ...] = REQUIRED_FIELDS) -
 def require_complete(rows: DataFrame, fields: tuple[str, ...] = REQUIRED_FIELDS, key: str = "case_id") -> DataFrame:
     """The rows themselves; an incomplete one fails the query and is named."""
     gaps = F.array_compact(F.array(*(F.when(F.col(f).isNull(), F.lit(f)) for f in sorted(fields))))
-    message = F.concat(F.col(key).cast("string"), F.lit(" is missing: "), F.array_join(gaps, ", "))
-    first, *_ = fields
-    guarded = F.when(F.size(gaps) == 0, F.col(first)).otherwise(F.raise_error(message))
-    return rows.withColumn(first, guarded)
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    return guarded(rows, F.size(gaps) == 0, F.concat(name, F.lit(" is missing: "), F.array_join(gaps, ", ")))
 
 
 def pair_results(cases: DataFrame, results: DataFrame, *, key: str = "case_id") -> DataFrame:
-    """Each case with its result; a case or a result without partner fails the query."""
-    left = cases.withColumn("_has_case", F.lit(True))
-    right = results.withColumn("_has_result", F.lit(True))
+    """Each case with its result; a case or a result without partner, or an id that is null or
+    repeated on one side, fails the query, whatever is read of it."""
+    by_key = Window.partitionBy(key)
+    left = cases.withColumn("_cases", F.count(F.lit(1)).over(by_key))
+    right = results.withColumn("_results", F.count(F.lit(1)).over(by_key))
     joined = left.join(right, key, "full_outer")
-    complete = F.col("_has_case").isNotNull() & F.col("_has_result").isNotNull()
-    guarded = F.when(complete, F.col(key)).otherwise(
-        F.raise_error(F.concat(F.lit("case and result do not pair up: "), F.col(key).cast("string")))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    checked = guarded(
+        joined,
+        (F.col("_cases") == 1) & (F.col("_results") == 1),
+        F.concat(F.lit("case and result do not pair up: "), name),
     )
-    return joined.withColumn(key, guarded).drop("_has_case", "_has_result")
+    return checked.drop("_cases", "_results")
 
 
 def unpaired_ids(left: DataFrame, right: DataFrame, *, key: str = "case_id") -> DataFrame:
@@ -71,8 +74,8 @@ def compare_annotations(
     """One row per case: how many rows each annotator has, and whether they agree on the
     decision and the rule.
 
-    A case agrees when a single (decision, rule) answer exists and both gave it, so two
-    aggregations over the union replace a join.
+    A case agrees when each annotator has one row and there is a single (decision, rule)
+    answer, so two aggregations over the union replace a join.
     """
 
     def side(frame: DataFrame, a: int) -> DataFrame:
@@ -91,19 +94,27 @@ def compare_annotations(
     )
     return answers.groupBy(key).agg(
         F.sum("_a").alias("rows_a"), F.sum("_b").alias("rows_b"), F.count(F.lit(1)).alias("_answers")
-    ).select(key, "rows_a", "rows_b", (F.col("_answers") == 1).alias("agreed"))
+    ).select(
+        key,
+        "rows_a",
+        "rows_b",
+        ((F.col("rows_a") == 1) & (F.col("rows_b") == 1) & (F.col("_answers") == 1)).alias("agreed"),
+    )
+
+
+def _labelled_once(compared: DataFrame, key: str) -> DataFrame:
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    return guarded(
+        compared,
+        (F.col("rows_a") == 1) & (F.col("rows_b") == 1),
+        F.concat(F.lit("annotators must label the same case once each: "), name),
+    )
 
 
 def agreement_report(compared: DataFrame, *, key: str = "case_id") -> DataFrame:
     """Agreement over all cases; an id missing from one side or repeated fails."""
-    single = (F.col("rows_a") == 1) & (F.col("rows_b") == 1)
-    agreed = F.when(single, F.col("agreed")).otherwise(
-        F.raise_error(
-            F.concat(F.lit("annotators must label the same case once each: "), F.col(key).cast("string"))
-        ).cast("boolean")
-    )
-    totals = compared.select(agreed.alias("_agreed")).agg(
-        F.count(F.lit(1)).alias("case_count"), F.count_if(~F.col("_agreed")).alias("disagreement_count")
+    totals = _labelled_once(compared, key).agg(
+        F.count(F.lit(1)).alias("case_count"), F.count_if(~F.col("agreed")).alias("disagreement_count")
     )
     return totals.select(
         "case_count",
@@ -116,4 +127,5 @@ def agreement_report(compared: DataFrame, *, key: str = "case_id") -> DataFrame:
 
 
 def disagreements(compared: DataFrame, *, key: str = "case_id") -> DataFrame:
-    return compared.filter(~F.col("agreed")).select(key).orderBy(key)
+    """Cases the annotators answer differently; an id missing from one side or repeated fails."""
+    return _labelled_once(compared, key).filter(~F.col("agreed")).select(key).orderBy(key)

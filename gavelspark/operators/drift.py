@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.operators.metrics import rate
+from gavelspark.operators.ranges import values_at
 from gavelspark.schemas import ESCALATE
+from gavelspark.sources.storage import stage
 
 # Drift limits, rate floor, canary budget and load-test pass mark.
 PSI_WARN = 0.10
@@ -17,9 +19,6 @@ RATE_FLOOR = 1e-6
 CANARY_BUDGET = 0.05
 SUCCESS_MINIMUM = 0.99
 
-SKETCH_ACCURACY = 10_000
-EXACT_ROWS = 1_000_000
-
 
 def transitions(pairs: DataFrame, *, left: str = "production", right: str = "candidate") -> DataFrame:
     """Counts of ``left->right`` decisions. Both decisions sit in the same row, as when
@@ -54,66 +53,9 @@ def shadow_report(
     )
 
 
-def _count_row(values: DataFrame, edges: dict[str, float]) -> dict[str, int]:
-    tests = {"n": F.count("v")}
-    for name, edge in edges.items():
-        tests[f"{name}_below"] = F.count_if(F.col("v") < edge)
-        tests[f"{name}_upto"] = F.count_if(F.col("v") <= edge)
-    return values.agg(*(test.alias(name) for name, test in tests.items())).first().asDict()
-
-
-def _value_at(values: DataFrame, rank: int, total: int) -> float:
-    """The value at a zero-based rank, exactly.
-
-    A mergeable sketch brackets the rank, one pass counts what lies below the bracket,
-    and only the rows inside are looked at again, in further rounds while they are many.
-    No task ever holds more than ``EXACT_ROWS`` rows.
-    """
-    inside, offset, rows = values, 0, total
-    while rows > EXACT_ROWS:
-        margin = 2.0 / SKETCH_ACCURACY
-        point = (rank - offset) / rows
-        low, high = inside.agg(
-            F.percentile_approx("v", [max(point - margin, 0.0), min(point + margin, 1.0)], SKETCH_ACCURACY)
-        ).first()[0]
-        seen = _count_row(inside, {"low": low, "high": high})
-        if offset + seen["low_below"] <= rank < offset + seen["low_upto"]:
-            return low
-        if offset + seen["high_below"] <= rank < offset + seen["high_upto"]:
-            return high
-        if rank < offset + seen["low_below"]:
-            inside, rows = inside.filter(F.col("v") < low), seen["low_below"]
-        elif rank >= offset + seen["high_upto"]:
-            inside, rows = inside.filter(F.col("v") > high), seen["n"] - seen["high_upto"]
-            offset += seen["high_upto"]
-        else:
-            inside = inside.filter((F.col("v") > low) & (F.col("v") < high))
-            rows = seen["high_below"] - seen["low_upto"]
-            offset += seen["low_upto"]
-    at = F.row_number().over(Window.orderBy("v")) - 1 + F.lit(offset)
-    return inside.select("v", at.alias("_rank")).filter(F.col("_rank") == rank).first()["v"]
-
-
 def exact_percentiles(frame: DataFrame, column: str, points: Sequence[float]) -> list[float | None]:
-    """Linearly interpolated percentiles of one column.
-
-    Small inputs use the built-in exact aggregate; it keeps every distinct value in one
-    task, so larger ones select the two neighbouring ranks instead.
-    """
-    values = frame.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    total = values.count()
-    if total == 0:
-        return [None for _ in points]
-    if total <= EXACT_ROWS:
-        return list(values.agg(F.percentile("v", list(points))).first()[0])
-    answers = []
-    for point in points:
-        position = point * (total - 1)
-        below = int(position)
-        low = _value_at(values, below, total)
-        high = low if position == below else _value_at(values, below + 1, total)
-        answers.append(low + (high - low) * (position - below))
-    return answers
+    """Linearly interpolated percentiles of one column, by one method at every size."""
+    return values_at(frame, [column], points)[column]
 
 
 def canary_report(
@@ -126,8 +68,9 @@ def canary_report(
     budget: float = CANARY_BUDGET,
 ) -> DataFrame:
     """Disagreement rate, P95 latency per side and the verdict against the budget."""
-    (left_p95,) = exact_percentiles(pairs, left_latency, [0.95])
-    (right_p95,) = exact_percentiles(pairs, right_latency, [0.95])
+    pairs = stage(pairs.select(left, right, left_latency, right_latency))
+    latencies = values_at(pairs, [left_latency, right_latency], [0.95])
+    (left_p95,), (right_p95,) = latencies[left_latency], latencies[right_latency]
     counts = pairs.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(left) != F.col(right)).alias("_differ")
     )
@@ -181,10 +124,15 @@ def stability_index(bins: DataFrame, *, keys: Sequence[str] = (), epsilon: float
 
     Negative counts and an empty population fail the query.
     """
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    with_totals = bins.withColumn("_r", F.sum("reference").over(group)).withColumn(
-        "_o", F.sum("observed").over(group)
-    )
+    totals = bins.groupBy(*keys).agg(F.sum("reference").alias("_r"), F.sum("observed").alias("_o"))
+    if keys:
+        named = totals.select(*(F.col(k).alias(f"_key_{k}") for k in keys), "_r", "_o")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        with_totals = bins.join(named, same)
+    else:
+        with_totals = bins.withColumns({c: totals.select(c).scalar() for c in ("_r", "_o")})
     valid = (F.col("reference") >= 0) & (F.col("observed") >= 0) & (F.col("_r") > 0) & (F.col("_o") > 0)
     r = F.greatest(F.col("reference") / F.col("_r"), F.lit(epsilon))
     o = F.greatest(F.col("observed") / F.col("_o"), F.lit(epsilon))

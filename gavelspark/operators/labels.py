@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gavelspark.functions import text as tx
 from gavelspark.functions.decisions import ScoreCuts, score_decision, score_in_range
+from gavelspark.operators.quality import guarded
 from gavelspark.schemas import ALLOW
 
 # Id prefixes and the rule a restricted comment falls under.
@@ -107,13 +108,11 @@ def human_reviewed(
     agreed = (F.col("_toxic_low") == F.col("_toxic_high")) & (
         F.col("_jailbreak_low") == F.col("_jailbreak_high")
     )
-    checked = F.when(agreed, F.col("_toxic_low")).otherwise(
-        F.raise_error(F.lit("conflicting human labels for a repeated text")).cast("int")
-    )
-    return merged.select(
+    checked = guarded(merged, agreed, "conflicting human labels for a repeated text")
+    return checked.select(
         tx.digest_id(F.col("text"), PROMPT_ID_PREFIX).alias("example_id"),
         "text",
-        (checked == 1).alias("toxic"),
+        (F.col("_toxic_low") == 1).alias("toxic"),
         (F.col("_jailbreak_low") == 1).alias("jailbreaking"),
     )
 

@@ -72,7 +72,10 @@ def _hits(rules: str, text: str) -> Column:
 
 FIRST = "get({hits}, 0)"
 # Most terms found; declaration order breaks a tie.
-BEST = "array_min(transform({hits}, r -> struct(-r.hits as k, r.ordinal as o, r as rule))).rule"
+BEST = (
+    "array_min(transform({hits}, r -> struct(-r.hits as k, r.ordinal as o, r.rule_id as i, r.action as a,"
+    " r.text as t, r.remediation as m, r as rule))).rule"
+)
 
 
 def match_rules(
@@ -81,17 +84,18 @@ def match_rules(
     *,
     content: str = "content",
     version: str = "policy_version",
-    key: str = "case_id",
     pinned_version: str | None = None,
     broadcast_characters: int = BROADCAST_CHARACTERS,
 ) -> DataFrame:
     """Add ``first_rule`` and ``best_rule`` (null without a match) to every case.
 
     ``pinned_version`` adds ``pinned_rule``: the first match under that one version,
-    whatever version the case names.
+    whatever version the case names. Rules with the same ordinal are ordered by id, action,
+    text and remedy. A case without text or version matches nothing. ``broadcast_characters``
+    chooses between two plans with the same answers: it bounds what is broadcast.
     """
     if rule_characters(rules) > broadcast_characters:
-        return _match_by_fragments(cases, rules, content, version, key, pinned_version)
+        return _match_by_fragments(cases, rules, content, version, pinned_version)
     by_version = _by_version(rules)
     text = cases.withColumn("_text", normalize(content))
     if pinned_version is not None:
@@ -115,7 +119,6 @@ def _match_by_fragments(
     rules: DataFrame,
     content: str,
     version: str,
-    key: str,
     pinned_version: str | None,
 ) -> DataFrame:
     """The same matches for a rule table of any size, as an equi-join.
@@ -123,9 +126,12 @@ def _match_by_fragments(
     A term is found by its first ``FRAGMENT`` characters, or by all of them if it is
     shorter. Each text yields its distinct fragments of the lengths that occur, the full
     ones together with the text that follows, which decides whether the term is there.
+    Matches belong to a version and a digest of the normalized text, so case ids may repeat
+    and a repeated text has one answer.
     """
     terms = with_normal_terms(rules).select(
         "version", "rule_id", "action", "text", "remediation", "ordinal",
+        F.xxhash64("terms").alias("_terms"),
         F.posexplode("terms").alias("position", "term"),
     ).withColumn("_fragment", F.substring("term", 1, FRAGMENT))
     lengths, longest = terms.agg(
@@ -138,39 +144,48 @@ def _match_by_fragments(
     if FRAGMENT in lengths:
         patterns.append(f"(?=(.{{{FRAGMENT},{longest}}}))")
     pieces = F.concat(*(F.regexp_extract_all("_text", F.lit(p), F.lit(1)) for p in patterns))
-
-    def found(version_column: Column) -> DataFrame:
-        windows = (
-            cases.select(
-                F.col(key).alias("_key"), version_column.alias("_version"), normalize(content).alias("_text")
-            )
-            .select("_key", "_version", F.explode(F.array_distinct(pieces)).alias("_window"))
-            .withColumn("_head", F.substring("_window", 1, FRAGMENT))
-        )
-        pairs = windows.join(
-            terms,
-            (F.col("_version") == F.col("version"))
-            & (F.col("_head") == F.col("_fragment"))
-            & F.startswith(F.col("_window"), F.col("term")),
-        )
-        rule = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
-        return (
-            pairs.select("_key", *rule, "position").distinct()
-            .groupBy("_key", *rule).agg(F.count("*").cast("int").alias("hits"))
-            .select("_key", F.struct(*rule, "hits").alias("rule"))
+    digest = F.sha2(normalize(content), 256)
+    asked = F.array_distinct(F.array(F.col(version), *([] if pinned_version is None else [F.lit(pinned_version)])))
+    windows = (
+        cases.select(asked.alias("_asked"), normalize(content).alias("_text"))
+        .select("_asked", F.sha2("_text", 256).alias("_digest"), F.explode(F.array_distinct(pieces)).alias("_window"))
+        .select("_digest", "_window", F.explode("_asked").alias("_version"))
+        .withColumn("_head", F.substring("_window", 1, FRAGMENT))
+    )
+    pairs = windows.join(
+        terms,
+        (F.col("_version") == F.col("version"))
+        & (F.col("_head") == F.col("_fragment"))
+        & F.startswith(F.col("_window"), F.col("term")),
+    )
+    rule = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
+    order = [F.col(f"rule.{c}") for c in ("ordinal", "rule_id", "action", "text", "remediation")]
+    hits = (
+        pairs.select("_version", "_digest", *rule, "_terms", "position").distinct()
+        .groupBy("_version", "_digest", *rule, "_terms").agg(F.count("*").cast("int").alias("hits"))
+        .select("_version", "_digest", F.struct(*rule, "hits").alias("rule"))
+        .groupBy("_version", "_digest")
+        .agg(
+            F.min_by("rule", F.struct(*order)).alias("first_rule"),
+            F.min_by("rule", F.struct(-F.col("rule.hits"), *order)).alias("best_rule"),
         )
-
-    hits = found(F.col(version)).groupBy("_key").agg(
-        F.min_by("rule", F.col("rule.ordinal")).alias("first_rule"),
-        F.min_by("rule", F.struct(-F.col("rule.hits"), F.col("rule.ordinal"))).alias("best_rule"),
     )
-    matched = cases.join(hits, F.col(key) == F.col("_key"), "left").drop("_key")
+    own = hits.select(
+        F.col("_version").alias("_own_version"), F.col("_digest").alias("_own_digest"), "first_rule", "best_rule"
+    )
+    matched = cases.withColumn("_digest_of_text", digest).join(
+        own,
+        (F.col(version) == F.col("_own_version")) & (F.col("_digest_of_text") == F.col("_own_digest")),
+        "left",
+    )
+    answers = ["first_rule", "best_rule"]
     if pinned_version is not None:
-        pinned = found(F.lit(pinned_version)).groupBy("_key").agg(
-            F.min_by("rule", F.col("rule.ordinal")).alias("pinned_rule")
+        pinned = hits.where(F.col("_version") == pinned_version).select(
+            F.col("_digest").alias("_pinned_digest"), F.col("first_rule").alias("pinned_rule")
         )
-        matched = matched.join(pinned, F.col(key) == F.col("_key"), "left").drop("_key")
-    return matched
+        matched = matched.join(pinned, F.col("_digest_of_text") == F.col("_pinned_digest"), "left")
+        answers.append("pinned_rule")
+    return matched.select(*cases.columns, *answers)
 
 
 def verdict(rule: str, *, with_evidence: bool, check_evidence: bool = False) -> Column:

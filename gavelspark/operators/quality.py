@@ -12,11 +12,20 @@ def split_by(frame: DataFrame, contract: Column) -> tuple[DataFrame, DataFrame]:
     return frame.filter(met), frame.filter(~met)
 
 
+def guarded(frame: DataFrame, contract: Column, message: str | Column) -> DataFrame:
+    """The rows themselves; one that breaks the contract fails the query.
+
+    The check is a filter that no optimizer may drop, so it holds whichever columns are read
+    afterwards, and for a mere count.
+    """
+    text = F.lit(message) if isinstance(message, str) else message
+    failed = F.raise_error(F.coalesce(text, F.lit("a row breaks its contract"))).cast("boolean")
+    return frame.filter(F.when(F.coalesce(contract, F.lit(False)), F.lit(True)).otherwise(failed))
+
+
 def require(frame: DataFrame, contract: Column, message: str) -> DataFrame:
     """The rows themselves; one that breaks the contract fails the query."""
-    first = frame.columns[0]
-    guarded = F.when(F.coalesce(contract, F.lit(False)), F.col(first)).otherwise(F.raise_error(F.lit(message)))
-    return frame.withColumn(first, guarded)
+    return guarded(frame, contract, message)
 
 
 def key_counts(frame: DataFrame, key: str) -> DataFrame:

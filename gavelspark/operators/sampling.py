@@ -1,19 +1,16 @@
 """Repeatable samples and review packs.
 
 A sample is a bottom-k by a salted SHA-256 of the row id: exact in size, uniform, and the
-same on any cluster. Ranking reads the id column alone; the wide columns are fetched
-afterwards for the chosen ids only.
+same on any cluster. Rows are ranked by that hash, then by id, then by a digest of the whole
+row; null ids come last. So repeated and null ids are chosen row by row, and only copies that
+are equal in every column are interchangeable. Ranking carries hash, id and digest alone; the
+wide columns are fetched afterwards for the chosen rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-BROADCAST_IDS = 1_000_000
-SMALL_TABLE = 10_000_000
-SKETCH_ACCURACY = 10_000
 
 # The blind case columns and the empty annotation columns.
 BLIND_COLUMNS = ("case_id", "policy_version", "slice_name", "language", "content")
@@ -34,30 +31,34 @@ def hash_order(key: Column, seed: int | None = None) -> Column:
     return F.sha2(text if seed is None else F.concat(F.lit(f"{seed}:"), text), 256)
 
 
-def _restrict(frame: DataFrame, ids: DataFrame, key: str, size: int) -> DataFrame:
-    chosen = F.broadcast(ids) if size <= BROADCAST_IDS else ids
-    return frame.join(chosen, key, "left_semi")
+def _tagged(frame: DataFrame, key: str, seed: int | None) -> DataFrame:
+    return frame.withColumns(
+        {"_hash": hash_order(F.col(key), seed), "_digest": F.xxhash64(*(F.col(f"`{c}`") for c in frame.columns))}
+    )
+
 
+def _order(key: str) -> list[Column]:
+    return [F.col("_hash").asc_nulls_last(), F.col(key), F.col("_digest")]
 
-def _likely_smallest(hashed: DataFrame, rows: int, size: int) -> DataFrame:
-    """Rule out nearly all rows of a large table by a bound on the uniform ``_hash``.
 
-    Otherwise every task would hand ``size`` rows to the one that merges them. The bound
-    is only used if enough rows remain below it.
-    """
-    if rows > SMALL_TABLE:
-        share = (size + 12.0 * size**0.5 + 100.0) / rows
-        if share < 0.5:
-            below = hashed.filter(F.col("_hash") < format(int(share * 16**15), "015x"))
-            if below.select("_hash").count() >= size:
-                return below
-    return hashed
+def _fetched(tagged: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``tagged`` that ``chosen`` names by hash and digest, each as often as named."""
+    name = [F.coalesce("_hash", F.lit("")).alias("_h"), F.col("_digest").alias("_d")]
+    wanted = chosen.select(*name).groupBy("_h", "_d").agg(F.count("*").alias("_n"))
+    rows = tagged.withColumn("_h", F.coalesce("_hash", F.lit(""))).withColumn("_d", F.col("_digest"))
+    copy = F.row_number().over(Window.partitionBy("_h", "_d").orderBy("_h"))
+    return (
+        rows.join(wanted, ["_h", "_d"])
+        .withColumn("_copy", copy)
+        .where(F.col("_copy") <= F.col("_n"))
+        .drop("_h", "_d", "_n", "_copy", "_hash", "_digest")
+    )
 
 
 def smallest_hashes(frame: DataFrame, key: str, size: int, seed: int | None = None) -> DataFrame:
-    """Ids of the ``size`` smallest hashes."""
-    ids = frame.select(key, hash_order(F.col(key), seed).alias("_hash"))
-    return _likely_smallest(ids, frame.count(), size).orderBy("_hash", key).limit(size).select(key)
+    """The ``size`` first rows in hash order."""
+    tagged = _tagged(frame, key, seed)
+    return _fetched(tagged, tagged.select("_hash", key, "_digest").orderBy(*_order(key)).limit(size))
 
 
 def sample_exact(
@@ -71,28 +72,16 @@ def sample_exact(
     return sample_at_most(frame, size, key=key, seed=seed).orderBy(order_by or key)
 
 
-def sample_at_most(
-    frame: DataFrame, size: int | None, *, key: str, seed: int = 42, unique: bool = True
-) -> DataFrame:
-    """Down-sample only when there are more than ``size`` rows; ``None`` keeps all.
-
-    A ``key`` that is not unique (``unique=False``) cannot select rows by itself; then the
-    rows themselves are ranked, those with equal keys by their other columns.
-    """
-    if not size:
-        return frame
-    if unique:
-        return _restrict(frame, smallest_hashes(frame, key, size, seed), key, size)
-    hashed = frame.withColumn("_hash", hash_order(F.col(key), seed))
-    ranked = _likely_smallest(hashed, frame.count(), size)
-    return ranked.orderBy("_hash", key, F.xxhash64(*frame.columns)).limit(size).drop("_hash")
+def sample_at_most(frame: DataFrame, size: int | None, *, key: str, seed: int = 42) -> DataFrame:
+    """Down-sample only when there are more than ``size`` rows; ``None`` keeps all."""
+    return smallest_hashes(frame, key, size, seed) if size else frame
 
 
 def hash_top(frame: DataFrame, size: int, *, key: str, check: bool = True) -> DataFrame:
     """The first ``size`` rows in hash order; ``check`` requires that many."""
     if check and (size < 1 or frame.select(key).limit(size).count() < size):
         raise ValueError("size must fit within the source")
-    return _restrict(frame, smallest_hashes(frame, key, size), key, size)
+    return smallest_hashes(frame, key, size)
 
 
 def _ranked(frame: DataFrame, by: str, order: list[Column], size: int) -> DataFrame:
@@ -101,35 +90,26 @@ def _ranked(frame: DataFrame, by: str, order: list[Column], size: int) -> DataFr
 
 
 def first_per_slice(frame: DataFrame, size: int, *, by: str = "slice_name", order_by: str = "case_id") -> DataFrame:
-    """First rows of each slice in the given order. Each task keeps its own first rows
-    before the shuffle, so a dominant slice moves no more than a small one."""
-    return _ranked(frame, by, [F.col(order_by)], size)
+    """First rows of each slice in the given order, ties by a digest of the row. Each task
+    keeps its own first rows before the shuffle, and only slice, order and digest travel; a
+    dominant slice moves no more than a small one."""
+    tagged = _tagged(frame, order_by, None)
+    thin = tagged.select(by, order_by, "_hash", "_digest")
+    return _fetched(tagged, _ranked(thin, by, [F.col(order_by).asc_nulls_last(), F.col("_digest")], size))
 
 
 def hash_per_slice(frame: DataFrame, size: int, *, by: str = "slice_name", key: str = "case_id") -> DataFrame:
-    """First rows of each slice in hash order, ties by id."""
+    """First rows of each slice in hash order, ties by id and digest of the row."""
     if size < 1:
         raise ValueError("rows per slice must be positive")
-    return _ranked(frame, by, [hash_order(F.col(key)), F.col(key)], size)
+    tagged = _tagged(frame, key, None)
+    thin = tagged.select(by, key, "_hash", "_digest")
+    return _fetched(tagged, _ranked(thin, by, _order(key), size))
 
 
 def first_rows(frame: DataFrame, size: int, *, order_by: str) -> DataFrame:
-    """First rows by an order column.
-
-    On a large table a sketch of a numeric or time order gives an upper bound the first
-    rows lie below; it is only used if enough rows do.
-    """
-    ordered = frame
-    kind = frame.schema[order_by].dataType
-    if isinstance(kind, (T.NumericType, T.TimestampType, T.DateType)):
-        rows = frame.count()
-        share = (size + 100.0) / rows + 2.0 / SKETCH_ACCURACY if rows else 1.0
-        if rows > SMALL_TABLE and share < 0.5:
-            bound = frame.agg(F.percentile_approx(order_by, share, SKETCH_ACCURACY)).first()[0]
-            below = frame.filter(F.col(order_by) <= bound)
-            if below.select(order_by).count() >= size:
-                ordered = below
-    return ordered.orderBy(order_by).limit(size)
+    """First rows by an order column, nulls last. Each task hands on its own first rows only."""
+    return frame.orderBy(F.col(order_by).asc_nulls_last()).limit(size)
 
 
 def seeded_shuffle(frame: DataFrame, *, key: str, seed: int = 42) -> DataFrame:

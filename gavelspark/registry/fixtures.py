@@ -63,9 +63,9 @@ select o_orderkey as case_id,
 from {orders}""",
     "drift": """
 select case when ts < timestamp '2024-01-16 00:00:00' then 'reference' else 'observed' end as population,
-       event_type as bin, count(*) as n
-from {events} where not (event_type='view' and user_id%2=0 and ts >= timestamp '2024-01-16 00:00:00')
-group by 1, 2""",
+       case when event_type='view' and user_id%2=0 and ts >= timestamp '2024-01-16 00:00:00' then 'click' else event_type end as bin,
+       count(*) as n
+from {events} group by 1, 2""",
     "request_log": """
 select event_id, ts, case when event_type='error' then 503 else 200 end as status, value as latency_ms,
        case event_type when 'purchase' then 'REJECT' when 'click' then 'ESCALATE' else 'ALLOW' end as decision
@@ -73,8 +73,10 @@ from {events}""",
     "review_events": """
 select event_id as seq, ts, concat('c', user_id, '-', event_id%20) as case_id,
        case when event_type in ('view','click') then 'enqueue' else 'resolve' end as kind,
-       case when event_type='purchase' then 'REJECT' when event_type='error' then 'ALLOW' end as reviewer_decision
-from {events} where event_type <> 'signup'""",
+       case when event_type='purchase' then 'REJECT' when event_type='error' then 'ALLOW' when event_type='signup' then 'ESCALATE' end as reviewer_decision,
+       concat('ref-', event_id) as content_reference, concat('m', user_id%3) as model_id,
+       case when event_type='click' then 'REJECT' when event_type='view' then 'ESCALATE' end as proposed_decision
+from {events}""",
     "slice_cases": """
 select concat('D-', doc_id) as case_id, doc_id, source as slice_name, lang as language from {documents}""",
     "doc_rules": """

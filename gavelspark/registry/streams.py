@@ -11,7 +11,7 @@ from gavelspark.registry.fixtures import cte, fixture
 from gavelspark.sources.readers import file_manifest, stream_table, table, unpaired_files
 from gavelspark.streaming import moderation as mo
 from gavelspark.streaming import monitoring as mn
-from gavelspark.streaming.runner import totals_available, write_available
+from gavelspark.streaming.runner import latest_available, write_available
 
 FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -24,11 +24,6 @@ def sql_at(expression: str, name: str) -> str:
     return f"strftime({expression}, '%Y-%m-%d %H:%M:%S') as {name}"
 
 
-# A window is emitted once the watermark, an hour behind the newest row, has passed it.
-def sql_closed(end: str) -> str:
-    return f"{end} <= (select max(ts) from events) - interval 1 hour"
-
-
 def log_columns(events):
     decision = (
         F.when(F.col("event_type") == "purchase", "REJECT")
@@ -55,7 +50,7 @@ def log_stream(spark, folder):
     + "select decision, count(*) as requests, round(avg(latency_ms), 6) as mean_latency_ms from request_log group by 1",
 )
 def streamed_counts(spark, folder):
-    counts = totals_available(mo.running_counts(log_stream(spark, folder)), "counts")
+    counts = latest_available(mo.running_counts(log_stream(spark, folder)), "counts", ["decision"])
     return counts.withColumn("mean_latency_ms", F.round("mean_latency_ms", 6))
 
 
@@ -63,11 +58,11 @@ def streamed_counts(spark, folder):
     "streamed_window_counts",
     cte("request_log")
     + f"""select {sql_at("time_bucket(interval '1 hour', ts)", 'window_start')}, decision, count(*) as n, round(sum(latency_ms), 4) as latency_sum
-from request_log where {sql_closed("time_bucket(interval '1 hour', ts) + interval 1 hour")} group by all""",
+from request_log group by all""",
 )
 def streamed_window_counts(spark, folder):
     windows = mo.windowed_counts(log_stream(spark, folder), width="1 hour", latency="latency_ms")
-    return write_available(windows, "window-counts").select(
+    return latest_available(windows, "window-counts", ["window_start", "decision"]).select(
         _at("window_start"), "decision", "n", F.round("latency_sum", 4).alias("latency_sum")
     )
 
@@ -107,25 +102,31 @@ def moderated_stream(spark, folder):
 
 
 def review_columns(events):
-    return events.filter(F.col("event_type") != "signup").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("c"), "user_id", F.lit("-"), F.col("event_id") % 20).alias("case_id"),
         F.when(F.col("event_type").isin("view", "click"), "enqueue").otherwise("resolve").alias("kind"),
         F.when(F.col("event_type") == "purchase", "REJECT")
         .when(F.col("event_type") == "error", "ALLOW")
+        .when(F.col("event_type") == "signup", "ESCALATE")
         .alias("reviewer_decision"),
+        F.concat(F.lit("ref-"), "event_id").alias("content_reference"),
+        F.concat(F.lit("m"), F.col("user_id") % 3).alias("model_id"),
+        F.when(F.col("event_type") == "click", "REJECT")
+        .when(F.col("event_type") == "view", "ESCALATE")
+        .alias("proposed_decision"),
     )
 
 
 QUEUE = (
     cte("review_events")[:-1]
-    + """, opened as (select case_id, ts, seq from review_events where kind = 'enqueue' qualify row_number() over (partition by case_id order by ts, seq) = 1),
+    + """, opened as (select case_id, ts, seq, content_reference, model_id, proposed_decision from review_events where kind = 'enqueue' qualify row_number() over (partition by case_id order by ts, seq) = 1),
 closed as (select r.case_id, r.reviewer_decision from review_events r join opened o on r.case_id = o.case_id
            where r.kind = 'resolve' and (r.ts > o.ts or (r.ts = o.ts and r.seq > o.seq))
            qualify row_number() over (partition by r.case_id order by r.ts, r.seq) = 1),
 totals as (select case_id, count(*) as n from review_events group by 1),
-queue as (select t.case_id, case when o.case_id is null then 'unknown' when c.case_id is null then 'pending' else 'resolved' end as status, c.reviewer_decision,
+queue as (select t.case_id, case when o.case_id is null then 'unknown' when c.case_id is null then 'pending' else 'resolved' end as status, o.content_reference, o.model_id, o.proposed_decision, c.reviewer_decision,
           n - case when o.case_id is null then 0 else 1 end - case when c.case_id is null then 0 else 1 end as rejected_events
    from totals t left join opened o on t.case_id = o.case_id left join closed c on t.case_id = c.case_id)
 """
@@ -160,7 +161,7 @@ def _reference_counts(spark, folder):
 @registered(
     "drift_by_window",
     cte("drift")[:-1]
-    + f""", windows as (select date_trunc('day', ts) as w, event_type as bin, count(*) as n from events where {sql_closed("date_trunc('day', ts) + interval 1 day")} group by 1, 2),
+    + f""", windows as (select date_trunc('day', ts) as w, event_type as bin, count(*) as n from events group by 1, 2),
 days as (select distinct w from windows), names as (select bin from drift where population = 'reference' union select bin from windows),
 bins as (select d.w, b.bin, coalesce(x.n, 0) as observed, coalesce(r.n, 0) as reference from days d cross join names b
          left join windows x on x.w = d.w and x.bin = b.bin left join drift r on r.bin = b.bin and r.population = 'reference'),
@@ -172,35 +173,53 @@ from rates group by w""",
 )
 def drift_by_window(spark, folder):
     windows = mo.windowed_counts(log_stream(spark, folder), width="1 day", by="bin")
-    counts = write_available(windows, "drift-windows")
+    counts = latest_available(windows, "drift-windows", ["window_start", "bin"])
     psi = mn.drift_by_window(counts, _reference_counts(spark, folder))
     return psi.select(_at("window_start"), F.round("psi", 9).alias("psi"), "verdict")
 
 
-LATENCY_LIMIT = 60.0
+# Four times the events' values are latencies on both sides of the limit.
+SCALE = 4
 
 
 @registered(
     "latency_breaches",
-    f"""select {sql_at("time_bucket(interval '15 minutes', ts)", 'window_start')}, count(*) as n, count(*) filter (value > {LATENCY_LIMIT}) as over,
-       quantile_cont(value, 0.95) > {LATENCY_LIMIT} as breached
-from events where {sql_closed("time_bucket(interval '15 minutes', ts) + interval 15 minutes")} group by 1""",
+    f"""select {sql_at("time_bucket(interval '15 minutes', ts)", 'window_start')}, count(*) as n, count(*) filter (value * {SCALE} > {mn.P95_LIMIT_MS}) as over,
+       quantile_cont(value * {SCALE}, 0.95) > {mn.P95_LIMIT_MS} as breached
+from events group by 1""",
 )
 def latency_breaches(spark, folder):
-    windows = mn.latency_windows(log_stream(spark, folder), limit=LATENCY_LIMIT)
-    seen = write_available(windows, "latency-windows")
-    return mn.latency_breaches(seen, limit=LATENCY_LIMIT).select(_at("window_start"), "n", "over", "breached")
+    log = log_stream(spark, folder).withColumn("latency_ms", F.col("latency_ms") * SCALE)
+    seen = latest_available(mn.latency_windows(log), "latency-windows", ["window_start"])
+    return mn.latency_breaches(seen).select(_at("window_start"), "n", "over", "breached")
+
+
+# An incident: a month of events within an hour, the first third of it an outage in which
+# clicks fail too, then healthy traffic.
+BASE, FASTER = 1_704_067_200_000_000, 720
+INCIDENT = f"""incident as (
+  select make_timestamp({BASE} + (epoch_us(ts) - {BASE}) // {FASTER}) as ts,
+         case when event_type in ('error', 'click') and ts < timestamp '2024-01-11 00:00:00' then 503 else 200 end as status
+  from events)"""
+
+
+def incident(events):
+    failed = F.col("event_type").isin("error", "click") & (F.col("ts") < F.lit("2024-01-11 00:00:00").cast("timestamp"))
+    return events.select(
+        F.expr(f"timestamp_micros({BASE} + (unix_micros(cast(ts as timestamp)) - {BASE}) div {FASTER})").alias("ts"),
+        F.when(failed, 503).otherwise(200).alias("status"),
+    )
 
 
 @registered(
     "error_alarms",
-    f"""with m as (select date_trunc('minute', ts) as minute, count(*) as errors from events where event_type = 'error' group by 1),
-closed as (select * from m where minute + interval 1 minute <= (select max(ts) from events where event_type = 'error') - interval 1 hour and errors >= 1)
-select {sql_at('a.minute', 'alarm_at')} from closed a join closed b on a.minute = b.minute + interval 1 minute""",
+    f"""with {INCIDENT}, m as (select date_trunc('minute', ts) as minute from incident where status >= 500 group by 1 having count(*) >= {mn.ERRORS_PER_MINUTE})
+select {sql_at('a.minute', 'alarm_at')} from m a join m b on a.minute = b.minute + interval 1 minute""",
 )
 def error_alarms(spark, folder):
-    minutes = write_available(mn.error_minutes(log_stream(spark, folder)), "error-minutes")
-    return mn.error_alarms(minutes, minimum=1).select(_at("alarm_at"))
+    log = incident(stream_table(spark, folder, "events"))
+    minutes = latest_available(mn.error_minutes(log), "error-minutes", ["minute"])
+    return mn.error_alarms(minutes).select(_at("alarm_at"))
 
 
 @registered(

@@ -38,7 +38,7 @@ def read_comments(
     paths = [path] if isinstance(path, str) else path
     rows = spark.read.schema(T.StructType(fields)).parquet(*paths)
     return sample_at_most(
-        labelled_comments(rows, cuts=cuts), limit, key=key or "text", seed=seed, unique=key is not None
+        labelled_comments(rows, cuts=cuts), limit, key=key or "text", seed=seed
     )
 
 

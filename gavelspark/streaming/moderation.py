@@ -109,15 +109,19 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
 
     The first enqueue opens a case, the first later resolve closes it, everything else is
     rejected. Both steps are minima with partial aggregation, so no case's history is
-    collected, however long it is. The join between them spreads a case with very many
+    collected, however long it is. A case shows what its first enqueue says about it (content
+    reference, model, proposed decision) and what its closing says. The join between them spreads a case with very many
     events over several tasks.
     """
     # Stated here as well, so that the joins below infer nothing new and the aggregation is
     # shuffled once for its three uses.
     log = log.filter(F.col("case_id").isNotNull())
     at = _order_key(log, ts, seq)
+    entered = F.when(F.col("kind") == "enqueue", at)
+    entry = [c for c in ("content_reference", "model_id", "proposed_decision") if c in log.columns]
+    first = [F.min_by(F.struct(*entry), entered).alias("_entry")] if entry else []
     opened = log.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("events"), F.min(F.when(F.col("kind") == "enqueue", at)).alias("opened")
+        F.count(F.lit(1)).alias("events"), F.min(entered).alias("opened"), *first
     )
     answer = [c for c in ("reviewer_decision", "reviewer_id") if c in log.columns]
     closings = log.filter(F.col("kind") == "resolve").select(
@@ -152,6 +156,7 @@ def review_queue(log: DataFrame, *, ts: str = "ts", seq: str = "seq", keep_unkno
     return state.select(
         "case_id",
         status.alias("status"),
+        *(F.col(f"_entry.{c}").alias(c) for c in entry),
         *(F.col(f"_closed.{c}").alias(c) for c in answer),
         (
             F.col("events")

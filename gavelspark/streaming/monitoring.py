@@ -1,7 +1,8 @@
 """Runbook triggers: drift, latency, server errors and the rollback verdict.
 
-The streaming part of each is one windowed aggregate with small, bounded state, appended
-to a table when a window closes; the rest reads that table.
+The streaming part of each is one windowed aggregate with small, bounded state. Written with
+``latest_available`` its table also has the windows that are still open; with
+``write_available`` each window is appended once it closes. The rest reads that table.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.operators.drift import stability_index
+from gavelspark.operators.drift import RATE_FLOOR, drift_verdict
+from gavelspark.operators.quality import guarded
 from gavelspark.streaming.moderation import LATE
 
 # Latency trigger and server-error alarm.
@@ -17,30 +19,53 @@ P95_LIMIT_MS = 250.0
 P95_WINDOW = "15 minutes"
 ERRORS_PER_MINUTE = 5
 CONSECUTIVE_MINUTES = 2
+#: How late a request may arrive and still count for an alarm.
+ALARM_LATE = "2 minutes"
 
 
 def drift_by_window(
     counts: DataFrame, reference: DataFrame, *, window: str = "window_start", bin: str = "bin", count: str = "n"
 ) -> DataFrame:
-    """Stability index of every window's bins against fixed reference counts."""
-    expected = reference.agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(bin), F.col(count).cast("long")))).alias("m")
-    ).scalar()
-    seen = (
-        counts.groupBy(window, bin).agg(F.sum(count).cast("long").alias("n"))
-        .groupBy(window).agg(F.map_from_entries(F.collect_list(F.struct(F.col(bin), F.col("n")))).alias("_seen"))
-        .withColumn("_expected", expected)
+    """Stability index of every window's bins against fixed reference counts.
+
+    Every window is compared over the reference's bins and its own. What a bin adds that a
+    window lacks does not depend on the window, so the sum over all reference bins is taken
+    once, and each window corrects it for the bins it has: no window meets bins it has no row
+    of. Negative counts and an empty population fail the query.
+    """
+    expected = reference.groupBy(F.col(bin).alias("_bin")).agg(F.sum(count).alias("_n"))
+    total = expected.agg(F.sum("_n").alias("t"), F.min("_n").alias("least"))
+    floor = F.lit(RATE_FLOOR)
+
+    def term(r: Column, o: Column) -> Column:
+        return (o - r) * F.log(o / r)
+
+    share = expected.withColumn("_t", total.select("t").scalar()).select(
+        "_bin", F.greatest(F.col("_n") / F.col("_t"), floor).alias("_r")
+    )
+    absent = share.agg(F.sum(term(F.col("_r"), floor)).alias("s"), F.count("*").alias("k"))
+    seen = counts.groupBy(window, bin).agg(F.sum(count).alias("_seen"))
+    sizes = seen.groupBy(F.col(window).alias("_w")).agg(F.sum("_seen").alias("_size"), F.min("_seen").alias("_least"))
+    valid = (F.col("_size") > 0) & (F.col("_least") >= 0) & (F.col("_t") > 0) & (F.col("_t_least") >= 0)
+    sizes = guarded(
+        sizes.withColumns({"_t": total.select("t").scalar(), "_t_least": total.select("least").scalar()}),
+        valid,
+        "counts must be non-negative and each population non-empty",
+    ).select("_w", "_size")
+    joined = seen.join(sizes, F.col(window).eqNullSafe(F.col("_w"))).join(
+        share, F.col(bin) == F.col("_bin"), "left"
     )
-    zero = F.lit(0).cast("long")
-    bins = F.transform(
-        F.array_union(F.map_keys("_seen"), F.map_keys("_expected")),
-        lambda name: F.struct(
-            name.alias("bin"),
-            F.coalesce(F.try_element_at("_expected", name), zero).alias("reference"),
-            F.coalesce(F.try_element_at("_seen", name), zero).alias("observed"),
-        ),
+    o = F.greatest(F.col("_seen") / F.col("_size"), floor)
+    r = F.coalesce("_r", floor)
+    correction = term(r, o) - F.when(F.col("_r").isNotNull(), term(F.col("_r"), floor)).otherwise(0.0)
+    psi = F.coalesce(F.col("_absent"), F.lit(0.0)) + F.col("_sum")
+    return (
+        joined.groupBy(window)
+        .agg(F.sum(correction).alias("_sum"))
+        .withColumn("_absent", absent.select("s").scalar())
+        .select(window, psi.alias("psi"))
+        .withColumn("verdict", drift_verdict(F.col("psi")))
     )
-    return stability_index(seen.select(window, F.inline(bins)), keys=[window])
 
 
 def latency_windows(
@@ -93,14 +118,21 @@ def latency_breaches(windows: DataFrame, *, limit: float = P95_LIMIT_MS) -> Data
     return windows.select("window_start", "n", "over", breached.alias("breached"))
 
 
-def error_minutes(log: DataFrame, *, ts: str = "ts", status: str = "status", late: str = LATE) -> DataFrame:
-    """Server errors per minute; minutes without errors have no row."""
+def error_minutes(
+    log: DataFrame, *, ts: str = "ts", status: str = "status", late: str = ALARM_LATE
+) -> DataFrame:
+    """Server errors per minute; minutes without errors have no row.
+
+    Every request moves the watermark on, healthy ones too, so an outage is reported when
+    traffic is healthy again. That is why errors are counted among all rows: a filter before
+    the aggregate would let time stand still between errors.
+    """
     return (
-        log.filter(F.col(status) >= 500)
-        .withColumn("_ts", F.col(ts).cast("timestamp"))
+        log.withColumn("_ts", F.col(ts).cast("timestamp"))
         .withWatermark("_ts", late)
         .groupBy(F.window("_ts", "1 minute").alias("_w"))
-        .agg(F.count(F.lit(1)).alias("errors"))
+        .agg(F.count_if(F.col(status) >= 500).alias("errors"))
+        .filter(F.col("errors") > 0)
         .select(F.col("_w.start").alias("minute"), "errors")
     )
 

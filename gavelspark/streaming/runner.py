@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gavelspark.sources.storage import new_folder
 
@@ -30,18 +30,33 @@ def write_available(stream: DataFrame, name: str, *, folder: str | None = None,
     return spark.read.schema(stream.schema).parquet(folder)
 
 
-def totals_available(stream: DataFrame, name: str) -> DataFrame:
-    """Complete-mode totals over what is available. For aggregates with a handful of
-    groups only: the result table is kept by the driver."""
+def latest_available(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Current values of an aggregate over what is available, one row for each of its keys,
+    with the windows that are still open.
+
+    Each micro-batch writes the rows it changed under its number, so a repeated batch
+    replaces its own rows; the last batch that names a key has its value. Nothing is kept by
+    the driver, and the table may have any number of keys.
+    """
     spark = stream.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
+    folder = new_folder(spark, name)
+    values = [c for c in stream.columns if c not in keys]
+
+    def put(batch: DataFrame, number: int) -> None:
+        changed = batch.withColumn("_batch", F.lit(number).cast("long"))
+        changed.write.mode("overwrite").parquet(f"{folder}/{number}")
+
     query = (
-        stream.writeStream.format("memory")
-        .queryName(table)
-        .outputMode("complete")
+        stream.writeStream.foreachBatch(put)
+        .outputMode("update")
         .option("checkpointLocation", new_folder(spark, f"{name}-checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(table)
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.LongType())])
+    if query.lastProgress is None:  # no input, so no batch
+        return spark.createDataFrame([], stream.schema)
+    written = spark.read.schema(schema).parquet(f"{folder}/*")
+    latest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_latest"))
+    return latest.select(*keys, "_latest.*")

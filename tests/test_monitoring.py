@@ -34,8 +34,8 @@ def test_shadow_report(spark):
 
 
 @pytest.mark.parametrize("kind", ["distinct", "heavy", "two values", "constant"])
-def test_exact_percentiles_of_large_columns(spark, monkeypatch, kind):
-    """The rank selection used beyond the size limit, against NumPy."""
+def test_exact_percentiles(spark, kind):
+    """Rank selection against NumPy."""
     rng = np.random.default_rng(3)
     n = 20_001
     values = {
@@ -47,10 +47,9 @@ def test_exact_percentiles_of_large_columns(spark, monkeypatch, kind):
     import pandas as pd
 
     frame = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
-    monkeypatch.setattr(dr, "EXACT_ROWS", 50)
-    monkeypatch.setattr(dr, "SKETCH_ACCURACY", 100)
     points = [0.0, 0.5, 0.95, 0.99, 1.0]
     assert dr.exact_percentiles(frame, "v", points) == pytest.approx(list(np.percentile(values, [p * 100 for p in points])))
+    assert dr.exact_percentiles(frame.where("v is null"), "v", points) == [None] * 5
 
 
 def test_latency_report(spark):

@@ -106,6 +106,20 @@ def test_broadcast_and_fragment_matching_equal_brute_force(spark):
         assert len(rows) == 150 and got == expected
 
 
+def test_both_plans_match_repeated_ids_nulls_and_tied_rules_alike(spark):
+    rules = [("v1", f"R{i}", "t", a, ["beer", "wine"], f"text {i % 2}", None, 1) for i, a in enumerate(["REJECT", "ALLOW", "ESCALATE"])]
+    rules += [("v1", "R0", "t", "REJECT", ["wine cellar", "b"], "text 0", None, 1), ("v2", "R9", "t", "REJECT", ["beer"], "x", "y", 0)]
+    frame = spark.createDataFrame(rules, "version string, rule_id string, topic string, action string, terms array<string>, text string, remediation string, ordinal int")
+    cases = [("same", "v1", "good BEER"), ("same", "v1", "nothing"), ("same", "v2", "good beer"), (None, "v1", "wine cellar"),
+             ("n", None, "beer"), ("m", "v1", None), ("same", "v1", "good BEER"), ("z", "v3", "beer")]
+    table = spark.createDataFrame(cases, "case_id string, policy_version string, content string")
+    found = [
+        sorted(map(str, po.match_rules(table, frame, pinned_version="v1", broadcast_characters=n).collect()))
+        for n in (po.BROADCAST_CHARACTERS, 0)
+    ]
+    assert found[0] == found[1] and len(found[0]) == len(cases)
+
+
 def test_empty_terms_are_refused(spark, cases):
     rows = [("v1", "R", "t", "REJECT", ["वाइन"], "text", "fix", 0)]
     with pytest.raises(PySparkException):
@@ -132,6 +146,12 @@ def test_pairing_needs_both_sides(spark):
         ag.pair_results(left, right.filter("case_id = 'a'")).collect()
     with pytest.raises(PySparkException):
         ag.pair_results(left.filter("case_id = 'a'"), right).collect()
+    with pytest.raises(PySparkException):
+        ag.pair_results(left.filter("case_id = 'a'"), right).count()
+    with pytest.raises(PySparkException):
+        ag.pair_results(left, right.union(right)).select("x").collect()
+    with pytest.raises(PySparkException):
+        ag.pair_results(left.union(left), right.union(right)).count()
 
 
 def test_no_shuffle_of_case_text(cases, rules):

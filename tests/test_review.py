@@ -62,24 +62,27 @@ def test_samples(spark):
             sp.sample_exact(frame, size, key="id")
 
 
-def test_large_table_sample_is_narrowed_and_still_exact(spark, monkeypatch):
-    frame = spark.range(20_000)
-    whole = sorted(range(20_000), key=lambda i: sha(f"42:{i}"))[:50]
-    monkeypatch.setattr(sp, "SMALL_TABLE", 1_000)
-    narrowed = sp.smallest_hashes(frame, "id", 50, 42)
-    assert sorted(r.id for r in narrowed.collect()) == sorted(whole)
-    # Every id three times: rows are counted, not ids.
-    tripled = frame.withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
-    picked = sp.sample_at_most(tripled, 50, key="id", unique=False).collect()
-    assert len(picked) == 50 and {r.id for r in picked} == set(whole[:17])
-
-
-def test_first_rows_of_a_large_table(spark, monkeypatch):
-    frame = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("i"), F.col("id").alias("v"))
-    whole = sorted(i * 7919 % 20_011 for i in range(20_000))[:40]
-    for limit in (1_000, 10_000_000):
-        monkeypatch.setattr(sp, "SMALL_TABLE", limit)
-        assert [r.i for r in sp.first_rows(frame, 40, order_by="i").collect()] == whole
+def test_repeated_and_null_keys_are_sampled_row_by_row(spark):
+    rows = [(i, c) for i in range(40) for c in range(3)] + [(None, c) for c in range(7)]
+    frame = spark.createDataFrame(rows + [(5, 0)] * 100, "id int, copy int").repartition(5)
+    order = sorted({i for i, _ in rows if i is not None}, key=lambda i: sha(f"42:{i}"))
+    for size in (1, 5, 50, 200, 224, 227):
+        picked = sp.sample_at_most(frame, size, key="id").collect()
+        expected = [i for i in order for _ in range(103 if i == 5 else 3)]
+        expected = (expected + [None] * 7)[:size]
+        assert sorted((r.id for r in picked), key=str) == sorted(expected, key=str)
+        again = sp.sample_at_most(frame.repartition(3), size, key="id").collect()
+        assert sorted(map(str, picked)) == sorted(map(str, again))
+    assert sp.sample_exact(frame, 5, key="id").count() == 5
+    assert sp.hash_top(frame, 227, key="id").count() == 227
+    slices = frame.withColumn("slice_name", F.lit("one"))
+    assert sp.hash_per_slice(slices, 225, key="id").count() == 225
+    assert sp.first_per_slice(slices, 4, order_by="id").count() == 4
+
+
+def test_first_rows_with_nulls_last(spark):
+    frame = spark.createDataFrame([(None,), (3,), (1,), (None,), (2,)], "i int")
+    assert [r.i for r in sp.first_rows(frame, 4, order_by="i").collect()] == [1, 2, 3, None]
 
 
 def test_seeded_shuffle_order(spark):
@@ -107,6 +110,10 @@ def test_annotators_must_label_each_case_once(spark, other):
     a = annotations(spark, [("1", "ALLOW", "none"), ("2", "REJECT", "R1")])
     with pytest.raises(PySparkException):
         ag.agreement_report(ag.compare_annotations(a, annotations(spark, other))).collect()
+    compared = ag.compare_annotations(a, annotations(spark, other))
+    assert [r.agreed for r in compared.where("case_id = '2'").collect()] == [False]
+    with pytest.raises(PySparkException):
+        ag.disagreements(compared).collect()
 
 
 def test_id_sets_and_missing_fields(spark):
@@ -119,6 +126,10 @@ def test_id_sets_and_missing_fields(spark):
     assert ag.missing_fields(row, fields).first().missing == ["decision", "reason"]
     with pytest.raises(PySparkException, match="decision, reason"):
         ag.require_complete(row, fields).collect()
+    with pytest.raises(PySparkException):
+        ag.require_complete(row, fields).count()
+    with pytest.raises(PySparkException):
+        ag.require_complete(row, fields).select("case_id").collect()
     complete = row.na.fill("x")
     assert ag.require_complete(complete, fields).count() == 1
 
@@ -140,3 +151,5 @@ def test_integrity(spark):
     assert (good.count(), bad.count()) == (2, 1)
     with pytest.raises(PySparkException):
         ql.require(frame, F.col("v") > 1, "too small").collect()
+    with pytest.raises(PySparkException):
+        ql.require(frame, F.col("v") > 1, "too small").select("v").count()

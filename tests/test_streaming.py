@@ -8,7 +8,7 @@ from gavelspark.functions.decisions import Thresholds
 from gavelspark.sources.readers import stream_table
 from gavelspark.streaming import moderation as mo
 from gavelspark.streaming import monitoring as mn
-from gavelspark.streaming.runner import totals_available, write_available
+from gavelspark.streaming.runner import latest_available, write_available
 
 START = dt.datetime(2024, 1, 1)
 
@@ -38,7 +38,7 @@ def log(spark, tmp_path):
 
 def test_running_counts(spark, log):
     rows, folder = log
-    counts = totals_available(mo.running_counts(stream_table(spark, folder, "log", max_files=1)), "running")
+    counts = latest_available(mo.running_counts(stream_table(spark, folder, "log", max_files=1)), "running", ["decision"])
     got = {r.decision: (r.requests, r.mean_latency_ms) for r in counts.collect()}
     for decision in ("ALLOW", "REJECT", "ESCALATE"):
         latencies = [r[3] for r in rows if r[4] == decision]
@@ -58,6 +58,26 @@ def test_closed_windows_over_several_batches(spark, log):
     assert got == expected and got
 
 
+def test_open_windows_come_out_too(spark, log):
+    rows, folder = log
+    stream = mo.windowed_counts(stream_table(spark, folder, "log", max_files=1), width="30 minutes", late="10 minutes")
+    found = latest_available(stream, "w", ["window_start", "decision"])
+    assert sum(r.n for r in found.collect()) == len(rows)
+    assert found.select("window_start", "decision").distinct().count() == found.count()
+
+
+def test_alarm_after_an_outage(spark, tmp_path):
+    """Minutes of errors, then hours of healthy traffic: the alarms are those of the table."""
+    outage = [(at(m) + dt.timedelta(seconds=s), 503) for m in range(5) for s in range(6)]
+    healthy = [(at(10 + 5 * m), 200) for m in range(70)]
+    schema = "ts timestamp, status int"
+    frames = [spark.createDataFrame(part, schema) for part in (outage, healthy[:30], healthy[30:])]
+    folder = folder_of(tmp_path, "log", frames)
+    for write in (lambda s: write_available(s, "m"), lambda s: latest_available(s, "m", ["minute"])):
+        minutes = write(mn.error_minutes(stream_table(spark, folder, "log", max_files=1)))
+        assert sorted(r.alarm_at for r in mn.error_alarms(minutes).collect()) == [at(m) for m in range(1, 5)]
+
+
 def test_stream_continues_from_its_checkpoint(spark, tmp_path):
     schema = "event_id long, ts timestamp, decision string"
     first = spark.createDataFrame([(1, at(0), "ALLOW")], schema)
@@ -177,6 +197,7 @@ def test_enqueue_and_resolve_once(spark):
         "seq long, ts timestamp, case_id string, kind string, reviewer_decision string, reviewer_id string",
     )
     (row,) = mo.review_queue(entries.unionByName(answers, allowMissingColumns=True)).collect()
+    assert (row.content_reference, row.model_id, row.proposed_decision) == ("ref", "m", "ESCALATE")
     assert (row.status, row.reviewer_decision, row.reviewer_id, row.rejected_events) == ("resolved", "REJECT", "r1", 1)
 
 
