@@ -57,7 +57,8 @@ def threshold_decision(
     p_reject: Column,
     thresholds: Thresholds | tuple[Column, Column, Column],
 ) -> Column:
-    """Reject first, then a capped allow, else escalate.
+    """Reject first, then a capped allow, else escalate. A probability that is no number
+    reaches no threshold, so it escalates.
 
     ``thresholds`` is a value object or three columns, so one plan serves a fixed
     choice as well as a table of choices.
@@ -71,8 +72,8 @@ def threshold_decision(
     else:
         allow_minimum, reject_minimum, cap = thresholds
     return (
-        F.when(p_reject >= reject_minimum, F.lit(REJECT))
-        .when((p_allow >= allow_minimum) & (p_reject <= cap), F.lit(ALLOW))
+        F.when((p_reject >= reject_minimum) & ~F.isnan(p_reject), F.lit(REJECT))
+        .when((p_allow >= allow_minimum) & (p_reject <= cap) & ~F.isnan(p_allow), F.lit(ALLOW))
         .otherwise(F.lit(ESCALATE))
     )
 

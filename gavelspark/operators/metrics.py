@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions.decisions import outcome_class
+from gavelspark.operators.quality import guarded
 from gavelspark.schemas import ALLOW, ESCALATE, LABELS, REJECT, SLICE_CUT
 
 # Edges of ten confidence bins, each open below and closed above.
@@ -57,7 +58,9 @@ def decision_cube(
     latency: str | None = None,
 ) -> DataFrame:
     """Additive measures per cell. With ``slices``, a ``slice`` column with ``overall``
-    first and each slice that has rows; a row counts in every slice it belongs to."""
+    first and each slice that has rows; a row counts in every slice it belongs to. A row whose
+    expected or predicted decision is missing or unknown fails the query: it would count in
+    the rows and in no cell of the confusion matrix."""
     flags = {f"_in_{i}": (name, test) for i, (name, test) in enumerate((slices or {}).items())}
     conf = F.lit(None).cast("double") if confidence is None else (
         F.col(confidence) if isinstance(confidence, str) else confidence
@@ -72,6 +75,8 @@ def decision_cube(
         *([F.col(remediation[0]).alias("_fix"), F.col(remediation[1]).alias("_got_fix")] if remediation else []),
         *([F.col(latency).alias("_latency")] if latency else []),
     )
+    known = F.col("expected").isin(*LABELS) & F.col("predicted").isin(*LABELS)
+    base = guarded(base, known, "a decision is missing or unknown")
     right = F.col("expected") == F.col("predicted")
     zero = F.lit(0).cast("long")
     aggregates = [

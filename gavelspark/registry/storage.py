@@ -96,6 +96,42 @@ def changed_files(spark, folder):
     )
 
 
+def _log_files(spark, folder, altered, kept):
+    """The events as text files, one for each group of users and side: equal names lie in
+    different folders."""
+    group = (F.col("user_id") % 20).alias("users")
+    rows = table(spark, folder, "events").select(group, "event_id", "event_type")
+    line = F.concat_ws(",", "event_id", F.when(altered, F.reverse("event_type")).otherwise(F.col("event_type")))
+    sides = rows.where(kept).withColumn("value", line).withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    path = new_folder(spark, "logs")
+    ordered = sides.repartition("side", "users").sortWithinPartitions("side", "users", "event_id")
+    ordered.select("side", "users", F.concat_ws(":", "side", "value").alias("value")).write.partitionBy("side", "users").text(path)
+    manifest = rd.file_manifest(spark, path, pattern="*.txt")
+    # the writer's own part name is random; the folders above it name the file
+    return manifest.withColumn("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+
+
+LOG_FILES = """files as (select 'side=' || side || '/users=' || (user_id % 20) as path, user_id % 20 as users,
+       string_agg(side || ':' || event_id || ',' || event_type || chr(10), '' order by event_id) as content
+from events cross join (values ('a'), ('b')) as s(side) group by side, user_id % 20)"""
+
+
+@registered("written_manifest", f"with {LOG_FILES} select path, strlen(content) as length, sha256(content) as sha256 from files")
+def written_manifest(spark, folder):
+    return _log_files(spark, folder, F.lit(False), F.lit(True))
+
+
+@registered(
+    "changed_written_files",
+    f"with {LOG_FILES} select path, users % 7 = 1 as missing from files where users % 7 = 1 or users % 5 = 0",
+)
+def changed_written_files(spark, folder):
+    """Files that are altered or missing against their recorded manifest."""
+    recorded = _log_files(spark, folder, F.lit(False), F.lit(True))
+    actual = _log_files(spark, folder, F.col("users") % 5 == 0, F.col("users") % 7 != 1)
+    return rd.unpaired_files(recorded, actual).select("path", F.col("actual_sha256").isNull().alias("missing"))
+
+
 @registered("training_source", "select lang, count(*) as rows from documents group by 1")
 def training_source(spark, folder):
     """Counts over a source that passed the check for a test split's name."""

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from gavelspark.functions.decisions import Thresholds
 from gavelspark.operators import drift as dr
-from gavelspark.registry import registered
+from gavelspark.registry import ORACLES, QUERIES, registered
+from gavelspark.registry import decisions as _decisions  # noqa: F401  their queries are used below
+from gavelspark.registry import metrics as _metrics  # noqa: F401
 from gavelspark.registry.fixtures import cte, fixture
 from gavelspark.sources.readers import file_manifest, stream_table, table, unpaired_files
 from gavelspark.streaming import moderation as mo
@@ -222,32 +224,55 @@ def error_alarms(spark, folder):
     return mn.error_alarms(minutes).select(_at("alarm_at"))
 
 
-@registered(
-    "rollback_verdict",
-    cte("review_events")[:-1]
-    + """, opened as (select case_id, ts, seq from review_events where kind = 'enqueue' qualify row_number() over (partition by case_id order by ts, seq) = 1),
-closed as (select distinct r.case_id from review_events r join opened o on r.case_id = o.case_id
-           where r.kind = 'resolve' and (r.ts > o.ts or (r.ts = o.ts and r.seq > o.seq))),
-flags as (
-  select 'backlog over capacity' as reason, (select count(*) from opened) - (select count(*) from closed) > 10 as triggered
-  union all select 'disagreement over budget', (select count(*) filter (value > 20 and value <= 20.5) + count(*) filter (value > 50 and value <= 52) from events) > 0.05 * (select count(*) from events)
-  union all select 'model hash not verified', false
-  union all select 'p95 latency', exists (select 1 from (select quantile_cont(value, 0.95) as p from events group by time_bucket(interval '15 minutes', ts)) q where p > 250))
-select bool_or(triggered) as roll_back, string_agg(case when triggered then reason end, ',' order by reason) as reasons from flags""",
-)
-def rollback_verdict(spark, folder):
+def _rollback_sql(calm: bool) -> str:
+    backlog, budget, ceiling, psi, p95 = LIMITS[calm]
+    asked = {n: ORACLES[n] for n in ("decision_metrics", "stability_index", "pending_reviews")}
+    return f"""with flags as (
+  select 'backlog over capacity' as reason, (select pending > {backlog} from ({asked["pending_reviews"]}) q) as triggered
+  union all select 'disagreement over budget', (select count(*) filter (value > 20 and value <= 20.5) + count(*) filter (value > 50 and value <= 52) from events) > {budget} * (select count(*) from events)
+  union all select 'drift', (select psi >= {psi} from ({asked["stability_index"]}) q)
+  union all select 'false acceptance over ceiling', (select false_acceptance_rate > {ceiling} from ({asked["decision_metrics"]}) q)
+  union all select 'model hash not verified', {str(not calm).lower()}
+  union all select 'p95 latency', exists (select 1 from (select quantile_cont(value * {SCALE}, 0.95) as p from events group by time_bucket(interval '15 minutes', ts)) q where p > {p95}))
+select bool_or(triggered) as roll_back, coalesce(string_agg(case when triggered then reason end, ',' order by reason), '') as reasons from flags"""
+
+
+# Backlog, canary budget, false-acceptance ceiling, PSI and P95 limit: the runbook's own, and
+# limits beyond everything the tables hold, at which no trigger may fire.
+LIMITS = {
+    False: (10, dr.CANARY_BUDGET, 0.025, dr.PSI_BLOCK, mn.P95_LIMIT_MS),
+    True: (10**12, 1.0, 1.0, 1e9, 1e12),
+}
+
+
+def _rollback(spark, folder, calm: bool):
     from gavelspark.registry.decisions import _canary_pairs
 
+    backlog, budget, ceiling, psi, p95 = LIMITS[calm]
     events = table(spark, folder, "events")
-    manifest = file_manifest(spark, folder, pattern="events.parquet")
-    queue = mo.pending_count(mo.review_queue(review_columns(events)))
-    latency = mn.latency_breaches(mn.latency_windows(log_columns(events)))
-    canary = dr.canary_report(_canary_pairs(spark, folder))
+    actual = file_manifest(spark, f"{folder}/events.parquet")
+    recorded = actual if calm else actual.withColumn("sha256", F.reverse("sha256"))
+    log = log_columns(events).withColumn("latency_ms", F.col("latency_ms") * SCALE)
+    latency = mn.latency_breaches(mn.latency_windows(log, limit=p95), limit=p95)
     return mn.rollback_verdict(
         [
-            mn.trigger(queue, "backlog over capacity", F.col("pending") > 10),
-            mn.trigger(canary, "disagreement over budget", ~F.col("passed")),
-            mn.trigger(unpaired_files(manifest, manifest), "model hash not verified", F.lit(True)),
+            mn.trigger(QUERIES["pending_reviews"](spark, folder), "backlog over capacity", F.col("pending") > backlog),
+            mn.trigger(dr.canary_report(_canary_pairs(spark, folder), budget=budget), "disagreement over budget", ~F.col("passed")),
+            mn.trigger(QUERIES["stability_index"](spark, folder), "drift", F.col("psi") >= psi),
+            mn.trigger(QUERIES["decision_metrics"](spark, folder), "false acceptance over ceiling", F.col("false_acceptance_rate") > ceiling),
+            mn.trigger(unpaired_files(recorded, actual), "model hash not verified", F.lit(True)),
             mn.trigger(latency, "p95 latency", F.col("breached")),
         ]
     )
+
+
+@registered("rollback_verdict", _rollback_sql(calm=False))
+def rollback_verdict(spark, folder):
+    """All six triggers at the runbook's limits, the recorded hash altered."""
+    return _rollback(spark, folder, calm=False)
+
+
+@registered("rollback_not_needed", _rollback_sql(calm=True))
+def rollback_not_needed(spark, folder):
+    """The same triggers where none may fire."""
+    return _rollback(spark, folder, calm=True)

@@ -92,14 +92,23 @@ def unpaired_files(recorded: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def file_manifest(spark: SparkSession, path: str, *, pattern: str | None = None, base_name: bool = True) -> DataFrame:
-    """Path, size and SHA-256 of every file; files are spread over the tasks."""
+def file_manifest(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
+    """Path below ``path``, size and SHA-256 of every file; files are spread over the tasks.
+
+    Files of the same name in different folders stay apart. A manifest of one file has its
+    name. A file is hashed by one task, which limits it to 2 GiB.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    name = F.element_at(F.split("path", "/"), -1) if base_name else F.col("path")
+    root = "/" + path.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
+    start = F.instr("path", root)
+    below = F.substring(F.col("path"), start + len(root), F.length("path"))
+    base = F.element_at(F.split("path", "/"), -1)
     return reader.load(path).select(
-        name.alias("path"), "length", F.sha2("content", 256).alias("sha256")
+        F.when(start > 0, below).otherwise(base).alias("path"),
+        "length",
+        F.sha2("content", 256).alias("sha256"),
     )
 
 

@@ -29,7 +29,8 @@ def moderate(
     reference: str = "content_reference",
 ) -> DataFrame:
     """Scored requests to decisions, on a stream or a table: contract, thresholds, review
-    flag. The case id is a digest of the text; the text is dropped. Requests outside the
+    flag. The case id is a digest of the text; every column that may hold text is dropped.
+    Requests outside the
     contract come out with ``accepted`` false and no decision."""
     columns = [F.col(c) for c in PROBABILITY_COLUMNS]
     accepted = request_contract(F.col(text), F.col(reference))
@@ -42,8 +43,7 @@ def moderate(
             "model_id": F.lit(model_id),
         }
     ).withColumn("review_required", F.coalesce(F.col("decision") == "ESCALATE", F.lit(False)))
-    kept = decided.withColumnRenamed(text, "text") if text != "text" else decided
-    return text_free(kept)
+    return text_free(decided)
 
 
 def running_counts(log: DataFrame, *, decision: str = "decision", latency: str = "latency_ms") -> DataFrame:
