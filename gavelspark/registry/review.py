@@ -27,16 +27,22 @@ def sample_exact(spark, folder):
 
 @registered(
     "sample_at_most",
-    f"select o_orderkey, o_orderpriority from orders order by {_seeded('cast(o_orderkey as varchar)', 7)}, o_orderkey limit 2000",
+    f"select o_custkey from orders order by {_seeded('cast(o_custkey as varchar)', 7)}, o_custkey limit 2000",
 )
 def sample_at_most(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
-    return sp.sample_at_most(orders, 2000, key="o_orderkey", seed=7)
+    """A key that many rows share: rows are counted, not keys."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return sp.sample_at_most(orders, 2000, key="o_custkey", seed=7).select("o_custkey")
 
 
-@registered("first_rows", "select doc_id, lang from documents order by doc_id limit 100")
+@registered(
+    "first_rows",
+    "select case when doc_id % 7 = 0 then doc_id end as place from documents order by place nulls last limit 100",
+)
 def first_rows(spark, folder):
-    return sp.first_rows(table(spark, folder, "documents").select("doc_id", "lang"), 100, order_by="doc_id")
+    """An order with nulls, which come last."""
+    place = F.when(F.col("doc_id") % 7 == 0, F.col("doc_id")).alias("place")
+    return sp.first_rows(table(spark, folder, "documents").select(place), 100, order_by="place")
 
 
 @registered(
@@ -58,12 +64,17 @@ def hash_per_slice(spark, folder):
     return sp.hash_per_slice(cases, 4).orderBy("case_id")
 
 
+REPEATED = "case when doc_id % 2 = 0 then concat('D-', doc_id % 40) end"
+
+
 @registered(
     "hash_top",
-    "select case_id from (select 'D-' || doc_id as case_id from documents) d order by sha256(case_id), case_id limit 50",
+    f"select case_id from (select {REPEATED} as case_id from documents) d order by sha256(case_id) nulls last, case_id limit 150",
 )
 def hash_top(spark, folder):
-    return sp.hash_top(fixture(spark, folder, "slice_cases").select("case_id"), 50, key="case_id")
+    """Keys that repeat and keys that are null."""
+    cases = fixture(spark, folder, "slice_cases").select(F.expr(REPEATED).alias("case_id"), "slice_name")
+    return sp.hash_top(cases, 150, key="case_id").select("case_id")
 
 
 @registered(
