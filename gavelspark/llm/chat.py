@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.llm.common import PART, in_ranges, picked, running_totals
+from gavelspark.llm.common import picked, running_totals
+from gavelspark.operators.ranges import PART, in_ranges
 
 # The template's marks.
 START, END = "<|im_start|>", "<|im_end|>\n"

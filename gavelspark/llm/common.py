@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelspark.operators.ranges import PART
 from gavelspark.sources.storage import stage
 
-PART = "__part"
-
 
 def picked(frame: DataFrame, **columns: str | Column) -> DataFrame:
     """The named columns only, under internal names (by position: other columns of any name,
@@ -25,14 +24,19 @@ def documents(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def in_ranges(frame: DataFrame, *order: Column) -> DataFrame:
-    """``frame`` dealt into ranges of ``order`` with the range's number in ``__part``, written
-    to the shared folder, so that a number never changes when a task is run again.
+#: Rows a Python worker gets at a time where texts are long: what it holds stays small.
+BATCH_ROWS = 1_000
 
-    Later ranges hold later rows, and no group of rows has to fit in one task: end ``order``
-    with something unique and a hot key is cut like any other stretch of rows.
-    """
-    return stage(frame.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+
+def stage_in_batches(frame: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``stage`` with at most ``rows`` rows in an Arrow batch, for this write only."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        return stage(frame)
+    finally:
+        conf.set(name, before)
 
 
 def running_totals(
@@ -40,7 +44,7 @@ def running_totals(
 ) -> DataFrame:
     """For each name in ``values`` its sum over the earlier rows of the group (0 at first).
 
-    ``ranged`` comes from ``in_ranges`` by ``group`` and ``order``. A group that spans several
+    ``ranged`` comes from ``operators.ranges.in_ranges`` by ``group`` and ``order``. A group that spans several
     ranges is summed range by range: one row for each range and group carries the earlier
     ranges' total forward, so no task ever holds more of a group than a range has.
     """

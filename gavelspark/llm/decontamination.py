@@ -8,71 +8,77 @@ position bounds drop what cannot fit, and the rest is compared word by word.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gavelspark.llm.common import as_text, picked
+from gavelspark.llm.common import as_text, picked, stage_in_batches
 from gavelspark.sources.storage import stage
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHINGLE = 3
-UPPER = {i: i + 32 for i in range(65, 91)}
+#: Bytes of words in lower case; 0 for bytes between words.
+LOWERED = np.array(
+    [b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" or b > 127 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)],
+    np.uint8,
+)
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.cumprod(np.full(4096, FACTOR, np.uint64))
+BLOCK = 1 << 17
 #: Bits of the filter on shingles that a task tests before anything is joined: 16 MiB at most,
 #: whatever the number of items. A false hit costs one row, which the join drops.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITS_PER_KEY = 64
-REMEMBERED = 500_000
-HIT = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("at", T.IntegerType()),
-            T.StructField("hash", T.LongType()),
-            T.StructField("before", T.ArrayType(T.StringType())),
-            T.StructField("words", T.ArrayType(T.StringType())),
-        ]
-    )
-)
-
-
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(UPPER)) if text else []
-
-
-class Hasher(dict):
-    """64-bit hashes of words, remembered by a worker."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 40:
-            self[word] = value
-        return value
-
-
-_hashes = Hasher()
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_hashes(words: list[str], size: int) -> np.ndarray:
-    """A 64-bit hash for each run of ``size`` words, as signed numbers."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    single = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    total = np.full(n, size, np.uint64)
-    for i in range(size):
-        total = (total ^ single[i : i + n]) * _FACTOR
-        total ^= total >> np.uint64(29)
-    return total.view(np.int64)
+class Words:
+    """The words of a text, as stretches of its UTF-8 bytes. All bytes of a word character
+    outside ASCII are word bytes, so bytes and characters are cut alike."""
+
+    def __init__(self, text: str | None):
+        self.bytes = LOWERED[np.frombuffer((text or "").encode(), np.uint8)]
+        inside = np.concatenate([[0], (self.bytes > 0).view(np.int8), [0]])
+        edges = np.diff(inside)
+        self.starts, self.ends = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
+        self.hashes: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, span: slice) -> list[str]:
+        ends = zip(self.starts[span].tolist(), self.ends[span].tolist())
+        return [self.bytes[i:j].tobytes().decode() for i, j in ends]
+
+    def single(self) -> np.ndarray:
+        """A 64-bit hash of each word: a sum of its bytes times powers of an odd number, taken
+        over about ``BLOCK`` bytes at a time."""
+        if self.hashes is None:
+            parts, first, n = [], 0, len(self)
+            while first < n:
+                limit = self.starts[first] + BLOCK
+                last = max(int(np.searchsorted(self.ends, limit, "right")), first + 1)
+                starts = self.starts[first:last]
+                values = self.bytes[starts[0] : self.ends[last - 1]]
+                starts = starts - starts[0]
+                within = np.arange(len(values)) - np.repeat(starts, np.diff(starts, append=len(values)))
+                parts.append(np.add.reduceat(values * POWERS[within % len(POWERS)], starts))
+                first = last
+            self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return self.hashes
+
+    def shingles(self, size: int) -> np.ndarray:
+        """A 64-bit hash for each run of ``size`` words, as signed numbers. What hashes alike
+        is compared word by word in the end."""
+        n = len(self) - size + 1
+        if n < 1:
+            return np.zeros(0, np.int64)
+        single = self.single()
+        total = np.full(n, size, np.uint64)
+        for i in range(size):
+            total = (total ^ single[i : i + n]) * FACTOR
+            total ^= total >> np.uint64(29)
+        return total.view(np.int64)
 
 
 def windows(items: DataFrame, width: int) -> DataFrame:
@@ -83,7 +89,7 @@ def windows(items: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids, found = [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
+                words = Words(text)[:]
                 starts = range(max(len(words) - width + 1, min(len(words), 1)))
                 ids += [item] * len(starts)
                 found += [words[i : i + width] for i in starts]
@@ -105,7 +111,7 @@ def shingled(distinct: DataFrame) -> DataFrame:
             rows = []
             for window, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size = min(SHINGLE, len(words))
-                for offset, value in enumerate(shingle_hashes(words, size).tolist()):
+                for offset, value in enumerate(Words(" ".join(words)).shingles(size).tolist()):
                     rows.append((window, words, size, value, offset))
             columns = list(zip(*rows)) if rows else [()] * 5
             kinds = [pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64(), pa.int32()]
@@ -161,9 +167,9 @@ def occurrences(docs: DataFrame, shared) -> DataFrame:
         for batch in batches:
             hits = []
             for text in batch.column(0):
-                words = words_of(text.as_py())
+                words = Words(text.as_py())
                 for size in wanted.sizes:
-                    hashes = shingle_hashes(words, size)
+                    hashes = words.shingles(size)
                     hits.append(hashes[wanted.found(hashes)])
             values, counts = np.unique(np.concatenate(hits or [np.zeros(0, np.int64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -174,37 +180,48 @@ def occurrences(docs: DataFrame, shared) -> DataFrame:
     return counted.groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def prefix_hits(text: Column, shared, width: int) -> Column:
-    """``n_words`` and the occurrences of prefix shingles, each with the words around it that a
-    window holding it can have."""
-    schema = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", HIT)])
+def prefix_hits(rows: DataFrame, shared, width: int) -> DataFrame:
+    """``rows`` (``id``, ``doc``, ``digest``, ``text``) with ``n_words`` and ``hits`` in place of
+    the text: the occurrences of prefix shingles, each with the words around it that a window
+    holding it can have."""
     reach = width - SHINGLE
+    words_type = pa.list_(pa.string())
+    hit = pa.struct([("at", pa.int32()), ("hash", pa.int64()), ("before", words_type), ("words", words_type)])
+
+    def found(text: str | None) -> tuple[int, list[dict]]:
+        words, hits = Words(text), []
+        for size in shared.value.sizes:
+            around = reach if size == SHINGLE else 0  # a shorter window is all shingle
+            hashes = words.shingles(size)
+            for at in shared.value.found(hashes).tolist():
+                hits.append(
+                    {
+                        "at": at,
+                        "hash": int(hashes[at]),
+                        "before": words[max(at - around, 0) : at],
+                        "words": words[at : at + size + around],
+                    }
+                )
+        return len(words), hits
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            results = [found(text.as_py()) for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3],
+                    pa.array([n for n, _ in results], pa.int64()),
+                    pa.array([hits for _, hits in results], pa.list_(hit)),
+                ],
+                ["id", "doc", "digest", "n_words", "hits"],
+            )
 
-    def find(texts: pa.Array) -> pa.Array:
-        wanted = shared.value
-        rows = []
-        for value in texts:
-            words = words_of(value.as_py())
-            hits = []
-            for size in wanted.sizes:
-                around = reach if size == SHINGLE else 0  # a shorter window is all shingle
-                hashes = shingle_hashes(words, size)
-                for at in wanted.found(hashes).tolist():
-                    hits.append(
-                        {
-                            "at": at,
-                            "hash": int(hashes[at]),
-                            "before": words[max(at - around, 0) : at],
-                            "words": words[at : at + size + around],
-                        }
-                    )
-            rows.append({"n_words": len(words), "hits": hits})
-        hit = pa.struct(
-            [("at", pa.int32()), ("hash", pa.int64()), ("before", pa.list_(pa.string())), ("words", pa.list_(pa.string()))]
-        )
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("hits", pa.list_(hit))]))
-
-    return F.arrow_udf(find, schema)(text)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "doc", "digest", "text").mapInArrow(
+        find,
+        f"id {kind}, doc string, digest long, n_words long, hits array<struct<at:int,hash:long,"
+        "before:array<string>,words:array<string>>>",
+    )
 
 
 def judged(
@@ -235,7 +252,7 @@ def judged(
     found = stage(windows(items, width))
     cut = stage(shingled(found.dropDuplicates(["window"])))
     counts = occurrences(rows, shingle_filter(cut))
-    prefixes = stage(
+    prefixes = stage_in_batches(
         cut.join(counts, "hash", "left")
         .groupBy("window")
         .agg(
@@ -249,13 +266,8 @@ def judged(
         .select("window", "rarest.*")
     )
     shared = shingle_filter(prefixes)
-    seen = stage(
-        rows.select(
-            "id",
-            F.xxhash64("text").alias("digest"),
-            prefix_hits(F.col("text"), shared, width).alias("found"),
-        ).select("id", as_text(F.col("id")).alias("doc"), "digest", "found.*")
-    )
+    named = rows.select("id", as_text(F.col("id")).alias("doc"), F.xxhash64("text").alias("digest"), "text")
+    seen = stage_in_batches(prefix_hits(named, shared, width))
     hits = seen.where(F.size("hits") > 0).select(
         "doc", "digest", "n_words", F.explode("hits").alias("hit")
     )

@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.llm.common import in_ranges, picked, running_totals
+from gavelspark.llm.common import picked, running_totals
+from gavelspark.operators.ranges import in_ranges
 from gavelspark.sources.storage import stage
 
 

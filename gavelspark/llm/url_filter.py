@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelspark.llm.common import PART, in_ranges, picked
+from gavelspark.llm.common import picked
+from gavelspark.operators.ranges import PART, in_ranges
 
 RULE = "array<struct<host:string,path:string,verdict:string>>"
 
