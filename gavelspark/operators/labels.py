@@ -185,13 +185,18 @@ def majority_labels(votes: DataFrame, *, require_rows: bool = False) -> DataFram
     )
 
 
-def vote_summary(examples: DataFrame) -> DataFrame:
-    """Examples, mean votes per example and mean agreement."""
-    return examples.agg(
+def vote_summary(examples: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """Examples, mean votes per example and mean agreement; with ``votes``, the table the
+    examples come from, also its number of rows, ties included."""
+    summary = examples.agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("annotation_count").alias("mean_annotations_per_example"),
         F.avg("safe_label_agreement").alias("mean_safe_label_agreement"),
     )
+    if votes is None:
+        return summary
+    rows = votes.agg(F.count(F.lit(1)).alias("n"))
+    return summary.withColumn("source_annotation_rows", rows.scalar())
 
 
 def labelled_mix(sources: dict[str, DataFrame]) -> DataFrame:

@@ -259,24 +259,42 @@ def metric_long(row: DataFrame, keys: Sequence[str], drop_null: bool = False) ->
     return long.filter(F.col("value").isNotNull()) if drop_null else long
 
 
-def category_outcomes(records: DataFrame) -> DataFrame:
+ALL_RECORDS = "all records"
+
+
+def category_outcomes(records: DataFrame, *, total: bool = False) -> DataFrame:
     """Outcome counts per category; a row counts once per category it lists and an empty
-    or missing list counts as ``uncategorized``. Absent outcomes have no row."""
+    or missing list counts as ``uncategorized``. Absent outcomes have no row.
+
+    ``total`` adds the outcomes of all records, each counted once, under ``all records``. A
+    missing decision fails the query; with ``total`` an empty table does as well.
+    """
     listed = F.when(F.size("categories") > 0, F.col("categories")).otherwise(
         F.array(F.lit("uncategorized"))
     )
-    checked = (
-        F.when(
-            F.col("expected_decision").isNotNull() & F.col("predicted_decision").isNotNull(),
-            outcome_class(F.col("expected_decision"), F.col("predicted_decision")),
-        )
-        .otherwise(F.raise_error(F.lit("every record needs an expected and a predicted decision")))
+    if total:
+        listed = F.concat(F.array(F.lit(ALL_RECORDS)), listed)
+    checked = guarded(
+        records,
+        F.col("expected_decision").isNotNull() & F.col("predicted_decision").isNotNull(),
+        "every record needs an expected and a predicted decision",
     )
-    return (
-        records.select(F.explode(listed).alias("category"), checked.alias("outcome"))
+    outcome = outcome_class(F.col("expected_decision"), F.col("predicted_decision"))
+    counts = (
+        checked.select(F.explode(listed).alias("category"), outcome.alias("outcome"))
         .groupBy("category", "outcome")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    if not total:
+        return counts
+    rows = records.agg(F.count(F.lit(1)).alias("records"))
+    some = guarded(rows, F.col("records") > 0, "at least one decision record is required")
+    # one row that fails where there is nothing to count
+    return counts.unionByName(
+        some.where(F.col("records") < 0).select(
+            F.lit("").alias("category"), F.lit("").alias("outcome"), F.col("records").alias("n")
+        )
+    )
 
 
 def false_acceptance_by_category(

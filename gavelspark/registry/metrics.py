@@ -165,13 +165,14 @@ def outcome_classes(spark, folder):
     + f"""select category, outcome, count(*) as n from (
   select category_1 as category, {OUTCOME} as outcome from taxonomy where category_1 is not null
   union all select category_2, {OUTCOME} from taxonomy where category_2 is not null
-  union all select 'uncategorized', {OUTCOME} from taxonomy where category_1 is null and category_2 is null) t group by all""",
+  union all select 'uncategorized', {OUTCOME} from taxonomy where category_1 is null and category_2 is null
+  union all select 'all records', {OUTCOME} from taxonomy) t group by all""",
 )
 def error_taxonomy(spark, folder):
     records = fixture(spark, folder, "taxonomy").withColumn(
         "categories", F.array_compact(F.array("category_1", "category_2"))
     )
-    return mt.category_outcomes(records)
+    return mt.category_outcomes(records, total=True)
 
 
 # ---- gates --------------------------------------------------------------------------

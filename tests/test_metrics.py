@@ -81,6 +81,12 @@ def test_error_taxonomy(spark):
     }
     with pytest.raises(PySparkException):
         mt.category_outcomes(frame.withColumn("expected_decision", F.lit(None).cast("string"))).collect()
+    totals = mt.category_outcomes(frame, total=True)
+    assert sum(r.n for r in totals.where(F.col("category") == mt.ALL_RECORDS).collect()) == frame.count()
+    with pytest.raises(PySparkException):
+        mt.category_outcomes(frame.limit(0), total=True).collect()
+    with pytest.raises(PySparkException):
+        mt.category_outcomes(frame.withColumn("expected_decision", F.lit(None).cast("string"))).count()
 
 
 FIXTURE = [
