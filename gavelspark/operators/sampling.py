@@ -9,6 +9,8 @@ wide columns are fetched afterwards for the chosen rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +139,32 @@ def audit_sheet(cases: DataFrame, *, reviewer_role: str = "project_author") -> D
     )
 
 
-def pilot_manifest(selected: DataFrame, *, per_slice: int, reviewers: int, source_sha256: str | None = None) -> DataFrame:
+DIGEST_WORDS = 8
+
+
+def content_digest(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with ``sha256``, a digest of a table's content whatever the order of its rows.
+
+    Each row has a SHA-256; its eight 32-bit words are summed over all rows, and the digest is
+    that of the number of rows and the sums. Sums merge, so no task sees more than its part.
+    Null and the empty text differ.
+    """
+    values = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
+    rows = frame.select(F.sha2(F.concat_ws("|", *values), 256).alias("_row"))
+    words = [F.conv(F.substring("_row", 8 * i + 1, 8), 16, 10).cast("long") for i in range(DIGEST_WORDS)]
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        *(F.coalesce(F.sum(w.cast("decimal(38,0)")), F.lit(0)).alias(f"_{i}") for i, w in enumerate(words)),
+    )
+    parts = [F.col("n").cast("string"), *(F.col(f"_{i}").cast("string") for i in range(DIGEST_WORDS))]
+    return sums.select(F.sha2(F.concat_ws(":", *parts), 256).alias("sha256"))
+
+
+def pilot_manifest(
+    selected: DataFrame, *, per_slice: int, reviewers: int, source: DataFrame | None = None
+) -> DataFrame:
+    """What a pilot consists of. ``source`` is a frame with the source's ``sha256`` in one row."""
+    digest = F.lit(None).cast("string") if source is None else source.select("sha256").scalar()
     return selected.agg(F.count(F.lit(1)).alias("cases")).select(
         F.lit("unpaid_volunteer_pilot").alias("purpose"),
         "cases",
@@ -145,5 +172,5 @@ def pilot_manifest(selected: DataFrame, *, per_slice: int, reviewers: int, sourc
         F.lit(reviewers).alias("reviewers_required"),
         F.lit("none").alias("compensation"),
         F.lit(False).alias("human_reviews_completed"),
-        F.lit(source_sha256).alias("source_sha256"),
+        digest.alias("source_sha256"),
     )

@@ -9,6 +9,8 @@ from gavelspark.operators import sampling as sp
 from gavelspark.registry import registered
 from gavelspark.registry.fixtures import cte, fixture
 from gavelspark.sources.readers import table
+from gavelspark.sources.sinks import write_reviewer_copies
+from gavelspark.sources.storage import new_folder
 
 
 def _seeded(column: str, seed: int = 42) -> str:
@@ -107,18 +109,54 @@ def blind_pack(spark, folder):
     return sp.blind(cases)
 
 
+def _sql_digest(columns: tuple[str, ...], source: str) -> str:
+    """The digest of ``content_digest`` over a table or subquery."""
+    row = " || '|' || ".join(f"coalesce('=' || cast({c} as varchar), 'null')" for c in columns)
+    words = " || ':' || ".join(
+        f"coalesce(cast(sum(cast('0x' || substr(h, {8 * i + 1}, 8) as hugeint)) as varchar), '0')" for i in range(sp.DIGEST_WORDS)
+    )
+    return f"(select sha256(cast(count(*) as varchar) || ':' || {words}) from (select sha256({row}) as h from {source}) d)"
+
+
+PILOT = """(select case_id, slice_name, language, row_number() over (partition by slice_name order by sha256(case_id)) as r
+      from (select 'D-' || doc_id as case_id, source as slice_name, lang as language from documents) c)"""
+PILOT_SOURCE = ("case_id", "doc_id", "slice_name", "language")
+
+
 @registered(
     "pilot_manifest",
-    """select 'unpaid_volunteer_pilot' as purpose, count(*) as cases, cast(4 as bigint) as cases_per_slice, cast(2 as bigint) as reviewers_required, 'none' as compensation,
-       false as human_reviews_completed, cast(null as varchar) as source_sha256
-from (select row_number() over (partition by source order by sha256('D-' || doc_id)) as r from documents) t where r <= 4""",
+    f"""select 'unpaid_volunteer_pilot' as purpose, count(*) as cases, cast(4 as bigint) as cases_per_slice, cast(2 as bigint) as reviewers_required, 'none' as compensation,
+       false as human_reviews_completed,
+       {_sql_digest(PILOT_SOURCE, "(select 'D-' || doc_id as case_id, doc_id, source as slice_name, lang as language from documents) s")} as source_sha256
+from {PILOT} t where r <= 4""",
 )
 def pilot_manifest(spark, folder):
-    picked = sp.hash_per_slice(fixture(spark, folder, "slice_cases"), 4)
-    manifest = sp.pilot_manifest(picked, per_slice=4, reviewers=2)
-    return manifest.withColumns(
-        {c: F.col(c).cast("long") for c in ("cases_per_slice", "reviewers_required")}
-    ).withColumn("source_sha256", F.col("source_sha256").cast("string"))
+    cases = fixture(spark, folder, "slice_cases")
+    picked = sp.hash_per_slice(cases, 4)
+    source = sp.content_digest(cases, PILOT_SOURCE)
+    manifest = sp.pilot_manifest(picked, per_slice=4, reviewers=2, source=source)
+    return manifest.withColumns({c: F.col(c).cast("long") for c in ("cases_per_slice", "reviewers_required")})
+
+
+COPY = ("case_id", "slice_name", "language")
+
+
+@registered(
+    "reviewer_copies",
+    f"select reviewer, {_sql_digest(COPY, f'(select * from {PILOT} t where r <= 4) p')} as sha256 from (values ('reviewer_a'), ('reviewer_b')) as v(reviewer)",
+)
+def reviewer_copies(spark, folder):
+    """The written copies, read back: equal content for every reviewer."""
+    picked = sp.hash_per_slice(fixture(spark, folder, "slice_cases"), 4).select(*COPY)
+    path = new_folder(spark, "pilot")
+    write_reviewer_copies(picked, path)
+    copies = [
+        sp.content_digest(spark.read.schema(picked.schema).json(f"{path}/{name}"), COPY).select(
+            F.lit(name).alias("reviewer"), "sha256"
+        )
+        for name in ("reviewer_a", "reviewer_b")
+    ]
+    return copies[0].unionByName(copies[1])
 
 
 @registered(

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavelspark.sources.storage import stage
+
 #: String columns that hold names and codes, never source text. A column of any other name
 #: counts as text if it is a string or could hold one inside.
 REPORT_STRINGS = frozenset(
@@ -66,7 +68,11 @@ def write_receipt(metrics: DataFrame, path: str, *, mode: str = "errorifexists")
     write_jsonl(nested_receipt(require_text_free(metrics)), path, mode=mode)
 
 
-def write_reviewer_copies(selected: DataFrame, folder: str, reviewers: tuple[str, ...] = ("reviewer_a", "reviewer_b")) -> None:
-    """The same sample once per reviewer, in id order."""
+def write_reviewer_copies(
+    selected: DataFrame, folder: str, reviewers: tuple[str, ...] = ("reviewer_a", "reviewer_b")
+) -> None:
+    """The same sample once per reviewer, in id order over its files. The sample is chosen
+    once, so that the copies are equal whatever happens between the writes."""
+    chosen = stage(selected)
     for reviewer in reviewers:
-        write_jsonl(selected.orderBy("case_id").coalesce(1), f"{folder.rstrip('/')}/{reviewer}")
+        write_jsonl(chosen.orderBy("case_id"), f"{folder.rstrip('/')}/{reviewer}")
