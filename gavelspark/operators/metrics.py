@@ -259,6 +259,20 @@ def metric_long(row: DataFrame, keys: Sequence[str], drop_null: bool = False) ->
     return long.filter(F.col("value").isNotNull()) if drop_null else long
 
 
+def report_long(cube: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The classification report and the confusion matrix as (keys, metric, value) rows, named
+    ``report.<label>.<measure>`` and ``confusion.<expected>.<predicted>``."""
+    fields = ("precision", "recall", "f1_score", "support")
+    entries = ", ".join(
+        f"struct(concat('report.', label, '.{f}') as metric, double({f}) as value)" for f in fields
+    )
+    report = classification_report(cube, keys).selectExpr(*keys, f"inline(array({entries}))")
+    matrix = confusion_matrix(cube, keys).selectExpr(
+        *keys, "concat('confusion.', expected, '.', predicted) as metric", "double(n) as value"
+    )
+    return report.unionByName(matrix)
+
+
 ALL_RECORDS = "all records"
 
 

@@ -338,10 +338,12 @@ def public_evidence(spark, folder):
 @registered(
     "receipt_round_trip",
     DECIDED
-    + """select slice, round(macro_f1, 9) as macro_f1, false_acceptance_rate from (
+    + """select slice, round(macro_f1, 9) as macro_f1, false_acceptance_rate, allowed_in_error, round(allow_precision, 9) as allow_precision from (
   select slice, """
     + sql_metric_columns()
-    + """ from sliced group by 1) m""",
+    + """, cast(count(*) filter (expected_decision = 'REJECT' and decision = 'ALLOW') as double) as allowed_in_error,
+       coalesce(count(*) filter (expected_decision = 'ALLOW' and decision = 'ALLOW') / cast(nullif(count(*) filter (decision = 'ALLOW'), 0) as double), 0) as allow_precision
+  from sliced group by 1) m""",
 )
 def receipt_round_trip(spark, folder):
     """Metrics written as nested JSON and read back."""
@@ -357,4 +359,6 @@ def receipt_round_trip(spark, folder):
     return by_slice.select(
         "slice", F.round(F.col("m")["macro_f1"], 9).alias("macro_f1"),
         F.col("m")["false_acceptance_rate"].alias("false_acceptance_rate"),
+        F.col("m")["confusion.REJECT.ALLOW"].alias("allowed_in_error"),
+        F.round(F.col("m")["report.ALLOW.precision"], 9).alias("allow_precision"),
     )
