@@ -255,13 +255,23 @@ def scanned(
     """
     where = F.col(path) if path else F.lit(None).cast("string")
     frame = with_candidates(docs, text)
-    # the path goes into each struct, as trees are applied inside the array
-    judged = F.transform(
+    # features first, so that each is evaluated once however many trees ask for it
+    described = F.transform(
         F.col("__found"),
         lambda found, i: F.struct(
             found["value"].alias("value"),
             F.get("__gaps", i).alias("gap"),
-            forest.score(features(found, where, list(forest.dictionary))).alias("score"),
+            F.struct(
+                *(c.alias(n) for n, c in features(found, where, list(forest.dictionary)).items())
+            ).alias("features"),
+        ),
+    )
+    judged = F.transform(
+        described,
+        lambda c: F.struct(
+            c["value"].alias("value"),
+            c["gap"].alias("gap"),
+            forest.score({n: c["features"][n] for n in FEATURES}).alias("score"),
         ),
     )
     frame = frame.withColumn("__judged", judged)
