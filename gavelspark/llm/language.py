@@ -139,19 +139,27 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, list[int]] = {}
 
-    def back_off(self, word: str) -> np.ndarray:
-        """Mean log frequencies of the word's longest known n-grams; zeros if none is known."""
-        edged, scores = marked(word), self.model.scores
+    def back_off(self, word: str) -> list[int]:
+        """Rows of the word's longest known n-grams; none if no n-gram is known."""
+        edged = marked(word)
         for size in range(min(LONGEST, len(edged)), 0, -1):
-            rows = self.model.grams[size - 1]
-            found = [
-                r for i in range(len(edged) - size + 1) if (r := rows.get(edged[i : i + size])) is not None
-            ]
+            grams = [edged[i : i + size] for i in range(len(edged) - size + 1)]
+            found = [r for r in map(self.model.grams[size - 1].get, grams) if r is not None]
             if found:
-                return scores[found].mean(0)
-        return np.zeros(len(self.model.languages), np.float32)
+                return found
+        return []
+
+    def remembered(self, word: str) -> list[int]:
+        found = self.unseen.get(word)
+        if found is None:
+            if len(self.unseen) >= REMEMBERED:
+                self.unseen.clear()
+            found = self.back_off(word)
+            if len(word) <= WORD_LIMIT:
+                self.unseen[word] = found
+        return found
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
@@ -162,15 +170,13 @@ class Scorer:
         known = [r for r in rows if r is not None]
         total = model.scores[known].sum(0, dtype=np.float64)
         if len(known) < len(words):
+            # every unseen word weighs as one word: its n-grams share the weight
+            grams, weights = [], []
             for word, n in Counter(w for w, r in zip(words, rows) if r is None).items():
-                score = self.unseen.get(word)
-                if score is None:
-                    if len(self.unseen) >= REMEMBERED:
-                        self.unseen.clear()
-                    score = self.back_off(word)
-                    if len(word) <= WORD_LIMIT:
-                        self.unseen[word] = score
-                total += n * score
+                if found := self.remembered(word):
+                    grams += found
+                    weights += [n / len(found)] * len(found)
+            total += np.array(weights) @ model.scores[grams]
         best = int(np.argmax(total))
         odds = np.exp((total - total[best]) / len(words) ** 0.5)
         return model.languages[best], float(odds[best] / odds.sum())
@@ -232,14 +238,17 @@ def identify(
 
 def in_known_language(
     docs: DataFrame,
-    least: float = 0.5,
+    least: float | None = None,
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
     """The rows of ``docs`` whose text has letters and is in one language with a score of
-    ``least`` or more, with all columns as they came."""
+    ``least`` or more, with all columns as they came. By default that is a fifth more than
+    chance, which a text in none of the learned languages does not reach."""
     model = train(docs.where(~held_out(docs[key])), key=key, text=text, lang=lang)
+    if least is None:
+        least = min(1.2 / max(len(model.languages), 1), 1.0)
     found = predicted(docs[text], model)
     return (
         docs.withColumn("__found", found)

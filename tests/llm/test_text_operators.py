@@ -171,6 +171,14 @@ def test_languages_of_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_texts_in_no_learned_language_go(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    strange = docs.limit(2).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit("漢字仮名 交じり文"), "lang": F.lit(None).cast("string")})
+    kept = language.in_known_language(docs.unionByName(strange))
+    assert kept.columns == docs.columns
+    assert kept.where("doc_id = -1").count() == 0 and kept.count() == docs.count()
+
+
 def test_backing_off_goes_to_the_longest_known_gram():
     import numpy as np
 
@@ -178,7 +186,9 @@ def test_backing_off_goes_to_the_longest_known_gram():
     model = language.Model(("aa", "bb"), scores, {"known": 0}, ({"x": 2}, {}, {"^xy": 1}, {}, {}))
     scorer = language.Scorer(model)
     assert scorer("known")[0] == "aa"
-    assert list(scorer.back_off("xyz")) == [-5.0, -1.0]  # the 3-gram, not the 1-gram
-    assert list(scorer.back_off("zx")) == [-3.0, -2.0]
-    assert list(scorer.back_off("qq")) == [0, 0]
+    assert scorer.back_off("xyz") == [1]  # the 3-gram, not the 1-gram
+    assert scorer.back_off("zx") == [2]
+    assert scorer.back_off("qq") == []
+    assert scorer("xyz")[0] == scorer("zx")[0] == "bb"
+    assert scorer("qq") == ("aa", 0.5)
     assert scorer("")[0] == "und"
