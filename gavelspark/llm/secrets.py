@@ -19,19 +19,48 @@ from pyspark.sql import functions as F
 from gavelspark.llm.common import picked
 from gavelspark.sources.storage import stage
 
-#: A candidate: 12 or more characters of keys and tokens, with a digit among them.
-CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,200}[0-9])[A-Za-z0-9_+/=.\-]{12,}"
-)
 #: Words that stand before a secret, and before what only looks like one.
 SECRET_WORDS = r"(?i)(api|auth|key|token|secret|passw|pwd|credential|bearer|private|access)"
 OTHER_WORDS = r"(?i)(commit|revision|checksum|sha1|sha256|md5|digest|etag|uuid|build|version|order|phone|card)"
 TEST_PATHS = r"(?i)(test|example|sample|fixture|mock|docs?/)"
 #: Formats whose issuer is known by their beginning.
-KNOWN = (
-    r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk_live_[A-Za-z0-9]{20,}$"
-    r"|^xox[abprs]-[A-Za-z0-9-]{20,}$|^AIza[A-Za-z0-9_-]{35}$|^glpat-[A-Za-z0-9_-]{20,}$"
+FORMATS = (
+    r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{20,}"
+    r"|xox[abprs]-[A-Za-z0-9-]{20,}|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])|glpat-[A-Za-z0-9_-]{20,})"
+)
+ISSUED = rf"(?<![A-Za-z0-9]){FORMATS}"
+PEM_HEAD = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: A whole private key; without its last line, as far as lines of a key go on.
+PEM = (
+    rf"{PEM_HEAD}(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[ \t\r\n]|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+)"
+)
+KNOWN = rf"^{FORMATS}$|^{PEM_HEAD}"
+#: What ends any other candidate.
+STOP = rf"{ISSUED}|{PEM_HEAD}"
+NAME = r"[A-Za-z0-9_.\-]"
+SCHEME = r"(?:(?i:bearer|basic|token)[ \t]++)?+"
+#: A credential word, the sign or quote behind it, and the quote that opens the value.
+LEAD = (
+    rf"(?<!{NAME})(?={NAME}*?{SECRET_WORDS.replace('(?i)(', '(?i:')}){NAME}++(?:\\*+[\"'`\])])*+[ \t]*+"
+    rf"(?:[:=]++>?+[ \t]*+(?:\r?\n[ \t]*+)?+{SCHEME}(?:\\*+[\"'`])?+|(?:(?i:is|was)[ \t]++)?+\\*+[\"'`])"
 )
+#: Up to the quote that the value was opened with, or else up to white space, the next
+#: NAME=value of a list, or the punctuation of the sentence.
+QUOTED = "|".join(
+    rf"(?<=\\{q})(?:(?!{STOP}|\\{q})[^{q}\r\n])++(?=\\{q}|{STOP})"
+    rf"|(?<={q})(?<!\\{q})(?:(?!{STOP})(?:\\[^\r\n]|[^{q}\\\r\n]))++(?={q}|{STOP})"
+    for q in "\"'`"
+)
+BARE = rf"(?:(?!{STOP}|[,;&|]{NAME}++=)[^\s\"'`<>])+(?<![.,;:?)\]}}])"
+#: Characters of keys and tokens; an equals sign only fills up the end.
+RUN = (
+    rf"(?<![A-Za-z0-9])(?:(?!{STOP})[A-Za-z0-9_+/.\-]){{11,}}(?!{STOP})[A-Za-z0-9_+/\-]"
+    r"(?:={1,2}(?![A-Za-z0-9_+/.=\-]))?"
+)
+#: A candidate; one behind a credential word is matched with its ``LEAD``.
+CANDIDATE = rf"{LEAD}(?:{PEM}|{ISSUED}|{QUOTED}|{BARE})|{PEM}|{ISSUED}|{RUN}"
+WORD_BEFORE = r"([\w.\-]+)[\"'`\])\\]*(?:\s+(?:is|was))?\s*[:=>\"'`(\\]*\s*[:=\"'`(\\]*\s*$"
 PLACEHOLDER = "[SECRET]"
 #: Characters of text looked at on either side of a candidate.
 NEAR = 40
@@ -44,6 +73,7 @@ FEATURES = (
     "upper_share",
     "distinct_share",
     "dictionary_share",
+    "sign_share",
     "known_format",
     "test_path",
     "assigned",
@@ -73,7 +103,7 @@ def features(found: Column, path: Column, dictionary: list[str]) -> dict[str, Co
     letters = F.regexp_extract_all(F.lower(value), F.lit("([a-z]{3,})"), F.lit(1))
     words = F.array(*map(F.lit, dictionary)) if dictionary else F.array().cast("array<string>")
     known = F.filter(letters, lambda word: F.array_contains(words, word))
-    word = F.regexp_extract(before, r"([^\s]+)\s*[:=\"'`(]*\s*[:=\"'`(]*\s*$", 1)
+    word = F.regexp_extract(before, WORD_BEFORE, 1)
     return {
         "length": F.least(length, F.lit(200)),
         "transitions": transitions(value),
@@ -82,28 +112,55 @@ def features(found: Column, path: Column, dictionary: list[str]) -> dict[str, Co
         "upper_share": kept(value, "A-Z") / length,
         "distinct_share": F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(length, F.lit(64)),
         "dictionary_share": F.aggregate(known, F.lit(0), lambda n, w: n + F.length(w)) / length,
+        "sign_share": (length - kept(value, r"A-Za-z0-9_+/=.\-")) / length,
         "known_format": value.rlike(KNOWN).cast("int"),
         "test_path": F.coalesce(path.rlike(TEST_PATHS), F.lit(False)).cast("int"),
-        "assigned": before.rlike(r"[:=]\s*[\"'`]?$").cast("int"),
+        "assigned": before.rlike(rf"[:=]>?\s*{SCHEME}\\*[\"'`]?$").cast("int"),
         "secret_word": word.rlike(SECRET_WORDS).cast("int"),
         "other_word": word.rlike(OTHER_WORDS).cast("int"),
     }
 
 
 def with_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with ``__found``: structs of ``value``, ``before``, ``after``, ``gap``."""
+    """``docs`` with ``__found``: structs of ``value``, ``before``, ``after``; the texts around
+    the values are ``__gaps``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    values = F.regexp_extract_all(body, F.lit(f"({CANDIDATE})"), F.lit(1))
-    frame = docs.withColumn("__values", values)
+    frame = docs.withColumn("__matches", F.regexp_extract_all(body, F.lit(f"({CANDIDATE})"), F.lit(1)))
     # texts without a candidate are not split
-    gaps = F.when(F.size("__values") > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array(body))
-    frame = frame.withColumn("__gaps", gaps)
+    between = F.when(F.size("__matches") > 0, F.split(body, CANDIDATE, -1)).otherwise(F.array(body))
+    cut = F.zip_with(
+        "__matches",
+        between,
+        lambda match, gap: F.struct(
+            match.alias("match"), gap.alias("gap"), F.regexp_extract(match, rf"^({LEAD})[\s\S]", 1).alias("lead")
+        ),
+    )
+    pieces = F.transform(
+        cut,
+        lambda c: F.struct(
+            F.substr(c["match"], F.length(c["lead"]) + 1).alias("value"),
+            c["gap"].alias("between"),
+            F.concat(c["gap"], F.coalesce(c["lead"], F.lit(""))).alias("gap"),
+        ),
+    )
+    frame = frame.withColumn("__pieces", pieces)
+    frame = frame.withColumn("__values", F.slice(F.col("__pieces")["value"], 1, F.size("__pieces") - 1))
+    frame = frame.withColumn("__gaps", F.col("__pieces")["gap"])
     found = F.transform(
-        F.col("__values"),
-        lambda value, i: F.struct(
-            value.alias("value"),
-            F.substring(F.get("__gaps", i), -NEAR, NEAR).alias("before"),
-            F.substring(F.get("__gaps", i + 1), 1, NEAR).alias("after"),
+        F.slice("__pieces", 1, F.size("__pieces") - 1),
+        lambda piece, i: F.struct(
+            piece["value"].alias("value"),
+            # a candidate may be the word that the next one stands behind
+            F.substring(
+                F.concat(
+                    F.when(i > 0, F.substring(F.get("__pieces", i - 1)["value"], -NEAR, NEAR)).otherwise(""),
+                    piece["gap"],
+                ),
+                -NEAR,
+                NEAR,
+            ).alias("before"),
+            F.substring(F.get("__pieces", i + 1)["between"], 1, NEAR).alias("after"),
+            piece["gap"].alias("gap"),
         ),
     )
     return frame.withColumn("__found", found)
@@ -166,22 +223,35 @@ def labelled_findings(found: DataFrame) -> DataFrame:
     that the trees do not hang on the words and shapes of this corpus.
     """
     value, before = F.col("found.value"), F.col("found.before")
-    credential = before.rlike(SECRET_WORDS + r"\w*[\"'`]?\s*[:=]\s*[\"'`]?$")
+    behind = r"\w*\\*[\"'`]?\s*[:=]>?\s*" + SCHEME + r"\\*[\"'`]?$"
+    credential = before.rlike(SECRET_WORDS + behind)
     mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 16)
-    rows = found.withColumn(
-        "label", (value.rlike(KNOWN) | (credential & mixed)).cast("double")
-    ).select("id", "path", "found", "label")
-    pick = F.pmod(F.xxhash64("id", "found.value"), F.lit(6))
+    password = before.rlike(r"(?i)(passw|pwd|secret|credential)" + behind) & ~value.rlike(r"\s")
+    signs = value.rlike("[A-Za-z]") & value.rlike(r"[0-9!@#$%^&*?~]") & (F.length(value) >= 6)
+    secret = value.rlike(KNOWN) | (credential & mixed & ~value.rlike(r"\s")) | (password & signs)
+    rows = found.withColumn("label", secret.cast("double")).select("id", "path", "found", "label")
+    pick = F.xxhash64("id", "found.value")
     secrets = rows.where("label = 1")
 
     def shown(words: tuple[str, ...], shape: Column, label: float) -> DataFrame:
-        word = F.get(F.array(*map(F.lit, words)), pick.cast("int"))
+        word = F.get(F.array(*map(F.lit, words)), F.pmod(pick, F.lit(len(words))).cast("int"))
         new = F.struct(shape.alias("value"), word.alias("before"), F.col("found.after").alias("after"))
         return secrets.select("id", "path", new.alias("found"), F.lit(label).alias("label"))
 
     encoded = F.regexp_replace(F.base64(F.unhex(F.sha2(value, 256))), "=+$", "")
     upper = F.concat(F.lit("AKIA"), F.substring(F.upper(F.sha2(value, 256)), 1, 16))
-    credentials = ('api_key = "', "password: '", "SECRET=", 'auth_token: "', "access key = ", 'private_key="')
+    letters = F.translate(encoded, "0123456789+/", "gHiJkLmNoPqR")
+    key_without_digit = F.translate(upper, "0123456789", "GHIJKLMNOP")
+    sign = F.substring(F.lit("!@#$%^&*?~"), (F.pmod(pick, F.lit(10)) + 1).cast("int"), F.lit(1))
+    short = F.concat(F.substring(encoded, 1, 5), sign, F.substring(F.sha2(value, 256), 1, 3))
+    word = F.concat(F.regexp_extract(F.lower("found.after"), "[a-z]{3,}", 0), F.substring(F.sha2(value, 256), 1, 1), sign, F.lit("7"))
+    block = F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), F.repeat(encoded, 4), F.lit("\n-----END PRIVATE KEY-----"))
+    prose = F.coalesce(F.nullif(F.regexp_extract("found.after", "[^\\W\\d_]{3,}", 0), F.lit("")), F.lit("value"))
+    credentials = (
+        'api_key = "', "password: '", "SECRET=", 'auth_token: "', "access key = ", 'private_key="',
+        "?token=", "&access_token=", "export API_KEY=", "Authorization: Bearer ",
+    )
+    passwords = ("password: '", 'passwd = "', "DB_PASSWORD=", 'pwd: "', "secret = '", "password=", 'password is "')
     anything = ("then ", "see ", "", "(", "with ", "- ")
     harmless = ("commit ", "checksum: ", "sha1 = ", "digest=", "build version: ", "revision ")
     return reduce(
@@ -192,6 +262,15 @@ def labelled_findings(found: DataFrame) -> DataFrame:
             shown(credentials, encoded, 1.0),
             shown(credentials, upper, 1.0),
             shown(anything, upper, 1.0),
+            shown(anything, key_without_digit, 1.0),
+            shown(anything, block, 1.0),
+            shown(credentials, letters, 1.0),
+            shown(passwords, short, 1.0),
+            shown(passwords, word, 1.0),
+            shown(credentials, prose, 0.0),
+            shown(passwords, prose, 0.0),
+            shown(harmless, letters, 0.0),
+            shown(harmless, short, 0.0),
             shown(harmless, value, 0.0),
             shown(harmless, encoded, 0.0),
         ),
@@ -220,7 +299,9 @@ def train(
     rows = rows.where("text IS NOT NULL")
     dictionary = common_words(rows, "text", words, 2_000)
     taken = share_of(rows, sample)
-    found = with_candidates(taken, "text").select("id", "path", F.explode("__found").alias("found"))
+    found = with_candidates(taken, "text").select("id", "path", F.explode_outer("__found").alias("found"))
+    # outer: an inner explode filters by the size of all candidates first, and cuts them twice
+    found = found.where("found.value IS NOT NULL").withColumn("found", F.col("found").dropFields("gap"))
     found = found.orderBy(F.xxhash64("id", "found.value", "found.before"), "found.value").limit(findings)
     named = features(F.col("found"), F.col("path"), dictionary)
     rows = labelled_findings(stage(found)).select(
@@ -258,9 +339,9 @@ def scanned(
     # features first, so that each is evaluated once however many trees ask for it
     described = F.transform(
         F.col("__found"),
-        lambda found, i: F.struct(
+        lambda found: F.struct(
             found["value"].alias("value"),
-            F.get("__gaps", i).alias("gap"),
+            found["gap"].alias("gap"),
             F.struct(
                 *(c.alias(n) for n, c in features(found, where, list(forest.dictionary)).items())
             ).alias("features"),
@@ -306,7 +387,7 @@ def scanned(
         frame.withColumn("n_candidates", F.size("__values").cast("long"))
         .withColumn("secrets", secrets)
         .withColumn("redacted", redacted)
-        .drop("__values", "__gaps", "__found", "__judged")
+        .drop("__matches", "__pieces", "__values", "__gaps", "__found", "__judged")
     )
 
 
