@@ -196,12 +196,11 @@ def tree_of(lines: list[str], named: dict[str, Column]) -> tuple[Column, list[st
     return F.when(feature <= limit, yes).otherwise(no), rest
 
 
-def common_words(docs: DataFrame, text: str, most: int, sample: int) -> list[str]:
-    """The commonest words of three letters or more in about ``sample`` rows."""
+def common_words(docs: DataFrame, text: str, most: int) -> list[str]:
+    """The commonest words of three letters or more in all rows."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z]{3,})"), F.lit(1))
-    rows = share_of(docs, sample).select(F.explode(words).alias("word"))
-    counted = rows.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
-    return [r.word for r in counted.collect()]
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").count()
+    return [r.word for r in counted.orderBy(F.desc("count"), "word").limit(most).collect()]
 
 
 def share_of(docs: DataFrame, most: int) -> DataFrame:
@@ -290,14 +289,14 @@ def train(
     path: str = "source",
 ) -> Forest:
     """A forest from the candidates of about ``sample`` rows, at most ``findings`` of them, and
-    a dictionary of ``words`` words: these bounds are all that training reads or keeps.
+    a dictionary of the ``words`` commonest words, which are counted over all rows.
 
     Without any secret, or nothing but secrets, among the findings, there is nothing to learn,
     and only known formats are called secrets.
     """
     rows = picked(docs, id=key, text=text, path=F.col(path) if path else F.lit(None).cast("string"))
     rows = rows.where("text IS NOT NULL")
-    dictionary = common_words(rows, "text", words, 2_000)
+    dictionary = common_words(rows, "text", words)
     taken = share_of(rows, sample)
     found = with_candidates(taken, "text").select("id", "path", F.explode_outer("__found").alias("found"))
     # outer: an inner explode filters by the size of all candidates first, and cuts them twice

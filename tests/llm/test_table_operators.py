@@ -192,6 +192,14 @@ def test_secrets_of_any_signs_and_length(spark, forest):
     assert found_values(spark, forest, harmless)[0] == [[]] * 4
 
 
+def test_dictionary_counts_all_documents(spark):
+    """A word of every document beats one that few documents repeat."""
+    docs = spark.range(9_000).selectExpr("id", "if(id = 77, repeat('rare ', 8000), 'common') AS text")
+    assert secrets.common_words(docs, "text", 1) == ["common"]
+    late = docs.selectExpr("id", "concat('w', chr(97 + id % 20), chr(97 + id div 20 % 20), chr(97 + id div 400)) AS text")
+    assert len(secrets.common_words(late, "text", 10_000)) == 9_000
+
+
 def test_forest_as_columns_equals_its_trees(spark, forest):
     rows = [(i, t, "src") for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
