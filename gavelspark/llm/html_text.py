@@ -51,10 +51,10 @@ ENDS = {
 #: Never main text, by element, by role, and by a word of class or id.
 NO_TEXT_TAGS = frozenset(
     "head script style noscript template iframe object embed svg canvas audio video map nav footer"
-    " aside form button input select textarea menu dialog search".split()
+    " aside button input select textarea menu dialog search".split()
 )
 NO_TEXT_ROLES = frozenset(
-    "navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar"
+    "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar"
     " toolbar".split()
 )
 NO_TEXT_WORDS = frozenset(
@@ -65,6 +65,14 @@ NO_TEXT_WORDS = frozenset(
     " sidebar sidebars skip social sponsor sponsored subscribe subscription toolbar topbar widget"
     " widgets".split()
 )
+#: What readers and advertisers write, of the words above.
+OTHERS_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense comment comments commentlist cookie"
+    " cookies consent gdpr disqus promo promoted replies reply respond sponsor sponsored".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: A part named by such a word goes if it holds no more of the body's text, or more of its own in links.
+PART = 0.5
 #: Whatever their class says, these are looked into.
 KEPT = frozenset(("html", "body", "article", "main"))
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -75,6 +83,7 @@ class Node:
     tag: str
     parent: Node | None = None
     no_text: bool = False
+    named: frozenset[str] = frozenset()
     children: list[Node | str] = field(default_factory=list)
     chars: int = 0
     tags: int = 0
@@ -109,8 +118,17 @@ def without_text(tag: str, source: str, parent: Node) -> bool:
         return False
     if found.get("role", "").lower() in NO_TEXT_ROLES or found.get("aria-hidden") == "true":
         return True
+    return False
+
+
+def doubts(tag: str, source: str) -> frozenset[str]:
+    """Words of class, id, role and tag that speak against an element; its density decides."""
+    if tag in KEPT:
+        return frozenset()
+    found = attributes(source) if source.strip() else {}
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
-    return any(word in NO_TEXT_WORDS for word in TOKEN.findall(named.lower()))
+    words = NO_TEXT_WORDS.intersection(TOKEN.findall(named.lower()))
+    return words | {"form"} if tag == "form" or found.get("role", "").lower() == "form" else words
 
 
 def parse(source: str) -> Node:
@@ -154,7 +172,7 @@ def parse(source: str) -> Node:
         if tag in ENDS:
             for open_tag in ENDS[tag][0]:
                 here = close(open_tag, ENDS[tag][1])
-        node = Node(tag, here, without_text(tag, m[3], here))
+        node = Node(tag, here, without_text(tag, m[3], here), doubts(tag, m[3]))
         here.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(source, position)
@@ -176,6 +194,49 @@ def in_order(root: Node) -> list[Node]:
     return found
 
 
+def drop_doubtful(body: Node) -> None:
+    """Takes out what a word speaks against and the density does too: link-heavy parts and those
+    with a small share of the text, but nothing that holds the densest subtree. Headings and
+    paragraphs, and a header inside an article or with a main heading, only go as adverts or
+    for their links."""
+    nodes = in_order(body)
+    if not any(node.named for node in nodes):
+        return
+    measure(nodes, body)
+    total = body.chars
+    frames = [node for node in nodes if node.tag in ("article", "main") and node.chars]
+
+    def agreed(node: Node) -> bool:
+        links = node.link_chars > PART * node.chars
+        if node.tag in HEADINGS and not node.named & OTHERS_WORDS:
+            return links
+        if node.named <= {"header", "masthead"}:
+            inside = any(a.tag in ("article", "main") for a in ancestors(node))
+            if inside or any(inner.tag == "h1" for inner in in_order(node)):
+                return links
+        if node.named & OTHERS_WORDS and frames:  # beside an article, however short that is
+            return not any(node in ancestors(frame) for frame in frames) or links
+        return links or node.chars <= PART * total
+
+    doubtful = [node for node in nodes if node.named and node is not body and agreed(node)]
+    for node in doubtful:
+        node.no_text = bool(node.named & OTHERS_WORDS)
+    nodes = in_order(body)
+    clear(nodes)
+    measure(nodes, body)
+    best = max(nodes, key=lambda node: node.density_sum)
+    kept = {best, *ancestors(best)}
+    for node in doubtful:
+        node.no_text = node.no_text or node not in kept
+    clear(nodes)
+
+
+def clear(nodes: list[Node]) -> None:
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.density_sum = 0.0
+
+
 def measure(nodes: list[Node], body: Node) -> None:
     """Characters, tags and densities of all nodes, from the leaves up."""
     for node in reversed(nodes):
@@ -278,6 +339,7 @@ def main_text(source: str | None) -> str:
     root = parse(source)
     nodes = in_order(root)
     body = next((node for node in nodes if node.tag == "body"), root)
+    drop_doubtful(body)
     nodes = in_order(body)
     measure(nodes, body)
     return "\n".join(text for part in main_parts(body, nodes) for text in blocks(part))

@@ -88,6 +88,28 @@ def test_densest_subtree_without_any_hint():
     assert html_text.main_text(page) == f"{words.strip()}\n{words.strip()}\nShort."
 
 
+LINES = ["Long running text that has no links and many characters. " * 4] * 3
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Entry {i}</a></li>" for i in range(12)) + "</ul>"
+
+
+@pytest.mark.parametrize("wrapper", ["div id='page' class='site has-sidebar'", "div class='content with-sidebar'", "form action='/'"])
+def test_named_wrappers_keep_the_main_text(wrapper):
+    text = "".join(f"<p>{line}</p>" for line in LINES)
+    side = f"<div class='sidebar'>{MENU}</div><div class='widget'><p>Small notes</p></div>"
+    page = f"<body><{wrapper}>{side}<div>{text}</div></{wrapper.split()[0]}></body>"
+    assert html_text.main_text(page) == "\n".join(line.strip() for line in LINES)
+
+
+def test_named_headings_and_paragraphs_of_an_article_stay():
+    text = "".join(f"<p>{line}</p>" for line in LINES)
+    page = (
+        f"<body><article><h1 class='page-header'>Headline</h1><div class='post-header'><h2>Below</h2></div>"
+        f"<p class='notice'>Mind the step.</p>{text}<div class='share'>{MENU}</div></article></body>"
+    )
+    assert html_text.main_text(page).startswith("Headline\nBelow\nMind the step.\nLong")
+    assert "Entry" not in html_text.main_text(page)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<<<>>>", "<p", "</p></div>", "<!--", "<script>x", "&#xD800;&bogus;"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
