@@ -271,9 +271,9 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
     return chars / max(tags, 1) * math.log(plain) / base
 
 
-def main_parts(body: Node, nodes: list[Node]) -> list[Node]:
-    """The subtree of the largest density sum, and such subtrees of the body's other parts that
-    reach the path's least density, in page order."""
+def main_parts(body: Node, nodes: list[Node]) -> list[Node | str]:
+    """The subtree of the largest density sum, or the whole article that it stands in, and the
+    body's other parts and bare texts that reach the path's least density, in page order."""
     best = max(nodes, key=lambda node: node.density_sum)
     if best.density_sum <= 0:
         return []
@@ -286,15 +286,20 @@ def main_parts(body: Node, nodes: list[Node]) -> list[Node]:
     if frame:  # the whole article, not only the densest of its sections
         best = min(frame, key=lambda node: sum(1 for other in path if other in ancestors(node)))
         path = {best, *ancestors(best)}
+    share = body.link_chars / max(body.chars, 1)
     parts, stack = [], [body]
     while stack:
         node = stack.pop()
-        if node is best:
+        if isinstance(node, str):
+            text = SPACE.sub(" ", node).strip()
+            if text and density(len(text), 1, 0, 0, share) >= threshold:
+                parts.append(text)
+        elif node is best:
             parts.append(node)
         elif node in path:
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.no_text)
-        elif node.density >= threshold and node.density > 0 and not frame:
-            parts.append(max(in_order(node), key=lambda inner: inner.density_sum))
+            stack.extend(c for c in reversed(node.children) if isinstance(c, str) or not c.no_text)
+        elif node.density >= threshold and node.density > 0:
+            parts.append(node)
     return parts
 
 
@@ -306,7 +311,7 @@ def ancestors(node: Node) -> set[Node]:
     return found
 
 
-def blocks(part: Node) -> list[str]:
+def blocks(part: Node | str) -> list[str]:
     """Texts of a subtree's blocks in page order."""
     found, running = [], []
 

@@ -110,6 +110,15 @@ def test_named_headings_and_paragraphs_of_an_article_stay():
     assert "Entry" not in html_text.main_text(page)
 
 
+def test_sibling_articles_and_bare_texts_stay():
+    one, two, bare = (f"{word} text that has no links and many characters. " * 5 for word in ("First", "Second", "Bare"))
+    many = f"<p>{one}</p>" * 8
+    page = f"<body><article>{many}</article>{bare}<article><p>{two}</p></article>{MENU}<div>{two}</div></body>"
+    assert html_text.main_text(page) == "\n".join(t.strip() for t in [one] * 8 + [bare, two, two])
+    page = f"<body><div>{many}</div>{bare}<br>{MENU}</body>"
+    assert html_text.main_text(page) == "\n".join(t.strip() for t in [one] * 8 + [bare])
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<<<>>>", "<p", "</p></div>", "<!--", "<script>x", "&#xD800;&bogus;"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
