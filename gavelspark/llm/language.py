@@ -28,6 +28,8 @@ WORD_LIMIT = 40
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words a worker remembers the n-grams of before it starts anew.
 REMEMBERED = 200_000
+#: Texts differ from those that training has read.
+SLACK = 0.75
 
 
 def words_of(text: str | None) -> list[str]:
@@ -46,6 +48,7 @@ class Model:
     scores: np.ndarray  # row, language
     words: dict[str, int]
     grams: tuple[dict[str, int], ...]  # by length, from 1
+    seen: np.ndarray | None = None  # row, language: how often training met it there
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,6 +63,28 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def training_sample(
+    docs: DataFrame, per_language: int, languages: int, key: str, text: str, lang: str
+) -> tuple[tuple[str, ...], DataFrame]:
+    """The languages of ``docs`` and ``lang``, ``text`` of about ``per_language`` rows of each."""
+    rows = picked(docs, id=key, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").count().limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} languages")
+    names = tuple(sorted(r.lang for r in sizes))
+    if not names:
+        return names, rows.select("lang", "text")
+    scale = 1 << 30
+    share = reduce(
+        lambda otherwise, r: F.when(
+            F.col("lang") == r.lang, min(scale, scale * per_language // r["count"] + 1)
+        ).otherwise(otherwise),
+        sizes,
+        F.lit(scale),
+    )
+    return names, rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("lang", "text")
+
+
 def train(
     docs: DataFrame,
     per_language: int = 4_000,
@@ -78,22 +103,9 @@ def train(
     the amount of text. More than ``languages`` values in ``lang`` are refused. Without any
     row the model knows no language.
     """
-    rows = picked(docs, id=key, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count().limit(languages + 1).collect()
-    if len(sizes) > languages:
-        raise ValueError(f"more than {languages} languages")
-    names = tuple(sorted(r.lang for r in sizes))
+    names, sample = training_sample(docs, per_language, languages, key, text, lang)
     if not names:
         return Model((), np.zeros((1, 0)), {}, tuple({} for _ in range(LONGEST)))
-    scale = 1 << 30
-    share = reduce(
-        lambda otherwise, r: F.when(
-            F.col("lang") == r.lang, min(scale, scale * per_language // r["count"] + 1)
-        ).otherwise(otherwise),
-        sizes,
-        F.lit(scale),
-    )
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("lang", "text")
     words = stage(
         sample.mapInArrow(_word_counts, "lang string, gram string, n long")
         .groupBy("lang", "gram")
@@ -121,7 +133,7 @@ def train(
     totals = {r["size"]: r for r in wide.groupBy("size").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names)))).collect()}
     words_by: dict[str, int] = {}
     grams_by: list[dict[str, int]] = [{} for _ in range(LONGEST)]
-    table = []
+    table, seen = [], []
     for size in range(LONGEST + 1):
         most = most_grams if size else most_words
         kept = wide.where(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(most).toPandas()
@@ -129,9 +141,10 @@ def train(
         into.update(zip(kept["gram"], range(len(table), len(table) + len(kept))))
         counts = kept[[f"n{i}" for i in range(len(names))]].to_numpy(dtype=float)
         total = np.array([totals[size][f"n{i}"] if size in totals else 0 for i in range(len(names))])
+        seen.extend(counts)
         table.extend(np.log((counts + 0.5) / (total + 0.5 * len(kept) + 1)))
     scores = np.array(table, dtype=np.float32).reshape(-1, len(names))
-    return Model(names, scores, words_by, tuple(grams_by))
+    return Model(names, scores, words_by, tuple(grams_by), np.array(seen, dtype=np.float32).reshape(-1, len(names)))
 
 
 class Scorer:
@@ -182,6 +195,33 @@ class Scorer:
         return model.languages[best], float(odds[best] / odds.sum())
 
 
+    def fit(self, text: str | None, lang: str, read: bool = False) -> float:
+        """How much of a text training has met in the language, from 0 to 1: a known word
+        counts 1, another the share of its longest known n-grams by their length. Of a text that training has
+        ``read``, what only the text itself has taught does not count."""
+        words, model = words_of(text), self.model
+        if not words or lang not in model.languages:
+            return 0.0
+        i, total = model.languages.index(lang), 0.0
+        for word, n in Counter(words).items():
+            row = model.words.get(word)
+            own = n if read else 0
+            if row is not None and model.seen[row, i] > own:
+                total += n
+            elif found := self.remembered(word):
+                edged = marked(word)
+                size = next(k for k in range(min(LONGEST, len(edged)), 0, -1) if any(
+                    edged[j : j + k] in model.grams[k - 1] for j in range(len(edged) - k + 1)))
+                if size == 1:  # the marks of the edges are no letters
+                    found = [r for r in map(model.grams[0].get, word) if r is not None]
+                known = int((model.seen[found, i] > own).sum()) if found else 0
+                total += n * known / (len(edged) - size + 1) * size / (LONGEST + 1)
+        return total / len(words)
+
+    def knows(self, word: str) -> bool:
+        return word in self.model.words or any(letter in self.model.grams[0] for letter in word)
+
+
 _scorers: dict[str, Scorer] = {}
 
 
@@ -215,6 +255,29 @@ def predicted(text: Column, model: Model) -> Column:
     return predict(text)
 
 
+def fitted(text: Column, lang: Column, model: Model, read: bool = False) -> Column:
+    """``fit`` of a text to a language, its number of ``words`` and whether any of its letters
+    is ``known``, as a struct."""
+    context = SparkContext.getOrCreate()
+    shared = context.broadcast(model)
+    name = f"{context.applicationId}-{shared._jbroadcast.id()}"
+
+    @F.arrow_udf("fit double, words long, known boolean")
+    def fit(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        if name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = Scorer(shared.value)
+        scorer = _scorers[name]
+        # whether any letters at all are known, in whatever language
+        anything = lambda t: any(scorer.knows(w) for w in words_of(t))
+        texts, langs = texts.to_pylist(), langs.to_pylist()
+        fits = pa.array([scorer.fit(t, v, read) for t, v in zip(texts, langs)], pa.float64())
+        words = pa.array([len(words_of(t)) for t in texts], pa.int64())
+        return pa.StructArray.from_arrays([fits, words, pa.array(map(anything, texts), pa.bool_())], ["fit", "words", "known"])
+
+    return fit(text, lang)
+
+
 def held_out(key: Column) -> Column:
     """Documents that training never reads: CRC-32 of the key as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -243,15 +306,29 @@ def in_known_language(
     text: str = "text",
     lang: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and is in one language with a score of
-    ``least`` or more, with all columns as they came. By default that is a fifth more than
-    chance, which a text in none of the learned languages does not reach."""
-    model = train(docs.where(~held_out(docs[key])), key=key, text=text, lang=lang)
-    if least is None:
-        least = min(1.2 / max(len(model.languages), 1), 1.0)
-    found = predicted(docs[text], model)
-    return (
-        docs.withColumn("__found", found)
-        .where((F.col("__found.lang_pred") != UNKNOWN) & (F.col("__found.score") >= least))
-        .drop("__found")
+    """The rows of ``docs`` whose text has letters and fits the language found, with all
+    columns as they came; with ``least``, only those with such a score or more.
+
+    How well a text fits does not depend on the number of languages: it has to reach
+    ``SLACK`` of what all but a hundredth of the language's training documents reach, less
+    one by the root of its words, as few words say little.
+    """
+    learned = docs.where(~held_out(docs[key]))
+    model = train(learned, key=key, text=text, lang=lang)
+    _, sample = training_sample(learned, 4_000, 200, key, text, lang)
+    own = stage(sample.select("lang", fitted(F.col("text"), F.col("lang"), model, read=True).alias("f")))
+    floors = {
+        r.lang: r.floor or 0.0
+        for r in own.where("f.words > 0").groupBy("lang").agg(F.percentile_approx("f.fit", 0.01, 10_000).alias("floor")).collect()
+    }
+    floor = reduce(
+        lambda otherwise, v: F.when(F.col("__found.lang_pred") == v, floors[v] * SLACK).otherwise(otherwise),
+        floors,
+        F.lit(0.0),
     )
+    frame = docs.withColumn("__found", predicted(docs[text], model))
+    frame = frame.withColumn("__fit", fitted(docs[text], F.col("__found.lang_pred"), model))
+    enough = F.col("__fit.known") & (F.col("__fit.fit") >= floor - 1 / F.sqrt("__fit.words"))
+    if least is not None:
+        enough = enough & (F.col("__found.score") >= least)
+    return frame.where((F.col("__found.lang_pred") != UNKNOWN) & enough).drop("__found", "__fit")

@@ -223,3 +223,21 @@ def test_backing_off_goes_to_the_longest_known_gram():
     assert scorer("xyz")[0] == scorer("zx")[0] == "bb"
     assert scorer("qq") == ("aa", 0.5)
     assert scorer("")[0] == "und"
+
+
+ENGLISH = "the house stands near river people walk through green fields every morning while children play under old trees".split()
+FRENCH = "la maison est dans une rue tranquille où les enfants jouent avec leurs amis pendant que le soleil brille".split()
+ITALIAN = "il gatto dorme sopra il divano mentre fuori piove forte e nessuno vuole uscire perché fa freddo stasera".split()
+
+
+@pytest.mark.parametrize("learned", [{"en": ENGLISH}, {"en": ENGLISH, "fr": FRENCH}])
+def test_unlearned_languages_of_the_same_script_go(spark, learned):
+    draw = random.Random(5)
+    text = lambda words: " ".join(draw.choices(words, k=80))
+    rows = [(i, text(words), v) for v, words in learned.items() for i in range(40)]
+    rows += [(1_000 + i, text(ITALIAN), None) for i in range(5)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows += [(2_000 + i, " ".join("".join(draw.choices(letters, k=7)) for _ in range(80)), None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = language.in_known_language(docs).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(i for i, _, v in rows if v)
