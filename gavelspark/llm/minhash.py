@@ -5,8 +5,9 @@ parts a collection there are PARTS² tables, yet only 2·PARTS·``ROWS`` minhash
 about the square root of what as many independent tables would take. Two sets meet in a table
 if one part of each collection agrees.
 
-What meets is compared with the least member of its table, then only what that member has not
-settled with the others; tables too long for that are dealt anew by the parts of a further
+Stars come first: of the members that its tables put at their centres, each set is compared
+with one. What that connects is settled among itself; only members of different components are
+compared pair by pair, and tables too long for that are dealt anew by the parts of a further
 collection. All links are confirmed on the full sets.
 """
 
@@ -36,11 +37,15 @@ PARTS = 8
 COLLECTIONS = 4
 #: A table of more sets than this is dealt anew.
 LONG_TABLE = 64
-#: At similarity 0.8 each of the 32 parts agrees with a chance of 0.64: fewer than this do
-#: once in a million.
-LEAST_AGREEING = 8
+#: Two bits of each minhash make a sketch. At similarity 0.8 both agree with a chance of 0.85;
+#: fewer than this of 64 do about twice in a million.
+LEAST_AGREEING = 40
+#: Centres a table gets before its components are compared pair by pair.
+CENTRES = 2
 #: Comparisons with one set that a task makes before others share them.
 STAR = 256
+#: Digests that may be sent to every task, 8 MB: with more of them, the join alone chooses.
+PRUNED = 1 << 20
 SEED = 42
 BLOCK = 1 << 16
 _draw = np.random.default_rng(SEED)
@@ -69,46 +74,64 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
 
 
-def parts_of(hashes: np.ndarray) -> np.ndarray:
-    """The parts of all collections, as signed numbers: each joins ``ROWS`` minhashes."""
+def minhashes(hashes: np.ndarray) -> np.ndarray:
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(hashes), BLOCK // len(FACTORS)):
         block = hashes[start : start + BLOCK // len(FACTORS)]
         seen = block[:, None] * FACTORS + SUMMANDS
         least = np.minimum(least, (seen ^ (seen >> np.uint64(32))).min(0))
+    return mixed(least)
+
+
+def parts_of(least: np.ndarray) -> np.ndarray:
+    """The parts of all collections, as signed numbers: each joins ``ROWS`` minhashes."""
     joined = np.zeros(PARTS * COLLECTIONS, np.uint64)
     for row in least.reshape(PARTS * COLLECTIONS, ROWS).T:
         joined = mixed(joined ^ row)
     return joined.view(np.int64)
 
 
+def bits_of(least: np.ndarray, place: int) -> int:
+    """One bit of each minhash, as a signed number."""
+    bits = (least >> np.uint64(place)).astype(np.uint8) & 1
+    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
+
+
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """For each row ``id``, ``text_digest``, ``n_shingles``, ``digest`` of its set and ``parts``
-    (both null without shingles), written to the shared folder."""
+    """For each row ``id``, ``text_digest``, ``n_shingles``, and of its set ``digest``, ``parts``
+    and the sketch ``low``, ``high`` (null without shingles), written to the shared folder."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, parts = [], [], []
+            sizes, sketches = [], []
             for text in batch.column(2):
                 found = shingle_set(text.as_py())
                 sizes.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                parts.append(parts_of(found) if len(found) else None)
+                if len(found):
+                    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+                    least = minhashes(found)
+                    sketches.append((digest, parts_of(least), bits_of(least, 0), bits_of(least, 1)))
+                else:
+                    sketches.append((None,) * 4)
+            digests, parts, low, high = zip(*sketches) if sketches else ((),) * 4
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(parts, pa.list_(pa.int64())),
+                    pa.array(low, pa.int64()),
+                    pa.array(high, pa.int64()),
                 ],
-                ["id", "text_digest", "n_shingles", "digest", "parts"],
+                ["id", "text_digest", "n_shingles", "digest", "parts", "low", "high"],
             )
 
     rows = picked(docs, id=key, text=text).select("id", F.xxhash64("text").alias("text_digest"), F.col("text").cast("binary"))
     kind = rows.schema["id"].dataType.simpleString()
     return stage_in_batches(
         rows.mapInArrow(
-            sketch, f"id {kind}, text_digest long, n_shingles long, digest binary, parts array<long>"
+            sketch,
+            f"id {kind}, text_digest long, n_shingles long, digest binary, parts array<long>, low long, high long",
         )
     )
 
@@ -117,9 +140,13 @@ def collection(number: int) -> Column:
     return F.slice("parts", number * PARTS + 1, PARTS)
 
 
+SKETCH = ["n_shingles", "low", "high"]
+
+
 def tables(classes: DataFrame) -> DataFrame:
-    """``key``, ``cid``: the classes (``cid``, ``parts``) under each key of the tables. Parts
-    that no other class has are in no key that two classes share, and make none."""
+    """``key``, ``cid`` and its sketch: the classes (``cid``, ``parts``, the sketch) under each
+    key of the tables. Parts that no other class has are in no key that two classes share, and
+    make none."""
     both = F.slice("parts", 1, 2 * PARTS)
     listed = classes.select("cid", F.posexplode(both).alias("at", "part"))
     common = listed.groupBy("at", "part").count().where("count > 1").drop("count")
@@ -129,31 +156,26 @@ def tables(classes: DataFrame) -> DataFrame:
     second = F.filter("held", lambda p: p["at"] >= PARTS)
     held = shared.groupBy("cid").agg(F.collect_list(F.struct("at", "part")).alias("held"))
     return (
-        held.select("cid", F.explode(first).alias("a"), second.alias("second"))
-        .select("cid", "a", F.explode("second").alias("b"))
-        .select(F.xxhash64("a.at", "a.part", "b.at", "b.part").alias("key"), "cid")
+        held.join(classes.select("cid", *SKETCH), "cid")
+        .select("cid", *SKETCH, F.explode(first).alias("a"), second.alias("second"))
+        .select("cid", *SKETCH, "a", F.explode("second").alias("b"))
+        .select(F.xxhash64("a.at", "a.part", "b.at", "b.part").alias("key"), "cid", *SKETCH)
     )
 
 
-def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs`` (``a`` < ``b``) whose sizes and parts allow a link."""
-    left = classes.select(F.col("cid").alias("a"), F.col("n_shingles").alias("size_a"), F.col("parts").alias("parts_a"))
-    right = classes.select(F.col("cid").alias("b"), F.col("n_shingles").alias("size_b"), F.col("parts").alias("parts_b"))
-    same = F.zip_with("parts_a", "parts_b", lambda x, y: F.when(x == y, 1).otherwise(0))
-    agreeing = F.aggregate(same, F.lit(0), lambda total, x: total + x)
-    sizes = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    return (
-        pairs.distinct()
-        .join(left, "a")
-        .join(right, "b")
-        .where(sizes & (agreeing >= LEAST_AGREEING))
-        .select("a", "b")
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches of two members allow a link."""
+    size_a, size_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    different = (
+        F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low")).bitwiseOR(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
     )
+    sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    return sizes & (F.bit_count(different) <= 64 - LEAST_AGREEING)
 
 
 def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``cid`` and ``shingles`` of every class in ``pairs``, from one document of each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
     firsts = classes.join(wanted, "cid", "left_semi").select(
         "cid", as_text(F.col("first.id")).alias("doc"), F.col("first.text_digest").alias("text_digest")
     )
@@ -161,6 +183,9 @@ def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
         as_text(F.col("id")).alias("doc"), F.xxhash64("text").alias("text_digest"), F.col("text").cast("binary")
     )
     # repeated rows of one document are equal
+    if wanted.count() <= PRUNED:
+        digests = F.broadcast(firsts.select("text_digest").distinct())
+        texts = texts.join(digests, "text_digest", "left_semi")  # before any text is moved
     found = texts.join(firsts, ["doc", "text_digest"]).dropDuplicates(["doc", "text_digest", "cid"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,68 +218,80 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def star_pairs(rooted: DataFrame, percent: int, turn: int) -> DataFrame:
+    """One pair (``a`` < ``b``) at most for each member (``key``, ``cid``, its sketch, ``root``):
+    itself and, of the centres of its tables that it may be linked with and is not connected
+    with yet, the first in an order that all tables share."""
+    member = F.struct(F.xxhash64("cid", F.lit(turn)).alias("order"), "cid", "root", *SKETCH)
+    centres = (
+        rooted.groupBy("key")
+        .agg(F.min(member).alias("centre"), F.min("root").alias("__least"), F.max("root").alias("__most"))
+        .where("__least < __most")
+        .select(F.col("key").alias("__key"), "centre")
+    )
+    met = rooted.select("key", F.struct("cid", "root", *SKETCH).alias("member")).join(
+        centres, F.col("key") == F.col("__key")
+    )
+    met = met.where((F.col("member.root") != F.col("centre.root")) & alike("member", "centre", percent))
+    first = F.min(F.struct("centre.order", "centre.cid")).alias("first")
+    chosen = met.groupBy(F.col("member.cid").alias("cid")).agg(first)
+    return chosen.select(
+        F.least("cid", "first.cid").alias("a"), F.greatest("cid", "first.cid").alias("b")
+    ).distinct()
+
+
+def table_pairs(rooted: DataFrame, percent: int) -> DataFrame:
+    """The pairs (``a`` < ``b``) of members of a table that may be linked and are not connected."""
+    members = rooted.select("key", F.struct("cid", "root", *SKETCH).alias("one"))
+    others = members.select(F.col("key").alias("__key"), F.col("one").alias("other"))
+    met = members.join(
+        others,
+        (F.col("key") == F.col("__key"))
+        & (F.col("one.cid") < F.col("other.cid"))
+        & (F.col("one.root") != F.col("other.root"))
+        & alike("one", "other", percent),
+    )
+    return met.select(F.col("one.cid").alias("a"), F.col("other.cid").alias("b")).distinct()
 
 
 def links(classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ``classes`` that connect every two classes whose sets have the
-    similarity and that met: a pair may be left out if both are linked with a third.
-
-    In each table the least member that is open is compared with all. Members it links with
-    are settled with one another. An open member still has to meet the other members: pair by
-    pair in a short table; a long one is dealt anew by a further collection, in which the open
-    members meet all others again. After the last collection the pairs are made whatever the
-    length.
-    """
+    """Confirmed pairs (``a`` < ``b``) of ``classes`` that connect all classes that met in a
+    table and have the similarity: what others connect already need not be compared."""
     seen, found = [], []
 
-    def judged(pairs: DataFrame) -> None:
-        """Links among ``pairs``; what an earlier step has compared is not compared again."""
+    def judge(pairs: DataFrame) -> None:
+        """Add the links among ``pairs``; what an earlier step compared is not compared again."""
         for earlier in seen:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        likely = stage(promising(pairs, classes, percent))
-        seen.append(likely)
-        sets = sets_of(likely, classes, docs, key, text)
-        found.append(stage(confirmed(likely, sets, percent)))
-
-    listed = stage(tables(classes).withColumn("open", F.lit(True)))
+        pairs = stage(pairs)
+        seen.append(pairs)
+        found.append(stage(confirmed(pairs, sets_of(pairs, classes, docs, key, text), percent)))
+
+    def rooted(listed: DataFrame) -> DataFrame:
+        """The members with the component that the links so far give them."""
+        if not found:
+            return listed.withColumn("root", F.col("cid"))
+        roots = connected(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "cid")
+        return listed.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+
+    listed = stage(tables(classes))
     for number in range(2, COLLECTIONS + 1):
-        open_cid = F.when(F.col("open"), F.col("cid"))
-        sizes = listed.groupBy("key").agg(F.count("*").alias("n"), F.min(open_cid).alias("centre"))
-        sizes = sizes.where("n > 1 AND centre IS NOT NULL")
-        met = stage(listed.join(sizes, "key"))
-        stars = met.where("cid <> centre").select(*ordered(F.col("centre"), F.col("cid")))
-        judged(stars)
-        linked = reduce(DataFrame.unionByName, found)
-        either = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = either.select(F.col("a").alias("centre"), F.col("b").alias("cid"), F.lit(True).alias("near"))
-        # what the centre has linked is settled; of the rest, what was open stays open
-        rest = met.where("cid <> centre").join(near, ["centre", "cid"], "left")
-        rest = rest.select("key", "cid", (F.col("open") & F.col("near").isNull()).alias("open"))
-        left = rest.groupBy("key").agg(
-            F.count("*").alias("n"), F.count(F.when(F.col("open"), 1)).alias("n_open")
-        ).where("n > 1 AND n_open > 0")
-        rest = stage(rest.join(left, "key"))
-        last = number == COLLECTIONS
-        short = rest if last else rest.where(F.col("n") <= LONG_TABLE)
-        asking = short.where("open").select("key", F.col("cid").alias("asker"))
-        pairs = (
-            asking.join(short.select("key", "cid", "open"), "key")
-            .where((F.col("asker") < F.col("cid")) | ~F.col("open"))
-            .select(*ordered(F.col("asker"), F.col("cid")))
+        for turn in range(CENTRES):
+            judge(star_pairs(rooted(listed), percent, turn))
+        members = rooted(listed)
+        split = members.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("root").alias("__least"), F.max("root").alias("__most")
         )
-        judged(pairs)
-        if last:
-            break
-        long = rest.where(F.col("n") > LONG_TABLE).select("key", "cid", "open")
-        if long.isEmpty():
-            break
+        rest = stage(members.join(split.where("__least < __most").select("key", "n"), "key"))
+        last = number == COLLECTIONS
+        judge(table_pairs(rest if last else rest.where(F.col("n") <= LONG_TABLE), percent))
+        long = rest.where(F.col("n") > LONG_TABLE)
+        if last or long.isEmpty():
+            return reduce(DataFrame.unionByName, found)
         further = classes.select("cid", F.posexplode(collection(number)).alias("at", "part"))
         listed = stage(
-            long.join(further, "cid").select(F.xxhash64("key", "at", "part").alias("key"), "cid", "open")
+            long.join(further, "cid").select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
         )
-    return reduce(DataFrame.unionByName, found)
 
 
 def components(
@@ -281,10 +318,10 @@ def components(
     classes = stage(
         rows.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(first, F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"), F.first("parts").alias("parts"))
+        .agg(first, F.count("*").alias("n"), F.first("parts").alias("parts"), *(F.max(c).alias(c) for c in SKETCH))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    members = connected(links(classes.select("cid", "first", "n_shingles", "parts"), docs, percent, key, text))
+    members = connected(links(classes.drop("digest", "n"), docs, percent, key, text))
     linked = stage(members.join(classes.select("cid", "first"), F.col("node") == F.col("cid")).select("cid", "root", "first"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("chosen"))
     known = linked.select("cid", "root").join(smallest, "root").select("cid", "chosen")
