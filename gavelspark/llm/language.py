@@ -9,13 +9,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelspark.llm.common import picked
@@ -23,17 +24,22 @@ from gavelspark.sources.storage import stage
 
 UNKNOWN = "und"
 LONGEST = 5
-#: A longer run of letters is not a word: it scores by its n-grams alone.
+#: A longer run of letters is not listed as a word; training counts its n-grams like any other's.
 WORD_LIMIT = 40
-WORDS = re.compile(r"[^\W\d_]+")
-#: Words a worker remembers the n-grams of before it starts anew.
-REMEMBERED = 200_000
+#: A letter and what follows it: letters and the marks that combine with them.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
+ASCII_WORDS = re.compile(r"[a-z]+")
+#: Bytes of words a task remembers the n-grams of before it starts anew.
+REMEMBERED = 8 << 20
 #: Texts differ from those that training has read.
 SLACK = 0.75
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (ASCII_WORDS if text.isascii() else WORDS).findall(text)
 
 
 def marked(word: str) -> str:
@@ -55,7 +61,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((lang, w) for w in words_of(text) if len(w) <= WORD_LIMIT)
+            counts.update((lang, w) for w in words_of(text))
         langs, words = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays(
             [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())],
@@ -66,7 +72,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_sample(
     docs: DataFrame, per_language: int, languages: int, key: str, text: str, lang: str
 ) -> tuple[tuple[str, ...], DataFrame]:
-    """The languages of ``docs`` and ``lang``, ``text`` of about ``per_language`` rows of each."""
+    """The languages of ``docs`` and ``lang``, ``text`` of about ``per_language`` rows of each,
+    chosen by a hash of key and text, so that neither null nor repeated keys are taken or left
+    together. Rows equal in key and text count as one."""
     rows = picked(docs, id=key, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = rows.groupBy("lang").count().limit(languages + 1).collect()
     if len(sizes) > languages:
@@ -82,7 +90,8 @@ def training_sample(
         sizes,
         F.lit(scale),
     )
-    return names, rows.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < share).select("lang", "text")
+    taken = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < share)
+    return names, taken.dropDuplicates(["id", "text", "lang"]).select("lang", "text")
 
 
 def train(
@@ -97,11 +106,12 @@ def train(
 ) -> Model:
     """Learn from the rows of ``docs`` that have a text and a language.
 
-    About ``per_language`` documents of each language are read, chosen by a hash of the key;
-    of a language with fewer, all. The ``most_words`` commonest words and, for each length,
-    the ``most_grams`` commonest n-grams are kept: these bounds are the model's size, whatever
-    the amount of text. More than ``languages`` values in ``lang`` are refused. Without any
-    row the model knows no language.
+    About ``per_language`` documents of each language are read, chosen by a hash of key and
+    text; of a language with fewer, all. ``most_words`` words and, for each length,
+    ``most_grams`` n-grams are kept, the commonest of each language in equal shares: these
+    bounds are the model's size, whatever the amount of text, and no language crowds out
+    another. More than ``languages`` values in ``lang`` are refused. Without any row the model
+    knows no language.
     """
     names, sample = training_sample(docs, per_language, languages, key, text, lang)
     if not names:
@@ -123,28 +133,46 @@ def train(
             .withColumn("size", F.lit(size))
             for size in range(1, LONGEST + 1)
         ),
-    ).unionByName(words.withColumn("size", F.lit(0)))
-    wide = stage(
-        grams.groupBy("size", "gram").agg(
-            F.sum("n").alias("n"),
-            *(F.sum(F.when(F.col("lang") == v, F.col("n")).otherwise(0)).alias(f"n{i}") for i, v in enumerate(names)),
-        )
+    ).unionByName(words.where(F.length("gram") <= WORD_LIMIT).withColumn("size", F.lit(0)))
+    grams = stage(grams)
+    totals = {(r.size, r.lang): r.n for r in grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    share = {size: -(-(most_grams if size else most_words) // len(names)) for size in range(LONGEST + 1)}
+    # one language's n-grams of a size, in a sample of bounded rows
+    place = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "gram"))
+    listed = grams.withColumn("place", place).where(
+        F.col("place") <= F.when(F.col("size") == 0, share[0]).otherwise(share[1])
     )
-    totals = {r["size"]: r for r in wide.groupBy("size").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(names)))).collect()}
+    kept = grams.join(listed.select("size", "gram").distinct(), ["size", "gram"]).toPandas()
     words_by: dict[str, int] = {}
     grams_by: list[dict[str, int]] = [{} for _ in range(LONGEST)]
     table, seen = [], []
+    number = {v: i for i, v in enumerate(names)}
+    first = 0
     for size in range(LONGEST + 1):
-        most = most_grams if size else most_words
-        kept = wide.where(F.col("size") == size).orderBy(F.desc("n"), "gram").limit(most).toPandas()
+        of_size = kept[kept["size"] == size]
+        listed_grams = sorted(set(of_size["gram"]))
         into = grams_by[size - 1] if size else words_by
-        into.update(zip(kept["gram"], range(len(table), len(table) + len(kept))))
-        counts = kept[[f"n{i}" for i in range(len(names))]].to_numpy(dtype=float)
-        total = np.array([totals[size][f"n{i}"] if size in totals else 0 for i in range(len(names))])
-        seen.extend(counts)
-        table.extend(np.log((counts + 0.5) / (total + 0.5 * len(kept) + 1)))
-    scores = np.array(table, dtype=np.float32).reshape(-1, len(names))
-    return Model(names, scores, words_by, tuple(grams_by), np.array(seen, dtype=np.float32).reshape(-1, len(names)))
+        into.update(zip(listed_grams, range(first, first + len(listed_grams))))
+        counts = np.zeros((len(listed_grams), len(names)))
+        counts[[into[g] - first for g in of_size["gram"]], [number[v] for v in of_size["lang"]]] = of_size["n"]
+        total = np.array([totals.get((size, v), 0) for v in names])
+        seen.append(counts)
+        table.append(np.log((counts + 0.5) / (total + 0.5 * len(listed_grams) + 1)))
+        first += len(listed_grams)
+    scores = np.concatenate(table).astype(np.float32)
+    return Model(names, scores, words_by, tuple(grams_by), np.concatenate(seen).astype(np.float32))
+
+
+@dataclass(frozen=True)
+class Reading:
+    """What a text says: its ``language`` and ``score``, how well it ``fits`` that language,
+    its number of ``words`` and whether any of its letters is ``known``."""
+
+    language: str = UNKNOWN
+    score: float = 0.0
+    fit: float = 0.0
+    words: int = 0
+    known: bool = False
 
 
 class Scorer:
@@ -152,128 +180,127 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[str, list[int]] = {}
+        self.unseen: dict[str, tuple[int, list[int]]] = {}
+        self.held = 0
 
-    def back_off(self, word: str) -> list[int]:
-        """Rows of the word's longest known n-grams; none if no n-gram is known."""
+    def back_off(self, word: str) -> tuple[int, list[int]]:
+        """The length of the word's longest known n-grams and their rows; 0 and none if no
+        n-gram is known."""
         edged = marked(word)
         for size in range(min(LONGEST, len(edged)), 0, -1):
             grams = [edged[i : i + size] for i in range(len(edged) - size + 1)]
             found = [r for r in map(self.model.grams[size - 1].get, grams) if r is not None]
             if found:
-                return found
-        return []
+                return size, found
+        return 0, []
 
-    def remembered(self, word: str) -> list[int]:
+    def remembered(self, word: str) -> tuple[int, list[int]]:
         found = self.unseen.get(word)
         if found is None:
-            if len(self.unseen) >= REMEMBERED:
-                self.unseen.clear()
             found = self.back_off(word)
             if len(word) <= WORD_LIMIT:
+                size = 250 + 2 * len(word) + 8 * len(found[1])  # of the word, the list and the entry
+                if self.held + size > REMEMBERED:
+                    self.unseen, self.held = {}, 0
                 self.unseen[word] = found
+                self.held += size
         return found
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        model = self.model
-        if not words or not model.languages:
-            return UNKNOWN, 0.0
-        rows = list(map(model.words.get, words))
-        known = [r for r in rows if r is not None]
-        total = model.scores[known].sum(0, dtype=np.float64)
-        if len(known) < len(words):
+    def read(self, text: str | None, lang: str | None = None, trained: bool = False) -> Reading:
+        """One pass over a text: the best language, and the fit to it or to ``lang``.
+
+        The fit says how much of the text training has met in the language, from 0 to 1: a
+        known word counts 1, another the share of its longest known n-grams by their length.
+        Of a text that training has read (``trained``), what only the text itself has taught
+        does not count.
+        """
+        counts, model = Counter(words_of(text)), self.model
+        n_words = counts.total()
+        if not n_words or not model.languages:
+            return Reading(words=n_words)
+        found = list(map(model.words.get, counts))
+        rows = np.array([r for r in found if r is not None], np.int64)
+        times = np.array([n for n, r in zip(counts.values(), found) if r is not None], np.float64)
+        total = times @ model.scores[rows] if len(rows) else np.zeros(len(model.languages))
+        unseen = [(w, n) for (w, n), r in zip(counts.items(), found) if r is None]
+        if unseen:
             # every unseen word weighs as one word: its n-grams share the weight
             grams, weights = [], []
-            for word, n in Counter(w for w, r in zip(words, rows) if r is None).items():
-                if found := self.remembered(word):
-                    grams += found
-                    weights += [n / len(found)] * len(found)
-            total += np.array(weights) @ model.scores[grams]
+            for word, n in unseen:
+                known = self.remembered(word)[1]
+                if known:
+                    grams += known
+                    weights += [n / len(known)] * len(known)
+            if grams:
+                total = total + np.array(weights) @ model.scores[grams]
         best = int(np.argmax(total))
-        odds = np.exp((total - total[best]) / len(words) ** 0.5)
-        return model.languages[best], float(odds[best] / odds.sum())
-
-
-    def fit(self, text: str | None, lang: str, read: bool = False) -> float:
-        """How much of a text training has met in the language, from 0 to 1: a known word
-        counts 1, another the share of its longest known n-grams by their length. Of a text that training has
-        ``read``, what only the text itself has taught does not count."""
-        words, model = words_of(text), self.model
-        if not words or lang not in model.languages:
-            return 0.0
-        i, total = model.languages.index(lang), 0.0
-        for word, n in Counter(words).items():
-            row = model.words.get(word)
-            own = n if read else 0
-            if row is not None and model.seen[row, i] > own:
-                total += n
-            elif found := self.remembered(word):
-                edged = marked(word)
-                size = next(k for k in range(min(LONGEST, len(edged)), 0, -1) if any(
-                    edged[j : j + k] in model.grams[k - 1] for j in range(len(edged) - k + 1)))
-                if size == 1:  # the marks of the edges are no letters
-                    found = [r for r in map(model.grams[0].get, word) if r is not None]
-                known = int((model.seen[found, i] > own).sum()) if found else 0
-                total += n * known / (len(edged) - size + 1) * size / (LONGEST + 1)
-        return total / len(words)
-
-    def knows(self, word: str) -> bool:
-        return word in self.model.words or any(letter in self.model.grams[0] for letter in word)
-
-
-_scorers: dict[str, Scorer] = {}
-
-
-def _predict(texts: pa.Array, name: str, shared) -> pa.Array:
-    """One scorer for each worker and model."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(shared.value)
-    found = [_scorers[name](t.as_py()) for t in texts]
-    langs, scores = zip(*found) if found else ((), ())
-    return pa.StructArray.from_arrays(
-        [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
-    )
+        odds = np.exp((total - total[best]) / n_words**0.5)
+        score = float(odds[best] / odds.sum())
+        if model.seen is None:
+            return Reading(model.languages[best], score, 0.0, n_words, True)
+        i = model.languages.index(lang) if lang is not None else best
+        met = model.seen[rows, i] > (times if trained else 0)
+        fit = float(times[met].sum())
+        words = [w for w, r in zip(counts, found) if r is not None]
+        for word, n in [*unseen, *((words[j], counts[words[j]]) for j in np.flatnonzero(~met).tolist())]:
+            size, known = self.remembered(word)
+            if size == 1:  # the marks of the edges are no letters
+                known = [r for r in map(model.grams[0].get, word) if r is not None]
+            if known:
+                own = n if trained else 0
+                met_grams = int((model.seen[known, i] > own).sum())
+                fit += n * met_grams / (len(word) + 3 - size) * size / (LONGEST + 1)
+        any_known = bool(len(rows)) or any(letter in model.grams[0] for w in counts for letter in w)
+        return Reading(model.languages[best], score, fit / n_words, n_words, any_known)
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        found = self.read(text)
+        return found.language, found.score
+
+
+READING = "lang_pred string, score double, fit double, words long, known boolean"
+
+
+def _readings(found: list[Reading]) -> pa.Array:
+    columns = [
+        pa.array([r.language for r in found], pa.string()),
+        pa.array([r.score for r in found], pa.float64()),
+        pa.array([r.fit for r in found], pa.float64()),
+        pa.array([r.words for r in found], pa.int64()),
+        pa.array([r.known for r in found], pa.bool_()),
+    ]
+    return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "fit", "words", "known"])
 
 
 def predicted(text: Column, model: Model) -> Column:
-    """``lang_pred`` and ``score`` of a whole text as a struct.
+    """``lang_pred`` and ``score`` of a whole text, its ``fit`` to that language, its number of
+    ``words`` and whether any of its letters is ``known``, as a struct.
 
     Null, empty and letterless texts are ``und`` with score 0, as is any text for a model that
     knows no language. The score is the share of the best language when evidence grows with
-    the root of the number of words; equal scores go to the first language by name.
+    the root of the number of words; equal scores go to the first language by name. A model
+    without ``seen`` tells no fit (0).
     """
-    context = SparkContext.getOrCreate()
-    shared = context.broadcast(model)
-    name = f"{context.applicationId}-{shared._jbroadcast.id()}"
+    shared = SparkContext.getOrCreate().broadcast(model)  # of bounded size, see ``train``
 
-    @F.arrow_udf("lang_pred string, score double")
-    def predict(texts: pa.Array) -> pa.Array:
-        return _predict(texts, name, shared)
+    @F.arrow_udf(READING)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)  # its memory ends with the task
+        for texts in batches:
+            yield _readings([scorer.read(t.as_py()) for t in texts])
 
     return predict(text)
 
 
-def fitted(text: Column, lang: Column, model: Model, read: bool = False) -> Column:
-    """``fit`` of a text to a language, its number of ``words`` and whether any of its letters
-    is ``known``, as a struct."""
-    context = SparkContext.getOrCreate()
-    shared = context.broadcast(model)
-    name = f"{context.applicationId}-{shared._jbroadcast.id()}"
-
-    @F.arrow_udf("fit double, words long, known boolean")
-    def fit(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(shared.value)
-        scorer = _scorers[name]
-        # whether any letters at all are known, in whatever language
-        anything = lambda t: any(scorer.knows(w) for w in words_of(t))
-        texts, langs = texts.to_pylist(), langs.to_pylist()
-        fits = pa.array([scorer.fit(t, v, read) for t, v in zip(texts, langs)], pa.float64())
-        words = pa.array([len(words_of(t)) for t in texts], pa.int64())
-        return pa.StructArray.from_arrays([fits, words, pa.array(map(anything, texts), pa.bool_())], ["fit", "words", "known"])
+def fitted(text: Column, lang: Column, model: Model) -> Column:
+    """The reading of a text that training has read, with its fit to the language ``lang``."""
+    shared = SparkContext.getOrCreate().broadcast(model)
+
+    @F.arrow_udf(READING)
+    def fit(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scorer = Scorer(shared.value)
+        for texts, langs in batches:
+            yield _readings([scorer.read(t.as_py(), v.as_py(), True) for t, v in zip(texts, langs)])
 
     return fit(text, lang)
 
@@ -295,7 +322,7 @@ def identify(
     return docs.select(
         docs[key].alias(key),
         held_out(docs[key]).alias("held_out"),
-        predicted(docs[text], model).alias("__predicted"),
+        predicted(docs[text], replace(model, seen=None)).alias("__predicted"),
     ).select(key, "held_out", "__predicted.lang_pred", "__predicted.score")
 
 
@@ -316,7 +343,7 @@ def in_known_language(
     learned = docs.where(~held_out(docs[key]))
     model = train(learned, key=key, text=text, lang=lang)
     _, sample = training_sample(learned, 4_000, 200, key, text, lang)
-    own = stage(sample.select("lang", fitted(F.col("text"), F.col("lang"), model, read=True).alias("f")))
+    own = stage(sample.select("lang", fitted(F.col("text"), F.col("lang"), model).alias("f")))
     floors = {
         r.lang: r.floor or 0.0
         for r in own.where("f.words > 0").groupBy("lang").agg(F.percentile_approx("f.fit", 0.01, 10_000).alias("floor")).collect()
@@ -327,8 +354,7 @@ def in_known_language(
         F.lit(0.0),
     )
     frame = docs.withColumn("__found", predicted(docs[text], model))
-    frame = frame.withColumn("__fit", fitted(docs[text], F.col("__found.lang_pred"), model))
-    enough = F.col("__fit.known") & (F.col("__fit.fit") >= floor - 1 / F.sqrt("__fit.words"))
+    enough = F.col("__found.known") & (F.col("__found.fit") >= floor - 1 / F.sqrt("__found.words"))
     if least is not None:
         enough = enough & (F.col("__found.score") >= least)
-    return frame.where((F.col("__found.lang_pred") != UNKNOWN) & enough).drop("__found", "__fit")
+    return frame.where((F.col("__found.lang_pred") != UNKNOWN) & enough).drop("__found")

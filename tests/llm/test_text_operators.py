@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -217,14 +218,80 @@ def test_backing_off_goes_to_the_longest_known_gram():
     model = language.Model(("aa", "bb"), scores, {"known": 0}, ({"x": 2}, {}, {"^xy": 1}, {}, {}))
     scorer = language.Scorer(model)
     assert scorer("known")[0] == "aa"
-    assert scorer.back_off("xyz") == [1]  # the 3-gram, not the 1-gram
-    assert scorer.back_off("zx") == [2]
-    assert scorer.back_off("qq") == []
+    assert scorer.back_off("xyz") == (3, [1])  # the 3-gram, not the 1-gram
+    assert scorer.back_off("zx") == (1, [2])
+    assert scorer.back_off("qq") == (0, [])
     assert scorer("xyz")[0] == scorer("zx")[0] == "bb"
     assert scorer("qq") == ("aa", 0.5)
     assert scorer("")[0] == "und"
 
 
+def plain_scores(model, text):
+    """The model's log scores of a text, word by word and n-gram by n-gram."""
+    totals = [0.0] * len(model.languages)
+    words = ["".join(g) for g in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower())]
+    for word in words:
+        rows = [model.words[word]] if word in model.words else []
+        size = language.LONGEST
+        while not rows and size:
+            edged = f"^{word}$"
+            grams = [edged[i : i + size] for i in range(len(edged) - size + 1)]
+            rows = [model.grams[size - 1][g] for g in grams if g in model.grams[size - 1]]
+            size -= 1
+        for i in range(len(totals)):
+            totals[i] += sum(float(model.scores[r, i]) for r in rows) / max(len(rows), 1)
+    return totals, len(words)
+
+
+def test_scores_by_brute_force(spark, tables):
+    import math
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    model = language.train(docs, most_words=400, most_grams=300)
+    scorer = language.Scorer(model)
+    for row in docs.select("text").collect():
+        totals, n = plain_scores(model, row.text or "")
+        lang, score = scorer(row.text)
+        if not n:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        odds = [math.exp((t - max(totals)) / n**0.5) for t in totals]
+        assert abs(score - max(odds) / sum(odds)) < 1e-6
+        assert totals[model.languages.index(lang)] >= max(totals) - 1e-4
+
+
+def test_letters_marks_and_numbers(spark):
+    docs = spark.createDataFrame(
+        [(i, "हिन्दी भाषा में लिखा गया पाठ", "hi") for i in range(6)] + [(i, "plain english text here", "en") for i in range(6, 12)]
+        + [(20, "½ ² ⅷ Ⅳ ٣", None), (21, "हिन्दी", None)],
+        "doc_id long, text string, lang string",
+    )
+    found = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert (found[20].lang_pred, found[20].score) == ("und", 0.0)
+    assert found[21].lang_pred == "hi"
+    assert language.words_of("हिन्दी e\u0301te") == ["हिन्दी", "e\u0301te"]
+
+
+def test_samples_keep_their_bound_whatever_the_keys(spark):
+    rows = [(None if i % 2 else i, f"text number {i}", "en") for i in range(4_000)] + [(None, "same", "en")] * 2_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, taken = language.training_sample(docs, 100, 10, "doc_id", "text", "lang")
+    assert 40 < taken.count() < 200
+
+
+def test_every_language_keeps_its_share_of_the_lists(spark):
+    rows = [(i, " ".join(f"{a}{b}rule" for a in "abcdefghij" for b in "klmnopqrst"), "big") for i in range(50)]
+    rows += [(100 + i, "ene mene muh und raus bist du", "small") for i in range(2)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=20, most_grams=20)
+    assert {"ene", "mene", "muh"} <= set(model.words) and len(model.words) <= 20
+
+
+def test_long_runs_teach_their_grams(spark):
+    rows = [(1, "天地玄黃" * 30, "zh"), (2, "a few words", "en")]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "天地玄" in model.grams[2] and language.Scorer(model)("玄黃天地")[0] == "zh"
+
+
 ENGLISH = "the house stands near river people walk through green fields every morning while children play under old trees".split()
 FRENCH = "la maison est dans une rue tranquille où les enfants jouent avec leurs amis pendant que le soleil brille".split()
 ITALIAN = "il gatto dorme sopra il divano mentre fuori piove forte e nessuno vuole uscire perché fa freddo stasera".split()
