@@ -23,6 +23,7 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[\"'=])*+)>",
     re.S,
 )
+UNENDED = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 ATTRIBUTE = re.compile(
     r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?", re.S
 )
@@ -70,6 +71,12 @@ OTHERS_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense comment comments commentlist cookie"
     " cookies consent gdpr disqus promo promoted replies reply respond sponsor sponsored".split()
 )
+#: What readers write, where a whole name says so: its words, and those that may stand with them.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+COMMENT_PARTS = frozenset("area block body box container list reader readers section thread user users wrapper".split())
+READERS = "#readers"
+#: Elements that only hold others: one of little but links is a menu wherever it stands.
+HOLDERS = frozenset("center details dir div dl fieldset menu ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: A part named by such a word goes if it holds no more of the body's text, or more of its own in links.
 PART = 0.5
@@ -100,15 +107,13 @@ def attributes(source: str) -> dict[str, str]:
     }
 
 
-def without_text(tag: str, source: str, parent: Node) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment."""
+def without_text(tag: str, source: str, framed: bool) -> bool:
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment;
+    ``framed`` if it stands inside an article or main element."""
     if tag in NO_TEXT_TAGS:
         return True
-    if tag == "header":
-        while parent.parent is not None and parent.tag not in ("article", "main"):
-            parent = parent.parent
-        if parent.parent is None:  # a heading's own header, inside an article, is text
-            return True
+    if tag == "header" and not framed:  # a heading's own header, inside an article, is text
+        return True
     if not source.strip():
         return False
     found = attributes(source)
@@ -128,59 +133,78 @@ def doubts(tag: str, source: str) -> frozenset[str]:
     found = attributes(source) if source.strip() else {}
     named = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}")
     words = NO_TEXT_WORDS.intersection(TOKEN.findall(named.lower()))
+    for name in named.lower().split():
+        tokens = set(TOKEN.findall(name))
+        if tokens & COMMENT_WORDS and tokens <= COMMENT_WORDS | COMMENT_PARTS:
+            words |= {READERS}
     return words | {"form"} if tag == "form" or found.get("role", "").lower() == "form" else words
 
 
 def parse(source: str) -> Node:
     """The page's tree. Ends that are left out are put in where HTML demands them."""
-    root = here = Node("#root")
+    root = Node("#root")
+    path = [root]  # the open elements
+    depths: dict[str, list[int]] = {}  # where elements of a name stand in it
+    blocks_at: list[int] = []
     position, n = 0, len(source)
-
-    def close(tag: str, stop: tuple[str, ...] = ()) -> Node:
-        node = here
-        while node.parent is not None and node.tag not in stop:
-            if node.tag == tag:
-                return node.parent
-            node = node.parent
-        return here
+    last_end = source.rfind(">")
+
+    def leave(depth: int) -> None:
+        while len(path) > depth:
+            tag = path.pop().tag
+            depths[tag].pop()
+            if tag in BLOCK:
+                blocks_at.pop()
+
+    def enter(node: Node) -> None:
+        depths.setdefault(node.tag, []).append(len(path))
+        if node.tag in BLOCK:
+            blocks_at.append(len(path))
+        path.append(node)
+
+    def deepest(tag: str) -> int:
+        found = depths.get(tag)
+        return found[-1] if found else 0
+
+    def close(tag: str, stop: tuple[str, ...] = ()) -> None:
+        """Ends the element ``tag`` if it stands open inside the nearest container."""
+        depth = deepest(tag)
+        if depth and depth > max(map(deepest, stop), default=0):
+            leave(depth)
 
     while position < n:
-        m = MARKUP.search(source, position)
+        # behind the last ">" only comments and sections that stay open can be markup
+        m = (MARKUP if position <= last_end else UNENDED).search(source, position)
         text = source[position : m.start() if m else n]
         if text:
-            here.children.append(html.unescape(text) if "&" in text else text)
+            path[-1].children.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         position = m.end()
-        if not m[2]:
+        if m.re is UNENDED or not m[2]:
             if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>"))
+                path[-1].children.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
+            depth = deepest(tag)
             # an inline end tag does not close the block it stands in
-            node = here
-            while node.parent is not None and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:
-                    break
-                node = node.parent
-            if node.parent is not None and node.tag == tag:
-                here = node.parent
+            if depth and (tag in BLOCK or not blocks_at or blocks_at[-1] < depth):
+                leave(depth)
             continue
         if tag in BLOCK and tag != "br":
-            here = close("p", ("article", "section", "div", "td", "th", "li", "blockquote", "body"))
+            close("p", ("article", "section", "div", "td", "th", "li", "blockquote", "body"))
         if tag in ENDS:
             for open_tag in ENDS[tag][0]:
-                here = close(open_tag, ENDS[tag][1])
-        node = Node(tag, here, without_text(tag, m[3], here), doubts(tag, m[3]))
-        here.children.append(node)
+                close(open_tag, ENDS[tag][1])
+        framed = bool(depths.get("article") or depths.get("main"))
+        node = Node(tag, path[-1], without_text(tag, m[3], framed), doubts(tag, m[3]))
+        path[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(source, position)
             position = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            here = node
-        elif tag not in VOID and tag in BLOCK:
-            here = node  # a slash does not end an HTML element
+        elif tag not in VOID and (tag in BLOCK or not m[3].rstrip().endswith("/")):
+            enter(node)  # a slash does not end an HTML element
     return root
 
 
@@ -204,18 +228,27 @@ def drop_doubtful(body: Node) -> None:
         return
     measure(nodes, body)
     total = body.chars
-    frames = [node for node in nodes if node.tag in ("article", "main") and node.chars]
+    inside, main_heading, framing = set(), set(), set()
+    for node in nodes:  # parents first
+        if node.parent is not None and (node.parent.tag in ("article", "main") or node.parent in inside):
+            inside.add(node)
+    for node in reversed(nodes):
+        if node.tag == "h1" or node in main_heading:
+            main_heading.update((node, node.parent))
+        if (node.tag in ("article", "main") and node.chars) or node in framing:
+            framing.add(node.parent)  # holds an article
 
     def agreed(node: Node) -> bool:
         links = node.link_chars > PART * node.chars
+        if READERS in node.named and node not in framing:
+            return node.chars < total
         if node.tag in HEADINGS and not node.named & OTHERS_WORDS:
             return links
         if node.named <= {"header", "masthead"}:
-            inside = any(a.tag in ("article", "main") for a in ancestors(node))
-            if inside or any(inner.tag == "h1" for inner in in_order(node)):
+            if node in inside or node in main_heading:
                 return links
-        if node.named & OTHERS_WORDS and frames:  # beside an article, however short that is
-            return not any(node in ancestors(frame) for frame in frames) or links
+        if node.named & OTHERS_WORDS and framing:  # beside an article, however short that is
+            return node not in framing or links
         return links or node.chars <= PART * total
 
     doubtful = [node for node in nodes if node.named and node is not body and agreed(node)]
@@ -272,8 +305,9 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
 
 
 def main_parts(body: Node, nodes: list[Node]) -> list[Node | str]:
-    """The subtree of the largest density sum, or the whole article that it stands in, and the
-    body's other parts and bare texts that reach the path's least density, in page order."""
+    """The subtree of the largest density sum, or the article that it stands in without its
+    parts of links, and the body's other parts and bare texts that reach the path's least
+    density, in page order."""
     best = max(nodes, key=lambda node: node.density_sum)
     if best.density_sum <= 0:
         return []
@@ -282,9 +316,15 @@ def main_parts(body: Node, nodes: list[Node]) -> list[Node | str]:
         node = node.parent
         path.add(node)
         threshold = min(threshold, node.density)
-    frame = [node for node in path if node.tag in ("article", "main")]
-    if frame:  # the whole article, not only the densest of its sections
-        best = min(frame, key=lambda node: sum(1 for other in path if other in ancestors(node)))
+    frame = None
+    node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            frame = node  # the outermost
+        node = node.parent
+    if frame is not None:  # the article, not only the densest of its sections
+        drop_links(frame, path, threshold)
+        best = frame
         path = {best, *ancestors(best)}
     share = body.link_chars / max(body.chars, 1)
     parts, stack = [], [body]
@@ -303,6 +343,21 @@ def main_parts(body: Node, nodes: list[Node]) -> list[Node | str]:
     return parts
 
 
+def drop_links(frame: Node, path: set[Node], threshold: float) -> None:
+    """Takes out of an article what holds little but links and stays below the threshold."""
+    stack = [frame]
+    while stack:
+        node = stack.pop()
+        for child in node.children:
+            if isinstance(child, str) or child.no_text:
+                continue
+            links = child.link_chars > PART * child.chars
+            if child.tag in HOLDERS and child not in path and links and child.density < threshold:
+                child.no_text = True
+            else:
+                stack.append(child)
+
+
 def ancestors(node: Node) -> set[Node]:
     found = set()
     while node.parent is not None:

@@ -52,7 +52,10 @@ QUOTED = "|".join(
     rf"|(?<={q})(?<!\\{q})(?:(?!{STOP})(?:\\[^\r\n]|[^{q}\\\r\n]))++(?={q}|{STOP})"
     for q in "\"'`"
 )
-BARE = rf"(?:(?!{STOP}|[,;&|]{NAME}++=)[^\s\"'`<>])+(?<![.,;:?)\]}}])"
+#: Loops are possessive: the engine walks them, where a greedy loop over characters of one and
+#: two code units recurses.
+BOUND = rf"(?!{STOP}|[,;&|]{NAME}++=)"
+BARE = rf"(?:(?:{BOUND}[.,;:?)\]}}])*+{BOUND}[^\s\"'`<>.,;:?)\]}}])++"
 #: Characters of keys and tokens; an equals sign only fills up the end.
 RUN = (
     rf"(?<![A-Za-z0-9])(?:(?!{STOP})[A-Za-z0-9_+/.\-]){{11,}}(?!{STOP})[A-Za-z0-9_+/\-]"
@@ -204,11 +207,12 @@ def common_words(docs: DataFrame, text: str, most: int) -> list[str]:
 
 
 def share_of(docs: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of ``docs``, chosen by a hash of the key; all if there are fewer."""
+    """About ``most`` rows of ``docs``, chosen by a hash of key and text, rows equal in all
+    columns counted as one; all if there are fewer."""
     scale = 1 << 30
     total = docs.count()
     limit = scale if total <= most else scale * most // total
-    return docs.where(F.pmod(F.xxhash64("id"), F.lit(scale)) < limit)
+    return docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(scale)) < limit).distinct()
 
 
 def labelled_findings(found: DataFrame) -> DataFrame:
