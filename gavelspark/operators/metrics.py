@@ -76,7 +76,6 @@ def decision_cube(
         *([F.col(latency).alias("_latency")] if latency else []),
     )
     known = F.col("expected").isin(*LABELS) & F.col("predicted").isin(*LABELS)
-    base = guarded(base, known, "a decision is missing or unknown")
     right = F.col("expected") == F.col("predicted")
     zero = F.lit(0).cast("long")
     aggregates = [
@@ -91,9 +90,12 @@ def decision_cube(
         F.sum(F.abs(F.col("_confidence") - right.cast("double"))).alias("gap_sum"),
         F.sum("_confidence").alias("confidence_sum"),
         (F.sum("_latency") if latency else F.max(F.lit(None).cast("double"))).alias("latency_sum"),
+        F.count_if(~F.coalesce(known, F.lit(False))).alias("_unknown"),
     ]
     keys = [*by, *flags, "expected", "predicted", "bin"]
     cells = base.withColumn("bin", confidence_bin("_confidence")).groupBy(*keys).agg(*aggregates)
+    # counted first: a test of the rows themselves would be evaluated for each of them
+    cells = guarded(cells, F.col("_unknown") == 0, "a decision is missing or unknown").drop("_unknown")
     if slices is None:
         return cells
     names = F.array_compact(
@@ -288,17 +290,16 @@ def category_outcomes(records: DataFrame, *, total: bool = False) -> DataFrame:
     )
     if total:
         listed = F.concat(F.array(F.lit(ALL_RECORDS)), listed)
-    checked = guarded(
-        records,
-        F.col("expected_decision").isNotNull() & F.col("predicted_decision").isNotNull(),
-        "every record needs an expected and a predicted decision",
-    )
+    known = F.col("expected_decision").isNotNull() & F.col("predicted_decision").isNotNull()
     outcome = outcome_class(F.col("expected_decision"), F.col("predicted_decision"))
     counts = (
-        checked.select(F.explode(listed).alias("category"), outcome.alias("outcome"))
+        records.select(F.explode(listed).alias("category"), outcome.alias("outcome"), known.alias("_known"))
         .groupBy("category", "outcome")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_known")).alias("_missing"))
     )
+    counts = guarded(
+        counts, F.col("_missing") == 0, "every record needs an expected and a predicted decision"
+    ).drop("_missing")
     if not total:
         return counts
     rows = records.agg(F.count(F.lit(1)).alias("records"))
