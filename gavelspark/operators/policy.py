@@ -1,10 +1,9 @@
 """Policy retrieval: match cases against versioned lexical rules and decide.
 
-Rules are grouped to one row per version and joined to the cases on the version; the
-substring tests then run inside the row. So the case text is normalized once, is never
-shuffled, and never multiplied by the number of terms. That holds while the rule table
-is small, which is measured first; beyond the limit an equi-join on text fragments finds
-the same matches without broadcasting anything.
+Each text is normalized once and never shuffled. Inside its row the positions where a term can
+begin are found with a bitmap of all terms' heads (``operators.term_index``); those are joined
+with the terms by an equi-join, verified and reduced to the rules that match. The plan is the
+same for ten terms and for ten million: nothing is broadcast but the bitmap of bounded size.
 """
 
 from __future__ import annotations
@@ -15,10 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.functions.text import normal_sql, normalize
+from gavelspark.operators.term_index import HEAD, MOST_BITS, head_filter, head_number, term_starts
 from gavelspark.schemas import ALLOW, ESCALATE
-
-BROADCAST_CHARACTERS = 4_000_000
-FRAGMENT = 6
+from gavelspark.sources.storage import stage
 
 # Confidence of a verdict, with and without evidence and without a match.
 MATCHED_WITH_EVIDENCE = 0.88
@@ -45,37 +43,65 @@ def with_normal_terms(rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_characters(rules: DataFrame) -> int:
-    """Size of the rule table in characters: one small aggregate."""
-    width = F.length(F.array_join("terms", "")) + F.length(F.to_json(F.struct(*rules.columns)))
-    return rules.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
-
+RULE = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
 
-def _by_version(rules: DataFrame) -> DataFrame:
-    ordered = F.struct("ordinal", "rule_id", "action", "text", "remediation", "version", "terms")
-    return (
-        with_normal_terms(rules)
-        .groupBy(F.col("version").alias("_version"))
-        .agg(F.sort_array(F.collect_list(ordered)).alias("_rules"))
-    )
 
+def matching_rules(asked: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rules found in normalized texts: ``version``, ``digest``, ``first_rule``,
+    ``best_rule``, for each of ``asked`` (``versions``, ``digest``, ``content``) that has one.
 
-def _hits(rules: str, text: str) -> Column:
-    """Rules that match, in declaration order, with the number of terms found."""
-    return F.expr(
-        f"""filter(transform({rules}, r -> struct(
-                r.rule_id, r.version, r.action, r.text, r.remediation, r.ordinal,
-                size(filter(r.terms, t -> contains({text}, t))) as hits)),
-            r -> r.hits > 0)"""
+    ``first_rule`` is the first in declaration order, ``best_rule`` the one with the most terms
+    found, declaration order breaking a tie; each has its number of terms found in ``hits``.
+    ``most_bits`` bounds the bitmap of heads; with fewer bits more positions are joined in vain.
+    """
+    order = ["ordinal", "rule_id", "action", "text", "remediation"]
+    numbered = stage(
+        # numbers that ascend in declaration order, over partitions as well
+        with_normal_terms(rules).orderBy(*order).withColumn("number", F.monotonically_increasing_id())
+    )
+    terms = stage(
+        numbered.select("version", "number", F.posexplode("terms").alias("position", "term")).withColumn(
+            "head", head_number("term")
+        )
+    )
+    starts = term_starts(asked, head_filter(terms.select("head", "term"), most_bits), "content")
+    starts = starts.select(F.explode("versions").alias("asked"), "digest", F.col("head").alias("found"), "rest")
+    whole = F.length("term") <= HEAD
+    pairs = starts.join(
+        terms,
+        (F.col("asked") == F.col("version"))
+        & (F.col("found") == F.col("head"))
+        & (whole | F.startswith(F.col("rest"), F.col("term"))),
+    )
+    # copies of a text fall together before anything is dealt by text; one exchange then
+    # serves both groupings
+    counted = (
+        pairs.select("version", "digest", "number", "position")
+        .distinct()
+        .repartition("digest")
+        .groupBy("version", "digest", "number")
+        .agg(F.count("*").cast("int").alias("hits"))
+        .groupBy("version", "digest")
+        .agg(
+            F.min(F.struct("number", "hits")).alias("first"),
+            F.min(F.struct((-F.col("hits")).alias("less"), "number")).alias("best"),
+        )
+        .select(
+            "version", "digest", "first.number", F.col("first.hits").alias("first_hits"),
+            F.col("best.number").alias("best_number"), (-F.col("best.less")).alias("best_hits"),
+        )
+    )
+    rule = numbered.drop("terms")
+    best = rule.withColumnRenamed("number", "best_number").select(
+        "best_number", F.struct(*RULE).alias("best_rule")
+    )
+    first = rule.select("number", F.struct(*RULE).alias("first_rule"))
+    return counted.join(first, "number").join(best, "best_number").select(
+        "version",
+        "digest",
+        F.col("first_rule").withField("hits", F.col("first_hits")).alias("first_rule"),
+        F.col("best_rule").withField("hits", F.col("best_hits")).alias("best_rule"),
     )
-
-
-FIRST = "get({hits}, 0)"
-# Most terms found; declaration order breaks a tie.
-BEST = (
-    "array_min(transform({hits}, r -> struct(-r.hits as k, r.ordinal as o, r.rule_id as i, r.action as a,"
-    " r.text as t, r.remediation as m, r as rule))).rule"
-)
 
 
 def match_rules(
@@ -85,105 +111,35 @@ def match_rules(
     content: str = "content",
     version: str = "policy_version",
     pinned_version: str | None = None,
-    broadcast_characters: int = BROADCAST_CHARACTERS,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """Add ``first_rule`` and ``best_rule`` (null without a match) to every case.
 
     ``pinned_version`` adds ``pinned_rule``: the first match under that one version,
     whatever version the case names. Rules with the same ordinal are ordered by id, action,
-    text and remedy. A case without text or version matches nothing. ``broadcast_characters``
-    chooses between two plans with the same answers: it bounds what is broadcast.
-    """
-    if rule_characters(rules) > broadcast_characters:
-        return _match_by_fragments(cases, rules, content, version, pinned_version)
-    by_version = _by_version(rules)
-    text = cases.withColumn("_text", normalize(content))
-    if pinned_version is not None:
-        pinned = by_version.filter(F.col("_version") == pinned_version).select("_rules")
-        text = text.withColumn("_pinned_rules", pinned.scalar()).withColumn(
-            "_pinned", _hits("_pinned_rules", "_text")
-        )
-    matched = text.join(
-        F.broadcast(by_version), F.col(version) == F.col("_version"), "left"
-    ).withColumn("_hits", _hits("_rules", "_text"))
-    answers = [
-        FIRST.format(hits="_hits") + " as first_rule", BEST.format(hits="_hits") + " as best_rule"
-    ]
-    if pinned_version is not None:
-        answers.append(FIRST.format(hits="_pinned") + " as pinned_rule")
-    return matched.select(*cases.columns, *map(F.expr, answers))
-
-
-def _match_by_fragments(
-    cases: DataFrame,
-    rules: DataFrame,
-    content: str,
-    version: str,
-    pinned_version: str | None,
-) -> DataFrame:
-    """The same matches for a rule table of any size, as an equi-join.
-
-    A term is found by its first ``FRAGMENT`` characters, or by all of them if it is
-    shorter. Each text yields its distinct fragments of the lengths that occur, the full
-    ones together with the text that follows, which decides whether the term is there.
-    Matches belong to a version and a digest of the normalized text, so case ids may repeat
-    and a repeated text has one answer.
+    text and remedy. A case without text or version matches nothing. Matches belong to a
+    version and a digest of the text, so case ids may repeat, and a text that many cases share
+    is matched by its digest. The matches are written to the shared folder;
+    the cases are joined with them without being moved as long as the matches are small.
     """
-    terms = with_normal_terms(rules).select(
-        "version", "rule_id", "action", "text", "remediation", "ordinal",
-        F.xxhash64("terms").alias("_terms"),
-        F.posexplode("terms").alias("position", "term"),
-    ).withColumn("_fragment", F.substring("term", 1, FRAGMENT))
-    lengths, longest = terms.agg(
-        F.sort_array(F.collect_set(F.length("_fragment"))), F.max(F.length("term"))
-    ).first()
-    if not lengths:
-        lengths, longest = [FRAGMENT], FRAGMENT
-    # A piece shorter than a fragment stands for a whole short term.
-    patterns = [f"(?=(.{{{q}}}))" for q in lengths if q < FRAGMENT]
-    if FRAGMENT in lengths:
-        patterns.append(f"(?=(.{{{FRAGMENT},{longest}}}))")
-    pieces = F.concat(*(F.regexp_extract_all("_text", F.lit(p), F.lit(1)) for p in patterns))
-    digest = F.sha2(normalize(content), 256)
-    asked = F.array_distinct(F.array(F.col(version), *([] if pinned_version is None else [F.lit(pinned_version)])))
-    windows = (
-        cases.select(asked.alias("_asked"), normalize(content).alias("_text"))
-        .select("_asked", F.sha2("_text", 256).alias("_digest"), F.explode(F.array_distinct(pieces)).alias("_window"))
-        .select("_digest", "_window", F.explode("_asked").alias("_version"))
-        .withColumn("_head", F.substring("_window", 1, FRAGMENT))
-    )
-    pairs = windows.join(
-        terms,
-        (F.col("_version") == F.col("version"))
-        & (F.col("_head") == F.col("_fragment"))
-        & F.startswith(F.col("_window"), F.col("term")),
-    )
-    rule = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
-    order = [F.col(f"rule.{c}") for c in ("ordinal", "rule_id", "action", "text", "remediation")]
-    hits = (
-        pairs.select("_version", "_digest", *rule, "_terms", "position").distinct()
-        .groupBy("_version", "_digest", *rule, "_terms").agg(F.count("*").cast("int").alias("hits"))
-        .select("_version", "_digest", F.struct(*rule, "hits").alias("rule"))
-        .groupBy("_version", "_digest")
-        .agg(
-            F.min_by("rule", F.struct(*order)).alias("first_rule"),
-            F.min_by("rule", F.struct(-F.col("rule.hits"), *order)).alias("best_rule"),
-        )
-    )
-    own = hits.select(
-        F.col("_version").alias("_own_version"), F.col("_digest").alias("_own_digest"), "first_rule", "best_rule"
+    digest = F.unhex(F.sha2(F.col(content), 256))
+    versions = F.array(F.col(version), *([] if pinned_version is None else [F.lit(pinned_version)]))
+    asked = cases.select(
+        F.array_distinct(F.array_compact(versions)).alias("versions"),
+        digest.alias("digest"),
+        normalize(content).alias("content"),
     )
-    matched = cases.withColumn("_digest_of_text", digest).join(
-        own,
-        (F.col(version) == F.col("_own_version")) & (F.col("_digest_of_text") == F.col("_own_digest")),
-        "left",
+    hits = stage(matching_rules(asked, rules, most_bits))
+    own = hits.select(F.col("version").alias("_version"), F.col("digest").alias("_exact"), "first_rule", "best_rule")
+    matched = cases.withColumn("_digest", digest).join(
+        own, (F.col(version) == F.col("_version")) & (F.col("_digest") == F.col("_exact")), "left"
     )
     answers = ["first_rule", "best_rule"]
     if pinned_version is not None:
-        pinned = hits.where(F.col("_version") == pinned_version).select(
-            F.col("_digest").alias("_pinned_digest"), F.col("first_rule").alias("pinned_rule")
+        pinned = hits.where(F.col("version") == pinned_version).select(
+            F.col("digest").alias("_pinned_digest"), F.col("first_rule").alias("pinned_rule")
         )
-        matched = matched.join(pinned, F.col("_digest_of_text") == F.col("_pinned_digest"), "left")
+        matched = matched.join(pinned, F.col("_digest") == F.col("_pinned_digest"), "left")
         answers.append("pinned_rule")
     return matched.select(*cases.columns, *answers)
 

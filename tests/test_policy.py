@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def brute_force(case, rules, version):
     return first[0], best[0], best[1]
 
 
-def test_broadcast_and_fragment_matching_equal_brute_force(spark):
+def test_matching_equals_brute_force_at_every_size_of_the_bitmap(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
     rules = [
@@ -92,8 +93,8 @@ def test_broadcast_and_fragment_matching_equal_brute_force(spark):
     expected = {
         c[0]: (*brute_force(c, rules, c[1]), brute_force(c, rules, "v2")[0]) for c in cases
     }
-    for limit in (po.BROADCAST_CHARACTERS, 0):
-        rows = po.match_rules(case_frame, rule_frame, pinned_version="v2", broadcast_characters=limit).collect()
+    for bits in (po.MOST_BITS, 1 << 15):
+        rows = po.match_rules(case_frame, rule_frame, pinned_version="v2", most_bits=bits).collect()
         got = {
             r.case_id: (
                 r.first_rule and r.first_rule.rule_id,
@@ -106,7 +107,7 @@ def test_broadcast_and_fragment_matching_equal_brute_force(spark):
         assert len(rows) == 150 and got == expected
 
 
-def test_both_plans_match_repeated_ids_nulls_and_tied_rules_alike(spark):
+def test_repeated_ids_nulls_and_tied_rules(spark):
     rules = [("v1", f"R{i}", "t", a, ["beer", "wine"], f"text {i % 2}", None, 1) for i, a in enumerate(["REJECT", "ALLOW", "ESCALATE"])]
     rules += [("v1", "R0", "t", "REJECT", ["wine cellar", "b"], "text 0", None, 1), ("v2", "R9", "t", "REJECT", ["beer"], "x", "y", 0)]
     frame = spark.createDataFrame(rules, "version string, rule_id string, topic string, action string, terms array<string>, text string, remediation string, ordinal int")
@@ -114,8 +115,8 @@ def test_both_plans_match_repeated_ids_nulls_and_tied_rules_alike(spark):
              ("n", None, "beer"), ("m", "v1", None), ("same", "v1", "good BEER"), ("z", "v3", "beer")]
     table = spark.createDataFrame(cases, "case_id string, policy_version string, content string")
     found = [
-        sorted(map(str, po.match_rules(table, frame, pinned_version="v1", broadcast_characters=n).collect()))
-        for n in (po.BROADCAST_CHARACTERS, 0)
+        sorted(map(str, po.match_rules(table, frame, pinned_version="v1", most_bits=n).collect()))
+        for n in (po.MOST_BITS, 1 << 15)
     ]
     assert found[0] == found[1] and len(found[0]) == len(cases)
 
@@ -158,3 +159,43 @@ def test_no_shuffle_of_case_text(cases, rules):
     plan = po.match_rules(cases.repartition(4), rules)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert joins and "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_hundred_thousand_terms(spark):
+    """Long terms, terms that begin alike, and one text in a third of the cases."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij0123") for _ in range(n))
+    stem = word(14)
+    rules = [
+        ("v1", f"R{i:05d}", "t", "REJECT", [word(rng.randint(5, 16)) for _ in range(5)], "text", "fix", i) for i in range(20_000)
+    ]
+    rules += [("v1", f"S{i}", "t", "REJECT", [stem + word(6)], "text", "fix", 20_000 + i) for i in range(200)]
+    texts = [word(400) for _ in range(30)]
+    for i in range(30):
+        at = rng.randrange(300)
+        terms = [rng.choice(rules)[4][0], rng.choice(rules[-200:])[4][0]]
+        texts[i] = texts[i][:at] + " " + terms[0].upper() + "-" + terms[1][:9] + "." + terms[1][9:] + texts[i][at:]
+    texts = [t if i % 3 else texts[0] for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rules, "version string, rule_id string, topic string, action string, terms array<string>, text string, remediation string, ordinal int").repartition(8)
+    table = spark.createDataFrame([(i, "v1", t) for i, t in enumerate(texts)], "case_id int, policy_version string, content string")
+    matched = po.match_rules(table, frame)
+    rows = {r.case_id: r for r in matched.collect()}
+    for i, t in enumerate(texts):
+        plain = normal(t)
+        hits = [(sum(term in plain for term in r[4]), r[1]) for r in rules]
+        first = next((rule for n, rule in hits if n), None)
+        best = max(hits, key=lambda h: h[0])
+        assert (rows[i].first_rule.rule_id, rows[i].best_rule.rule_id, rows[i].best_rule.hits) == (first, best[1], best[0])
+
+
+def test_heads_are_exact_and_blocks_do_not_cut_them(monkeypatch):
+    from gavelspark.operators import term_index as ti
+
+    everything = ti.HeadFilter(64, np.full(8, 255, np.uint8), frozenset({1, 3, 12}), 12)
+    text = "a0z" * 30
+    whole = [(s, int(i), int(h)) for s, at, hs in ti.heads_in(text, everything) for i, h in zip(at, hs)]
+    monkeypatch.setattr(ti, "BLOCK", 7)
+    cut = [(s, int(i), int(h)) for s, at, hs in ti.heads_in(text, everything) for i, h in zip(at, hs)]
+    assert sorted(whole) == sorted(cut) and len(whole) == 90 + 88 + 79
+    assert len({h for _, _, h in whole}) == len({text[i : i + s] for s, i, _ in whole})
+    assert list(ti.heads_in("", everything)) == []
