@@ -123,31 +123,37 @@ def true_keys(flags: Column) -> Column:
 
 
 # Sentence patterns of generated policy cases.
-BASE_PATTERN = ("Limited-time ", " promotion for adults. Reference ", ".")
-NEUTRAL_PATTERN = ("A neutral post about hiking boots. Reference ", ".")
+BASE_PATTERN = "Limited-time {term} promotion for adults. Reference {index}."
+NEUTRAL_PATTERN = "A neutral post about hiking boots. Reference {index}."
 FILLER = "Product specifications and delivery details. "
 FILLER_REPEATS = 80
 LANGUAGE_PATTERNS = {
-    "en": ("Special ", " promotion for adults."),
-    "es": ("Oferta especial de ", " para adultos."),
-    "fr": ("Offre spéciale de ", " réservée aux adultes."),
-    "hi": ("वयस्कों के लिए ", " का विशेष प्रचार।"),
+    "en": "Special {term} promotion for adults.",
+    "es": "Oferta especial de {term} para adultos.",
+    "fr": "Offre spéciale de {term} réservée aux adultes.",
+    "hi": "वयस्कों के लिए {term} का विशेष प्रचार।",
 }
 OBFUSCATED = ("promotion", "pr0m0tion")
 
 
+def filled(pattern: str, **values: Column) -> Column:
+    """The pattern with each value in the place of its name."""
+    text = F.lit(pattern)
+    for name, value in values.items():
+        text = F.replace(text, F.lit(f"{{{name}}}"), value)
+    return text
+
+
 def spaced(term: Column) -> Column:
     return F.array_join(F.split(term, ""), " ")
 
 
 def base_text(term: Column, index: Column) -> Column:
-    head, middle, tail = BASE_PATTERN
-    return F.concat(F.lit(head), term, F.lit(middle), index.cast("string"), F.lit(tail))
+    return filled(BASE_PATTERN, index=index.cast("string"), term=term)
 
 
 def neutral_text(index: Column) -> Column:
-    head, tail = NEUTRAL_PATTERN
-    return F.concat(F.lit(head), index.cast("string"), F.lit(tail))
+    return filled(NEUTRAL_PATTERN, index=index.cast("string"))
 
 
 def long_context(text: Column) -> Column:
@@ -157,8 +163,8 @@ def long_context(text: Column) -> Column:
 
 def translated(term: Column, language: Column) -> Column:
     choice = None
-    for code, (head, tail) in LANGUAGE_PATTERNS.items():
-        text = F.concat(F.lit(head), term, F.lit(tail))
+    for code, pattern in LANGUAGE_PATTERNS.items():
+        text = filled(pattern, term=term)
         choice = F.when(language == code, text) if choice is None else choice.when(language == code, text)
     return choice
 

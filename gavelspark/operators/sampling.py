@@ -44,15 +44,18 @@ def _order(key: str) -> list[Column]:
 
 
 def _fetched(tagged: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``tagged`` that ``chosen`` names by hash and digest, each as often as named."""
+    """The rows of ``tagged`` that ``chosen`` names by hash and digest, each as often as named.
+
+    Equal rows fall together to one before they are dealt, and its copies are made afterwards:
+    a row that makes up a third of the table costs no task more than others.
+    """
     name = [F.coalesce("_hash", F.lit("")).alias("_h"), F.col("_digest").alias("_d")]
-    wanted = chosen.select(*name).groupBy("_h", "_d").agg(F.count("*").alias("_n"))
+    wanted = chosen.select(*name).groupBy("_h", "_d").agg(F.count("*").cast("int").alias("_n"))
     rows = tagged.withColumn("_h", F.coalesce("_hash", F.lit(""))).withColumn("_d", F.col("_digest"))
-    copy = F.row_number().over(Window.partitionBy("_h", "_d").orderBy("_h"))
     return (
         rows.join(wanted, ["_h", "_d"])
-        .withColumn("_copy", copy)
-        .where(F.col("_copy") <= F.col("_n"))
+        .dropDuplicates(["_h", "_d"])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
         .drop("_h", "_d", "_n", "_copy", "_hash", "_digest")
     )
 

@@ -208,7 +208,7 @@ cases as (
   select printf('PC-%02d-%02d-%03d', si, vi, i) as case_id, version as policy_version, slice_name, language,
          case when neutral then 'A neutral post about hiking boots. Reference ' || i || '.'
               when slice_name = 'long_context' then repeat('{tx.FILLER}', {tx.FILLER_REPEATS}) || base || repeat('{tx.FILLER}', {tx.FILLER_REPEATS})
-              when slice_name = 'multilingual' then case language {" ".join(f"when '{c}' then {sql_string(h)} || term || {sql_string(t)}" for c, (h, t) in tx.LANGUAGE_PATTERNS.items())} end
+              when slice_name = 'multilingual' then case language {" ".join(f"when '{c}' then {sql_string(h)} || term || {sql_string(t)}" for c, (h, t) in ((c, p.split('{term}')) for c, p in tx.LANGUAGE_PATTERNS.items()))} end
               when slice_name = 'adversarial' then replace(replace(base, term, array_to_string(string_split(term, ''), ' ')), 'promotion', 'pr0m0tion')
               else base end as content,
          case when neutral then 'ALLOW' else action end as expected_decision,

@@ -178,7 +178,7 @@ FILLER_SQL = f"repeat('{tx.FILLER}', {tx.FILLER_REPEATS})"
 def _translated_sql() -> str:
     cases = " ".join(
         f"when '{code}' then {sql_string(head)} || term || {sql_string(tail)}"
-        for code, (head, tail) in tx.LANGUAGE_PATTERNS.items()
+        for code, (head, tail) in ((c, p.split("{term}")) for c, p in tx.LANGUAGE_PATTERNS.items())
     )
     return f"case language {cases} end"
 
