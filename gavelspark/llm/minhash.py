@@ -40,8 +40,11 @@ LONG_TABLE = 64
 #: Two bits of each of 64 minhashes make a sketch. At similarity 0.8 both agree with a chance of 0.85;
 #: fewer than this do about twice in a million.
 LEAST_AGREEING = 40
+#: Bits of the parity sketch, 64 in each of its columns.
+PARITY_BITS = 256
+PARITY = [f"parity_{i}" for i in range(PARITY_BITS // 64)]
 #: Centres a table gets before its components are compared pair by pair.
-CENTRES = 2
+CENTRES = 1
 #: Comparisons with one set that a task makes before others share them.
 STAR = 256
 #: Digests that may be sent to every task, 8 MB: with more of them, the join alone chooses.
@@ -97,9 +100,18 @@ def bits_of(least: np.ndarray, place: int) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
+def parity_of(hashes: np.ndarray) -> list[int]:
+    """For each of ``PARITY_BITS`` places whether an odd number of shingles falls there, as
+    signed numbers. A shingle that only one of two sets has changes one place, so the sketches
+    differ in no more places than there are such shingles."""
+    fallen = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((fallen & 1).astype(np.uint8)).view(">i8").tolist()
+
+
 def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     """For each row ``id``, ``text_digest``, ``n_shingles``, and of its set ``digest``, ``parts``
-    and the sketch ``low``, ``high`` (null without shingles), written to the shared folder."""
+    and the sketches ``low``, ``high`` and ``PARITY`` (null without shingles), written to the
+    shared folder."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,20 +122,20 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if len(found):
                     digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                     least = minhashes(found)
-                    sketches.append((digest, parts_of(least), bits_of(least, 0), bits_of(least, 1)))
+                    bits = (bits_of(least, 0), bits_of(least, 1), *parity_of(found))
+                    sketches.append((digest, parts_of(least), *bits))
                 else:
-                    sketches.append((None,) * 4)
-            digests, parts, low, high = zip(*sketches) if sketches else ((),) * 4
+                    sketches.append((None,) * (4 + len(PARITY)))
+            digests, parts, *bits = zip(*sketches) if sketches else ((),) * (4 + len(PARITY))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2],
                     pa.array(sizes, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array(parts, pa.list_(pa.int64())),
-                    pa.array(low, pa.int64()),
-                    pa.array(high, pa.int64()),
+                    *(pa.array(b, pa.int64()) for b in bits),
                 ],
-                ["id", "text_digest", "n_shingles", "digest", "parts", "low", "high"],
+                ["id", "text_digest", "n_shingles", "digest", "parts", "low", "high", *PARITY],
             )
 
     rows = picked(docs, id=key, text=text).select("id", F.xxhash64("text").alias("text_digest"), F.col("text").cast("binary"))
@@ -131,7 +143,8 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
     return stage_in_batches(
         rows.mapInArrow(
             sketch,
-            f"id {kind}, text_digest long, n_shingles long, digest binary, parts array<long>, low long, high long",
+            f"id {kind}, text_digest long, n_shingles long, digest binary, parts array<long>, "
+            + ", ".join(f"{c} long" for c in ["low", "high", *PARITY]),
         )
     )
 
@@ -140,7 +153,7 @@ def collection(number: int) -> Column:
     return F.slice("parts", number * PARTS + 1, PARTS)
 
 
-SKETCH = ["n_shingles", "low", "high"]
+SKETCH = ["n_shingles", "low", "high", *PARITY]
 
 
 def tables(classes: DataFrame) -> DataFrame:
@@ -164,13 +177,20 @@ def tables(classes: DataFrame) -> DataFrame:
 
 
 def alike(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two members allow a link."""
+    """Whether sizes and sketches of two members allow a link. With ``percent`` of the union
+    shared, the shingles that only one of two sets has are (100 - percent) in 100 + percent of
+    both sizes at most, and the parity sketches differ in no more places."""
     size_a, size_b = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     different = (
         F.col(f"{a}.low").bitwiseXOR(F.col(f"{b}.low")).bitwiseOR(F.col(f"{a}.high").bitwiseXOR(F.col(f"{b}.high")))
     )
     sizes = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
-    return sizes & (F.bit_count(different) <= 64 - LEAST_AGREEING)
+    places = reduce(
+        Column.__add__,
+        (F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARITY),
+    )
+    parity = (100 + percent) * places <= (100 - percent) * (size_a + size_b)
+    return sizes & parity & (F.bit_count(different) <= 64 - LEAST_AGREEING)
 
 
 def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,19 @@ def test_sets_and_sketches_are_alike_at_every_block_size(monkeypatch):
     assert (minhash.minhashes(hashes) == whole).all()
 
 
+def test_parity_sketches_differ_in_no_more_places_than_the_sets():
+    draw = random.Random(13)
+    for size in (1, 5, 100, 3000):
+        one = {draw.randrange(2**64) for _ in range(size)}
+        for changed in (0, 1, size // 10, size):
+            kept = sorted(one)[changed:]
+            other = set(kept) | {draw.randrange(2**64) for _ in range(changed)}
+            sketches = [minhash.parity_of(np.array(sorted(s), np.uint64)) for s in (one, other)]
+            places = sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(*sketches))
+            assert places <= len(one ^ other)
+            assert places % 2 == len(one ^ other) % 2
+
+
 # Hostile pages and secrets
 
 PARAGRAPH = "This is a long paragraph of the article, with many words and hardly any markup in it. " * 4
