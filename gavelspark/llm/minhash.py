@@ -274,44 +274,62 @@ def table_pairs(rooted: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("one.cid").alias("a"), F.col("other.cid").alias("b")).distinct()
 
 
-def links(classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """Confirmed pairs (``a`` < ``b``) of ``classes`` that connect all classes that met in a
-    table and have the similarity: what others connect already need not be compared."""
-    seen, found = [], []
+def linked_classes(
+    classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str
+) -> DataFrame:
+    """``node`` and ``root`` of all ``classes`` that are linked with others: the components of
+    confirmed pairs. Those connect all classes that met in a table and have the similarity; what
+    others connect already is not compared."""
+    seen, roots = [], None
 
     def judge(pairs: DataFrame) -> None:
         """Add the links among ``pairs``; what an earlier step compared is not compared again."""
+        nonlocal roots
         for earlier in seen:
             pairs = pairs.join(earlier, ["a", "b"], "left_anti")
         pairs = stage(pairs)
         seen.append(pairs)
-        found.append(stage(confirmed(pairs, sets_of(pairs, classes, docs, key, text), percent)))
+        new = stage(confirmed(pairs, sets_of(pairs, classes, docs, key, text), percent))
+        if not new.isEmpty():
+            # the components so far are stars already: each round has their nodes, not all links
+            known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            roots = connected(reduce(DataFrame.unionByName, known, new))
 
     def rooted(listed: DataFrame) -> DataFrame:
         """The members with the component that the links so far give them."""
-        if not found:
+        if roots is None:
             return listed.withColumn("root", F.col("cid"))
-        roots = connected(reduce(DataFrame.unionByName, found)).withColumnRenamed("node", "cid")
-        return listed.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        joined = listed.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+        return joined.withColumn("root", F.coalesce("root", "cid"))
 
-    listed = stage(tables(classes))
-    for number in range(2, COLLECTIONS + 1):
-        for turn in range(CENTRES):
-            judge(star_pairs(rooted(listed), percent, turn))
+    def open_tables(listed: DataFrame) -> DataFrame:
+        """The members of tables that still hold more than one component, with the tables' ``n``
+        members."""
         members = rooted(listed)
         split = members.groupBy("key").agg(
             F.count("*").alias("n"), F.min("root").alias("__least"), F.max("root").alias("__most")
         )
-        rest = stage(members.join(split.where("__least < __most").select("key", "n"), "key"))
+        return stage(members.join(split.where("__least < __most").select("key", "n"), "key"))
+
+    listed = stage(tables(classes))
+    for number in range(2, COLLECTIONS + 1):
+        for turn in range(CENTRES):
+            judge(star_pairs(rooted(listed), percent, turn))
+        rest = open_tables(listed)
         last = number == COLLECTIONS
         judge(table_pairs(rest if last else rest.where(F.col("n") <= LONG_TABLE), percent))
         long = rest.where(F.col("n") > LONG_TABLE)
         if last or long.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+            break
+        # short tables may have connected what the long ones hold
+        long = open_tables(long.drop("root", "n"))
         further = classes.select("cid", F.posexplode(collection(number)).alias("at", "part"))
         listed = stage(
             long.join(further, "cid").select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
         )
+    if roots is None:
+        return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).where(F.lit(False))
+    return roots
 
 
 def components(
@@ -341,7 +359,7 @@ def components(
         .agg(first, F.count("*").alias("n"), F.first("parts").alias("parts"), *(F.max(c).alias(c) for c in SKETCH))
         .withColumn("cid", F.monotonically_increasing_id())
     )
-    members = connected(links(classes.drop("digest", "n"), docs, percent, key, text))
+    members = linked_classes(classes.drop("digest", "n"), docs, percent, key, text)
     linked = stage(members.join(classes.select("cid", "first"), F.col("node") == F.col("cid")).select("cid", "root", "first"))
     smallest = linked.groupBy("root").agg(F.min("first").alias("chosen"))
     known = linked.select("cid", "root").join(smallest, "root").select("cid", "chosen")
