@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelspark.llm.common import as_text, picked, stage_in_batches
-from gavelspark.llm.simhash import HOT_SHARE, connected
+from gavelspark.llm.simhash import HOT_SHARE
 from gavelspark.sources.storage import stage
 
 SHINGLE = 4
@@ -43,8 +43,6 @@ LEAST_AGREEING = 40
 #: Bits of the parity sketch, 64 in each of its columns.
 PARITY_BITS = 256
 PARITY = [f"parity_{i}" for i in range(PARITY_BITS // 64)]
-#: Centres a table gets before its components are compared pair by pair.
-CENTRES = 1
 #: Comparisons with one set that a task makes before others share them.
 STAR = 256
 #: Digests that may be sent to every task, 8 MB: with more of them, the join alone chooses.
@@ -52,9 +50,9 @@ PRUNED = 1 << 20
 SEED = 42
 BLOCK = 1 << 16
 _draw = np.random.default_rng(SEED)
-#: Odd factors and summands of the hash functions.
-FACTORS = _draw.integers(0, 1 << 63, ROWS * PARTS * COLLECTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SUMMANDS = _draw.integers(0, 1 << 63, ROWS * PARTS * COLLECTIONS, dtype=np.uint64)
+#: Odd factors of the hash functions, for the lower and the upper half of a shingle's hash.
+FACTORS = _draw.integers(0, 1 << 31, ROWS * PARTS * COLLECTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+OTHERS = _draw.integers(0, 1 << 31, ROWS * PARTS * COLLECTIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -65,25 +63,26 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
-    """The distinct shingles of a text as sorted 64-bit hashes."""
+    """The distinct shingles of a text as sorted 64-bit hashes, made of their words' hashes."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), np.uint64))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    length = min(SHINGLE, len(words))
+    shingles = np.zeros(len(words) - length + 1, np.uint64)
+    for i in range(length):
+        shingles = mixed(shingles + hashes[i : i + len(shingles)])
+    return np.unique(shingles)
 
 
 def minhashes(hashes: np.ndarray) -> np.ndarray:
-    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    least = np.full(len(FACTORS), np.iinfo(np.uint32).max, np.uint32)
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
     for start in range(0, len(hashes), BLOCK // len(FACTORS)):
-        block = hashes[start : start + BLOCK // len(FACTORS)]
-        seen = block[:, None] * FACTORS + SUMMANDS
-        least = np.minimum(least, (seen ^ (seen >> np.uint64(32))).min(0))
-    return mixed(least)
+        end = start + BLOCK // len(FACTORS)
+        seen = (low[start:end, None] * FACTORS) ^ (high[start:end, None] * OTHERS)
+        least = np.minimum(least, seen.min(0))
+    return mixed(least.astype(np.uint64) + np.uint64(1))
 
 
 def parts_of(least: np.ndarray) -> np.ndarray:
@@ -238,11 +237,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def star_pairs(rooted: DataFrame, percent: int, turn: int) -> DataFrame:
+def star_pairs(rooted: DataFrame, percent: int) -> DataFrame:
     """One pair (``a`` < ``b``) at most for each member (``key``, ``cid``, its sketch, ``root``):
     itself and, of the centres of its tables that it may be linked with and is not connected
     with yet, the first in an order that all tables share."""
-    member = F.struct(F.xxhash64("cid", F.lit(turn)).alias("order"), "cid", "root", *SKETCH)
+    member = F.struct(F.xxhash64("cid").alias("order"), "cid", "root", *SKETCH)
     centres = (
         rooted.groupBy("key")
         .agg(F.min(member).alias("centre"), F.min("root").alias("__least"), F.max("root").alias("__most"))
@@ -274,6 +273,36 @@ def table_pairs(rooted: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("one.cid").alias("a"), F.col("other.cid").alias("b")).distinct()
 
 
+def starred(links: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the smallest node it is connected with, for every node of ``links``
+    (``a``, ``b``), written to the shared folder.
+
+    Alternating large and small stars, each round written. They end as soon as every node is
+    either a root or hangs below one root only, which one count by node tells.
+    """
+    ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    stars = stage(ends.where("u != v"))
+    while True:
+        up = stars.select(F.col("u").alias("node"), F.col("v").alias("above"))
+        down = stars.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("above"))
+        places = up.unionByName(down).groupBy("node").agg(
+            F.min("above").alias("__least"), F.max("above").alias("__most"), F.count("above").alias("n_above"), F.count("*").alias("n")
+        )
+        unsettled = (F.col("__least") < F.col("__most")) | F.col("n_above").between(1, F.col("n") - 1)
+        if places.agg(F.count_if(unsettled)).first()[0] == 0:
+            break
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stage(
+            stars.join(least.withColumnRenamed("u", "at"), F.col("v") == F.col("at")).select("u", F.col("m").alias("v"))
+        )
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        stars = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    nodes = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stage(nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
+
+
 def linked_classes(
     classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -285,15 +314,15 @@ def linked_classes(
     def judge(pairs: DataFrame) -> None:
         """Add the links among ``pairs``; what an earlier step compared is not compared again."""
         nonlocal roots
-        for earlier in seen:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        if seen:
+            pairs = pairs.join(reduce(DataFrame.unionByName, seen), ["a", "b"], "left_anti")
         pairs = stage(pairs)
         seen.append(pairs)
         new = stage(confirmed(pairs, sets_of(pairs, classes, docs, key, text), percent))
         if not new.isEmpty():
             # the components so far are stars already: each round has their nodes, not all links
             known = [] if roots is None else [roots.select(F.col("node").alias("a"), F.col("root").alias("b"))]
-            roots = connected(reduce(DataFrame.unionByName, known, new))
+            roots = starred(reduce(DataFrame.unionByName, known, new))
 
     def rooted(listed: DataFrame) -> DataFrame:
         """The members with the component that the links so far give them."""
@@ -311,21 +340,25 @@ def linked_classes(
         )
         return stage(members.join(split.where("__least < __most").select("key", "n"), "key"))
 
-    listed = stage(tables(classes))
+    listed, waiting = stage(tables(classes)), None
     for number in range(2, COLLECTIONS + 1):
-        for turn in range(CENTRES):
-            judge(star_pairs(rooted(listed), percent, turn))
+        pairs = star_pairs(rooted(listed), percent)
+        # the short tables' pairs are compared along with the long ones' next stars
+        judge(pairs if waiting is None else pairs.unionByName(waiting).distinct())
         rest = open_tables(listed)
-        last = number == COLLECTIONS
-        judge(table_pairs(rest if last else rest.where(F.col("n") <= LONG_TABLE), percent))
+        if number == COLLECTIONS:
+            judge(table_pairs(rest, percent))
+            break
+        waiting = table_pairs(rest.where(F.col("n") <= LONG_TABLE), percent)
         long = rest.where(F.col("n") > LONG_TABLE)
-        if last or long.isEmpty():
+        if long.isEmpty():
+            judge(waiting)
             break
-        # short tables may have connected what the long ones hold
-        long = open_tables(long.drop("root", "n"))
         further = classes.select("cid", F.posexplode(collection(number)).alias("at", "part"))
         listed = stage(
-            long.join(further, "cid").select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
+            long.select("key", "cid", *SKETCH)
+            .join(further, "cid")
+            .select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
         )
     if roots is None:
         return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).where(F.lit(False))
