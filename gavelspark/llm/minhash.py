@@ -45,7 +45,7 @@ PARITY_BITS = 256
 PARITY = [f"parity_{i}" for i in range(PARITY_BITS // 64)]
 #: Comparisons with one set that a task makes before others share them.
 STAR = 256
-#: Digests that may be sent to every task, 8 MB: with more of them, the join alone chooses.
+#: Classes that may be sent to every task, 24 bytes each: with more of them, a join shuffles texts.
 PRUNED = 1 << 20
 SEED = 42
 BLOCK = 1 << 16
@@ -201,11 +201,13 @@ def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, tex
     texts = picked(docs, id=key, text=text).select(
         as_text(F.col("id")).alias("doc"), F.xxhash64("text").alias("text_digest"), F.col("text").cast("binary")
     )
-    # repeated rows of one document are equal
     if wanted.count() <= PRUNED:
-        digests = F.broadcast(firsts.select("text_digest").distinct())
-        texts = texts.join(digests, "text_digest", "left_semi")  # before any text is moved
-    found = texts.join(firsts, ["doc", "text_digest"]).dropDuplicates(["doc", "text_digest", "cid"])
+        # before any text is moved
+        few = F.broadcast(firsts.select("text_digest", "cid", F.xxhash64("doc").alias("of")))
+        found = texts.join(few, "text_digest").where(F.xxhash64("doc") == F.col("of"))
+    else:
+        found = texts.join(firsts, ["doc", "text_digest"])
+    found = found.dropDuplicates(["cid"])  # repeated rows of one document are equal
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,8 +242,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def star_pairs(rooted: DataFrame, percent: int) -> DataFrame:
     """One pair (``a`` < ``b``) at most for each member (``key``, ``cid``, its sketch, ``root``):
     itself and, of the centres of its tables that it may be linked with and is not connected
-    with yet, the first in an order that all tables share."""
-    member = F.struct(F.xxhash64("cid").alias("order"), "cid", "root", *SKETCH)
+    with yet, the smallest. A table's centre is its smallest member, so the pairs lead down to
+    the node that names the component."""
+    member = F.struct("cid", "root", *SKETCH)
     centres = (
         rooted.groupBy("key")
         .agg(F.min(member).alias("centre"), F.min("root").alias("__least"), F.max("root").alias("__most"))
@@ -252,11 +255,8 @@ def star_pairs(rooted: DataFrame, percent: int) -> DataFrame:
         centres, F.col("key") == F.col("__key")
     )
     met = met.where((F.col("member.root") != F.col("centre.root")) & alike("member", "centre", percent))
-    first = F.min(F.struct("centre.order", "centre.cid")).alias("first")
-    chosen = met.groupBy(F.col("member.cid").alias("cid")).agg(first)
-    return chosen.select(
-        F.least("cid", "first.cid").alias("a"), F.greatest("cid", "first.cid").alias("b")
-    ).distinct()
+    chosen = met.groupBy(F.col("member.cid").alias("b")).agg(F.min("centre.cid").alias("a"))
+    return chosen.select("a", "b")
 
 
 def table_pairs(rooted: DataFrame, percent: int) -> DataFrame:
