@@ -240,23 +240,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def star_pairs(rooted: DataFrame, percent: int) -> DataFrame:
-    """One pair (``a`` < ``b``) at most for each member (``key``, ``cid``, its sketch, ``root``):
-    itself and, of the centres of its tables that it may be linked with and is not connected
-    with yet, the smallest. A table's centre is its smallest member, so the pairs lead down to
-    the node that names the component."""
+    """Two pairs (``a`` < ``b``) at most for each member (``key``, ``cid``, its sketch, ``root``).
+    A table's centres are its smallest and its largest member; of those that a member may be
+    linked with and is not connected with yet, it is paired with the smallest and the largest.
+    What one centre leaves apart the other may connect, before members are paired."""
     member = F.struct("cid", "root", *SKETCH)
     centres = (
         rooted.groupBy("key")
-        .agg(F.min(member).alias("centre"), F.min("root").alias("__least"), F.max("root").alias("__most"))
+        .agg(F.array(F.min(member), F.max(member)).alias("centres"), F.min("root").alias("__least"), F.max("root").alias("__most"))
         .where("__least < __most")
-        .select(F.col("key").alias("__key"), "centre")
+        .select(F.col("key").alias("__key"), F.explode("centres").alias("centre"))
     )
     met = rooted.select("key", F.struct("cid", "root", *SKETCH).alias("member")).join(
         centres, F.col("key") == F.col("__key")
     )
     met = met.where((F.col("member.root") != F.col("centre.root")) & alike("member", "centre", percent))
-    chosen = met.groupBy(F.col("member.cid").alias("b")).agg(F.min("centre.cid").alias("a"))
-    return chosen.select("a", "b")
+    chosen = met.groupBy(F.col("member.cid").alias("cid")).agg(
+        F.array_distinct(F.array(F.min("centre.cid"), F.max("centre.cid"))).alias("centres")
+    )
+    pairs = chosen.select("cid", F.explode("centres").alias("centre"))
+    return pairs.select(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).distinct()
 
 
 def table_pairs(rooted: DataFrame, percent: int) -> DataFrame:
