@@ -6,7 +6,7 @@ about the square root of what as many independent tables would take. Two sets me
 if one part of each collection agrees.
 
 Stars come first: of the members that its tables put at their centres, each set is compared
-with one. What that connects is settled among itself; only members of different components are
+with two at most. What that connects is settled among itself; only members of different components are
 compared pair by pair, and tables too long for that are dealt anew by the parts of a further
 collection. All links are confirmed on the full sets.
 """
