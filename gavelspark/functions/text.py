@@ -58,6 +58,11 @@ def fold_sql(text: str) -> str:
     return f"if(length({text}) = octet_length({text}), lower({text}), lower({expanded}))"
 
 
+def folded_sql(text: str) -> str:
+    """``fold_sql``, but pure ASCII stays as it is, for readers to whom A-Z are like a-z."""
+    return fold_sql(text).replace(f", lower({text}), ", f", {text}, ", 1)
+
+
 def normal_sql(text: str) -> str:
     """SQL for case-folded text with everything but ``a-z0-9`` deleted."""
     return f"regexp_replace({fold_sql(text)}, '[^a-z0-9]+', '')"

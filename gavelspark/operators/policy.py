@@ -1,7 +1,7 @@
 """Policy retrieval: match cases against versioned lexical rules and decide.
 
-Each text is normalized once and never shuffled. Inside its row the positions where a term can
-begin are found with a bitmap of all terms' heads (``operators.term_index``); those are joined
+Each text is folded once and never shuffled. Inside its task the positions of its normal form
+where a term can begin are found with a bitmap of all terms' heads (``operators.term_index``); those are joined
 with the terms by an equi-join, verified and reduced to the rules that match. The plan is the
 same for ten terms and for ten million: nothing is broadcast but the bitmap of bounded size.
 """
@@ -13,7 +13,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelspark.functions.text import normal_sql, normalize
+from gavelspark.functions.text import folded_sql, normal_sql
 from gavelspark.operators.term_index import HEAD, MOST_BITS, head_filter, head_number, term_starts
 from gavelspark.schemas import ALLOW, ESCALATE
 from gavelspark.sources.storage import stage
@@ -47,7 +47,7 @@ RULE = ["rule_id", "version", "action", "text", "remediation", "ordinal"]
 
 
 def matching_rules(asked: DataFrame, rules: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """The rules found in normalized texts: ``version``, ``digest``, ``first_rule``,
+    """The rules found in folded texts: ``version``, ``digest``, ``first_rule``,
     ``best_rule``, for each of ``asked`` (``versions``, ``digest``, ``content``) that has one.
 
     ``first_rule`` is the first in declaration order, ``best_rule`` the one with the most terms
@@ -127,7 +127,7 @@ def match_rules(
     asked = cases.select(
         F.array_distinct(F.array_compact(versions)).alias("versions"),
         digest.alias("digest"),
-        normalize(content).alias("content"),
+        F.expr(folded_sql(content)).alias("content"),  # the index deletes the rest itself
     )
     hits = stage(matching_rules(asked, rules, most_bits))
     own = hits.select(F.col("version").alias("_version"), F.col("digest").alias("_exact"), "first_rule", "best_rule")

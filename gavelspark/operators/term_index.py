@@ -1,19 +1,21 @@
 """A filtered positional index: where terms can begin in normalized texts.
 
 A term's head is its first ``HEAD`` characters as one number, exact, since normalized text has
-36 different characters. A task turns every position of a text into the numbers of the heads
-that can begin there and tests them against a bitmap of all terms' heads, of bounded size.
-Only positions that pass leave the task, so what is joined with the terms follows the matches,
-neither the length of the texts nor the number of terms.
+36 different characters. A task normalizes folded texts by deleting all other characters, many
+texts in one array. Positions where no term's first ``PREFIX`` characters stand go first; of the
+others the numbers of the heads that can begin there are tested against a bitmap of all terms'
+heads, of bounded size. Only positions that pass leave the task, so what is joined with the
+terms follows the matches, neither the length of the texts nor the number of terms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +27,18 @@ BASE = 37
 #: chance costs one row, which the join drops.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 BITS_PER_HEAD = 64
-#: Positions of a text looked at together, and rows handed on together.
-BLOCK = 1 << 20
+#: Characters that tell at first whether a term can begin: a table of 50,653 places.
+PREFIX = 3
+#: Positions looked at together, bytes of texts taken together (a longer text by itself), and
+#: rows handed on together.
+BLOCK = 1 << 16
+TEXTS = 1 << 22
 ROWS = 1 << 15
-#: The digit of each character: 1 to 36 for 0-9 and a-z.
+#: The digit of each byte: 1 to 36 for 0-9 and a-z (A-Z like a-z), 0 for what normal text lacks.
 DIGITS = np.array(
-    [b - 47 if 48 <= b <= 57 else b - 86 if 97 <= b <= 122 else 0 for b in range(256)], np.int64
+    [b - 47 if 48 <= b <= 57 else (b | 32) - 86 if 97 <= b | 32 <= 122 and b < 128 else 0 for b in range(256)], np.uint8
 )
+CHARACTERS = np.frombuffer(b" 0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)
 
 
 def head_number(term: str) -> Column:
@@ -44,12 +51,15 @@ def head_number(term: str) -> Column:
 
 @dataclass(frozen=True)
 class HeadFilter:
-    """A bitmap of the heads, the sizes of heads in use and the length of the longest term."""
+    """A bitmap of the heads, the sizes of heads in use, the length of the longest term, and
+    which numbers of ``prefix`` characters begin a term."""
 
     bits: int
     table: np.ndarray
     sizes: frozenset[int]
     longest: int
+    prefix: int = 1
+    begins: np.ndarray = field(default_factory=lambda: np.ones(BASE, bool))
 
     def passing(self, numbers: np.ndarray) -> np.ndarray:
         places = (numbers ^ (numbers >> 13) ^ (numbers >> 31)) & (self.bits - 1)
@@ -63,6 +73,10 @@ def head_filter(terms: DataFrame, most_bits: int = MOST_BITS) -> HeadFilter:
         F.count("*").alias("n"), F.max(F.length("term")).alias("longest")
     ).collect()  # a row for each size of head
     n = sum(r["n"] for r in found)
+    prefix = min([PREFIX, *(r["size"] for r in found)])
+    begins = np.zeros(BASE**prefix, bool)
+    first = head_number(f"substring(term, 1, {prefix})").cast("int")
+    begins[[r["first"] for r in terms.select(first.alias("first")).distinct().collect()]] = True  # 50,653 at most
     bits = min(LEAST_BITS, most_bits)
     while bits < min(n * BITS_PER_HEAD, most_bits):
         bits *= 2
@@ -80,34 +94,71 @@ def head_filter(terms: DataFrame, most_bits: int = MOST_BITS) -> HeadFilter:
         start = (row["bucket"] - 1) * width
         table[start : start + width] = np.frombuffer(row["block"], np.uint8)
     sizes = frozenset(r["size"] for r in found)
-    return HeadFilter(bits, table, sizes, max((r["longest"] for r in found), default=0))
+    return HeadFilter(bits, table, sizes, max((r["longest"] for r in found), default=0), prefix, begins)
+
+
+def heads_of(
+    digits: np.ndarray, ends: np.ndarray, wanted: HeadFilter
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Size of head, texts, positions and numbers of the heads that pass the filter, block by
+    block, in ``digits`` of texts that end at ``ends`` and lie behind one another."""
+    for start in range(0, len(digits), BLOCK):
+        block = digits[start : start + BLOCK + wanted.prefix - 1]
+        numbers = np.zeros(max(len(block) - wanted.prefix + 1, 0), np.int64)
+        for i in range(wanted.prefix):
+            numbers = numbers * BASE + block[i : i + len(numbers)]
+        at = np.flatnonzero(wanted.begins[numbers])
+        numbers, at = numbers[at], at + start
+        texts = np.searchsorted(ends, at, "right")
+        left = ends[texts] - at
+        for size in range(wanted.prefix, max(wanted.sizes, default=0) + 1):
+            inside = left >= size
+            if not inside.all():
+                numbers, at, texts, left = numbers[inside], at[inside], texts[inside], left[inside]
+            if size > wanted.prefix:
+                numbers = numbers * BASE + digits[at + (size - 1)]
+            if size in wanted.sizes:
+                passing = wanted.passing(numbers)
+                yield size, texts[passing], at[passing], numbers[passing]
 
 
 def heads_in(text: str, wanted: HeadFilter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Size of head, positions and numbers of the heads in a text that pass the filter, block
-    by block."""
-    codes = DIGITS[np.frombuffer(text.encode(), np.uint8)]
-    for start in range(0, len(codes), BLOCK):
-        digits = codes[start : start + BLOCK + HEAD - 1]
-        numbers = np.zeros(min(BLOCK, len(digits)), np.int64)
-        for size in range(1, max(wanted.sizes, default=0) + 1):
-            left = len(digits) - size + 1
-            if left <= 0:
-                break
-            numbers = numbers[:left] * BASE + digits[size - 1 : size - 1 + min(left, len(numbers))]
-            if size in wanted.sizes:
-                at = wanted.passing(numbers)
-                yield size, at + start, numbers[at]
+    """Size of head, positions and numbers of the heads in one text that pass the filter."""
+    for size, _, at, heads in heads_of(*normal_digits(pa.array([text])), wanted):
+        yield size, at, heads
+
+
+def normal_digits(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of folded texts, those of other characters left out, and where each ends."""
+    values = texts.fill_null("").cast(pa.large_string())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    codes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    digits = DIGITS[codes]
+    kept = digits > 0
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(kept, dtype=np.int64)])
+    return digits[kept], before[offsets[1:] - offsets[0]]
 
 
 def term_starts(rows: DataFrame, wanted: HeadFilter, text: str) -> DataFrame:
-    """``rows`` without ``text``, once for each different head of the text that passes:
-    ``head``, and ``rest``, the text from there as far as the longest term goes, where a term
-    may be longer than its head."""
+    """``rows`` without the folded ``text``, once for each different head of its normal form that
+    passes: ``head``, and ``rest``, the normal text from there as far as the longest term goes,
+    where a term may be longer than its head."""
     context = SparkContext.getOrCreate()
     shared = context.broadcast(wanted)  # a bitmap of 16 MiB at most
     kept = [c for c in rows.columns if c != text]
 
+    def starts(texts: pa.Array, wanted: HeadFilter) -> Iterator[tuple[int, int, str | None]]:
+        """Number of the text, head and rest."""
+        digits, ends = normal_digits(texts)
+        for size, numbers, at, heads in heads_of(digits, ends, wanted):
+            if size == HEAD and wanted.longest > HEAD:
+                for number, i, head in zip(numbers.tolist(), at.tolist(), heads.tolist()):
+                    rest = digits[i : min(i + wanted.longest, ends[number])]
+                    yield number, head, CHARACTERS[rest].tobytes().decode()
+            else:
+                yield from zip(numbers.tolist(), heads.tolist(), [None] * len(heads))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
 
@@ -119,22 +170,20 @@ def term_starts(rows: DataFrame, wanted: HeadFilter, text: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, [*kept, "head", "rest"])
 
         for batch in batches:
-            found: list[tuple[int, int, str | None]] = []
-            for number, text_value in enumerate(batch.column(text)):
-                content = text_value.as_py() or ""
-                for size, at, heads in heads_in(content, wanted):
-                    if size == HEAD and wanted.longest > HEAD:
-                        starts = set(
-                            (int(head), content[i : i + wanted.longest]) for i, head in zip(at.tolist(), heads)
-                        )
-                        found.extend((number, *start) for start in starts)
-                    else:
-                        found.extend((number, head, None) for head in np.unique(heads).tolist())
-                    while len(found) >= ROWS:
-                        yield built(batch, found[:ROWS])
-                        found = found[ROWS:]
-            if found:
-                yield built(batch, found)
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            groups = np.cumsum(lengths, dtype=np.int64) // TEXTS
+            bounds = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+            for first, end in zip(bounds, bounds[1:]):
+                part = batch.slice(first, end - first)
+                # a dictionary keeps each head of a text once
+                found: dict[tuple[int, int, str | None], None] = {}
+                for start in starts(part.column(text), wanted):
+                    found[start] = None
+                    if len(found) >= ROWS:
+                        yield built(part, list(found))
+                        found = {}
+                if found:
+                    yield built(part, list(found))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != text)
     return rows.select(*kept, text).mapInArrow(find, f"{schema}, head long, rest string")

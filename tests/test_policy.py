@@ -199,3 +199,26 @@ def test_heads_are_exact_and_blocks_do_not_cut_them(monkeypatch):
     assert sorted(whole) == sorted(cut) and len(whole) == 90 + 88 + 79
     assert len({h for _, _, h in whole}) == len({text[i : i + s] for s, i, _ in whole})
     assert list(ti.heads_in("", everything)) == []
+
+
+def test_texts_of_a_batch_are_searched_together():
+    """Each text at once took a call of every step for each of its sizes of heads."""
+    import pyarrow as pa
+
+    from gavelspark.operators import term_index as ti
+
+    texts = ["Wine, WINE", None, "w-i-n", "", "E win", "é Wi|ne", "x" * 50 + "wine"]
+    digits, ends = ti.normal_digits(pa.array(["left out", *texts])[1:])
+    plain = [normal(t or "") for t in texts]
+    assert ti.CHARACTERS[digits].tobytes().decode() == "".join(plain) and np.diff(ends, prepend=0).tolist() == list(map(len, plain))
+    number = lambda word: sum((ord(c) - 86) * ti.BASE**i for i, c in enumerate(reversed(word)))
+    begins = np.zeros(ti.BASE**3, bool)
+    begins[number("win")] = True
+    wanted = ti.HeadFilter(64, np.full(8, 255, np.uint8), frozenset({3, 4}), 4, 3, begins)
+    found = sorted((int(t), size, int(h)) for size, of, _, heads in ti.heads_of(digits, ends, wanted) for t, h in zip(of, heads))
+    expected = sorted(
+        (t, size, number(text[i : i + size]))
+        for t, text in enumerate(plain) for i in range(len(text)) for size in (3, 4)
+        if text[i:].startswith("win") and len(text) >= i + size
+    )
+    assert found == expected and len(found) == 10
