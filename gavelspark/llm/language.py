@@ -94,9 +94,35 @@ def training_sample(
     return names, taken.dropDuplicates(["id", "text", "lang"]).select("lang", "text")
 
 
+def training_rows(docs: DataFrame, languages: int, key: str, text: str, lang: str) -> tuple[tuple[str, ...], DataFrame]:
+    """The languages of ``docs``, and ``lang`` and ``text`` of all rows that have both."""
+    rows = picked(docs, text=text, lang=lang).where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
+    names = [r.lang for r in rows.select("lang").distinct().limit(languages + 1).collect()]
+    if len(names) > languages:
+        raise ValueError(f"more than {languages} languages")
+    return tuple(sorted(names)), rows
+
+
+def commonest(grams: DataFrame, share: Column) -> DataFrame:
+    """The ``share`` commonest n-grams of each size and language (``size``, ``lang``, ``gram``,
+    ``n``), ties by n-gram. A histogram of the counts on a logarithmic scale tells what they must
+    reach, so that few others are sorted."""
+    levels = grams.groupBy("size", "lang", F.floor(F.log2("n") * 8).alias("level")).agg(
+        F.count("*").alias("grams"), F.min("n").alias("lowest")
+    )
+    above = F.sum("grams").over(Window.partitionBy("size", "lang").orderBy(F.desc("level")))
+    # 512 levels for each size and language at most
+    bounds = levels.withColumn("__above", above).groupBy("size", "lang").agg(
+        F.coalesce(F.max(F.when(F.col("__above") >= share, F.col("lowest"))), F.lit(0)).alias("__bound")
+    )
+    reaching = grams.join(F.broadcast(bounds), ["size", "lang"]).where("n >= __bound").drop("__bound")
+    place = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "gram"))
+    return reaching.withColumn("__place", place).where(F.col("__place") <= share).drop("__place")
+
+
 def train(
     docs: DataFrame,
-    per_language: int = 4_000,
+    per_language: int | None = None,
     most_words: int = 40_000,
     most_grams: int = 15_000,
     languages: int = 200,
@@ -106,18 +132,21 @@ def train(
 ) -> Model:
     """Learn from the rows of ``docs`` that have a text and a language.
 
-    About ``per_language`` documents of each language are read, chosen by a hash of key and
-    text; of a language with fewer, all. ``most_words`` words and, for each length,
+    All of them are counted; only a caller who names ``per_language`` gets a model of about so
+    many documents of each language (``training_sample``). ``most_words`` words and, for each length,
     ``most_grams`` n-grams are kept, the commonest of each language in equal shares: these
     bounds are the model's size, whatever the amount of text, and no language crowds out
     another. More than ``languages`` values in ``lang`` are refused. Without any row the model
     knows no language.
     """
-    names, sample = training_sample(docs, per_language, languages, key, text, lang)
+    if per_language is None:
+        names, read = training_rows(docs, languages, key, text, lang)
+    else:
+        names, read = training_sample(docs, per_language, languages, key, text, lang)
     if not names:
         return Model((), np.zeros((1, 0)), {}, tuple({} for _ in range(LONGEST)))
     words = stage(
-        sample.mapInArrow(_word_counts, "lang string, gram string, n long")
+        read.mapInArrow(_word_counts, "lang string, gram string, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -137,11 +166,7 @@ def train(
     grams = stage(grams)
     totals = {(r.size, r.lang): r.n for r in grams.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     share = {size: -(-(most_grams if size else most_words) // len(names)) for size in range(LONGEST + 1)}
-    # one language's n-grams of a size, in a sample of bounded rows
-    place = F.row_number().over(Window.partitionBy("size", "lang").orderBy(F.desc("n"), "gram"))
-    listed = grams.withColumn("place", place).where(
-        F.col("place") <= F.when(F.col("size") == 0, share[0]).otherwise(share[1])
-    )
+    listed = commonest(grams, F.when(F.col("size") == 0, share[0]).otherwise(share[1]))
     kept = grams.join(listed.select("size", "gram").distinct(), ["size", "gram"]).toPandas()
     words_by: dict[str, int] = {}
     grams_by: list[dict[str, int]] = [{} for _ in range(LONGEST)]
@@ -207,17 +232,24 @@ class Scorer:
         return found
 
     def read(self, text: str | None, lang: str | None = None, trained: bool = False) -> Reading:
-        """One pass over a text: the best language, and the fit to it or to ``lang``.
+        """One pass over a text: the best language, and the fit to it or to ``lang``, see
+        ``read_both``."""
+        found, own = self.read_both(text, lang, trained)
+        return found if lang is None else replace(found, fit=own or 0.0)
+
+    def read_both(self, text: str | None, lang: str | None, trained: bool = True) -> tuple[Reading, float | None]:
+        """One pass over a text: the best language and the fit to it, and with ``lang`` the fit to
+        that as well.
 
         The fit says how much of the text training has met in the language, from 0 to 1: a
         known word counts 1, another the share of its longest known n-grams by their length.
         Of a text that training has read (``trained``), what only the text itself has taught
-        does not count.
+        does not count for ``lang``.
         """
         counts, model = Counter(words_of(text)), self.model
         n_words = counts.total()
         if not n_words or not model.languages:
-            return Reading(words=n_words)
+            return Reading(words=n_words), None
         found = list(map(model.words.get, counts))
         rows = np.array([r for r in found if r is not None], np.int64)
         times = np.array([n for n, r in zip(counts.values(), found) if r is not None], np.float64)
@@ -237,21 +269,24 @@ class Scorer:
         odds = np.exp((total - total[best]) / n_words**0.5)
         score = float(odds[best] / odds.sum())
         if model.seen is None:
-            return Reading(model.languages[best], score, 0.0, n_words, True)
-        i = model.languages.index(lang) if lang is not None else best
-        met = model.seen[rows, i] > (times if trained else 0)
-        fit = float(times[met].sum())
+            return Reading(model.languages[best], score, 0.0, n_words, True), None
         words = [w for w, r in zip(counts, found) if r is not None]
-        for word, n in [*unseen, *((words[j], counts[words[j]]) for j in np.flatnonzero(~met).tolist())]:
-            size, known = self.remembered(word)
-            if size == 1:  # the marks of the edges are no letters
-                known = [r for r in map(model.grams[0].get, word) if r is not None]
-            if known:
-                own = n if trained else 0
-                met_grams = int((model.seen[known, i] > own).sum())
-                fit += n * met_grams / (len(word) + 3 - size) * size / (LONGEST + 1)
+
+        def fit(i: int, trained: bool) -> float:
+            met = model.seen[rows, i] > (times if trained else 0)
+            sum_met = float(times[met].sum())
+            for word, n in [*unseen, *((words[j], counts[words[j]]) for j in np.flatnonzero(~met).tolist())]:
+                size, known = self.remembered(word)
+                if size == 1:  # the marks of the edges are no letters
+                    known = [r for r in map(model.grams[0].get, word) if r is not None]
+                if known:
+                    met_grams = int((model.seen[known, i] > (n if trained else 0)).sum())
+                    sum_met += n * met_grams / (len(word) + 3 - size) * size / (LONGEST + 1)
+            return sum_met / n_words
+
         any_known = bool(len(rows)) or any(letter in model.grams[0] for w in counts for letter in w)
-        return Reading(model.languages[best], score, fit / n_words, n_words, any_known)
+        own = None if lang is None else fit(model.languages.index(lang), trained)
+        return Reading(model.languages[best], score, fit(best, False), n_words, any_known), own
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = self.read(text)
@@ -292,15 +327,18 @@ def predicted(text: Column, model: Model) -> Column:
     return predict(text)
 
 
-def fitted(text: Column, lang: Column, model: Model) -> Column:
-    """The reading of a text that training has read, with its fit to the language ``lang``."""
+def read_and_fitted(text: Column, lang: Column, model: Model) -> Column:
+    """``found``, the reading of a text as ``predicted`` gives it, and ``own``, where ``lang`` is
+    not null the fit of a text that training has read to that language, as a struct."""
     shared = SparkContext.getOrCreate().broadcast(model)
 
-    @F.arrow_udf(READING)
+    @F.arrow_udf(f"found struct<{READING.replace(' ', ': ').replace(',: ', ', ')}>, own double")
     def fit(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts, langs in batches:
-            yield _readings([scorer.read(t.as_py(), v.as_py(), True) for t, v in zip(texts, langs)])
+            both = [scorer.read_both(t.as_py(), v.as_py()) for t, v in zip(texts, langs)]
+            found = _readings([reading for reading, _ in both])
+            yield pa.StructArray.from_arrays([found, pa.array([own for _, own in both], pa.float64())], ["found", "own"])
 
     return fit(text, lang)
 
@@ -340,21 +378,23 @@ def in_known_language(
     ``SLACK`` of what all but a hundredth of the language's training documents reach, less
     one by the root of its words, as few words say little.
     """
-    learned = docs.where(~held_out(docs[key]))
-    model = train(learned, key=key, text=text, lang=lang)
-    _, sample = training_sample(learned, 4_000, 200, key, text, lang)
-    own = stage(sample.select("lang", fitted(F.col("text"), F.col("lang"), model).alias("f")))
+    learned = ~held_out(docs[key])
+    model = train(docs.where(learned), key=key, text=text, lang=lang)
+    # all texts are read once, for what they say and for the floors
+    own = F.when(learned & docs[text].isNotNull(), docs[lang].cast("string"))
+    frame = stage(docs.withColumn("__read", read_and_fitted(docs[text], own, model)))
+    fits = frame.where("__read.own IS NOT NULL").groupBy(F.col(lang).cast("string").alias("lang"))
     floors = {
         r.lang: r.floor or 0.0
-        for r in own.where("f.words > 0").groupBy("lang").agg(F.percentile_approx("f.fit", 0.01, 10_000).alias("floor")).collect()
+        for r in fits.agg(F.percentile_approx("__read.own", 0.01, 10_000).alias("floor")).collect()  # a row for each language
     }
+    found = F.col("__read.found")
     floor = reduce(
-        lambda otherwise, v: F.when(F.col("__found.lang_pred") == v, floors[v] * SLACK).otherwise(otherwise),
+        lambda otherwise, v: F.when(found["lang_pred"] == v, floors[v] * SLACK).otherwise(otherwise),
         floors,
         F.lit(0.0),
     )
-    frame = docs.withColumn("__found", predicted(docs[text], model))
-    enough = F.col("__found.known") & (F.col("__found.fit") >= floor - 1 / F.sqrt("__found.words"))
+    enough = found["known"] & (found["fit"] >= floor - 1 / F.sqrt(found["words"]))
     if least is not None:
-        enough = enough & (F.col("__found.score") >= least)
-    return frame.where((F.col("__found.lang_pred") != UNKNOWN) & enough).drop("__found")
+        enough = enough & (found["score"] >= least)
+    return frame.where((found["lang_pred"] != UNKNOWN) & enough).drop("__read")

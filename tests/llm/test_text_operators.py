@@ -308,3 +308,32 @@ def test_unlearned_languages_of_the_same_script_go(spark, learned):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = language.in_known_language(docs).collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i, _, v in rows if v)
+
+
+def test_every_learned_document_counts(spark):
+    """Of more than 4,000 documents of a language, only so many were read."""
+    rows = [(i, f"common words here and one like {'abcdefghij'[i % 10]}rest", "en") for i in range(9_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.train(docs)
+    assert model.seen[model.words["common"], 0] == 9_000
+    assert all(model.seen[model.words[f"{c}rest"], 0] == 900 for c in "abcdefghij")
+
+
+def test_commonest_grams_are_exact(spark):
+    draw = random.Random(3)
+    rows = [(draw.randrange(2), draw.choice("ab"), f"g{i:04d}", int(2 ** (draw.random() * 9))) for i in range(2_000)]
+    grams = spark.createDataFrame(rows, "size int, lang string, gram string, n long")
+    found = language.commonest(grams, F.when(F.col("size") == 0, 30).otherwise(700))
+    expected = []
+    for size, lang in ((s, v) for s in (0, 1) for v in "ab"):
+        of = sorted((r for r in rows if r[:2] == (size, lang)), key=lambda r: (-r[3], r[2]))
+        expected += of[: 700 if size else 30]
+    assert sorted((r.size, r.lang, r.gram, r.n) for r in found.collect()) == sorted(expected)
+
+
+def test_floors_come_from_all_learned_documents(spark, monkeypatch):
+    """One reading of every document serves the floors and the verdict."""
+    monkeypatch.setattr(language, "training_sample", None)
+    rows = [(i, " ".join(ENGLISH[i % 7 :]), "en") for i in range(50)] + [(100, "漢字仮名", None), (101, None, "en"), (102, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.in_known_language(docs).collect()) == list(range(50))
