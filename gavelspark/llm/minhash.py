@@ -306,6 +306,18 @@ def starred(links: DataFrame) -> DataFrame:
     return stage(nodes.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct())
 
 
+def dealt_anew(long: DataFrame, classes: DataFrame, number: int) -> DataFrame:
+    """The members of long tables (``key``, ``cid``, the sketch) in tables by the parts of a
+    further collection. The join makes one row for each member, its parts come after it."""
+    further = classes.select("cid", collection(number).alias("further"))
+    return (
+        long.select("key", "cid", *SKETCH)
+        .join(further, "cid")
+        .select("key", "cid", *SKETCH, F.posexplode("further").alias("at", "part"))
+        .select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
+    )
+
+
 def linked_classes(
     classes: DataFrame, docs: DataFrame, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -357,12 +369,7 @@ def linked_classes(
         if long.isEmpty():
             judge(waiting)
             break
-        further = classes.select("cid", F.posexplode(collection(number)).alias("at", "part"))
-        listed = stage(
-            long.select("key", "cid", *SKETCH)
-            .join(further, "cid")
-            .select(F.xxhash64("key", "at", "part").alias("key"), "cid", *SKETCH)
-        )
+        listed = stage(dealt_anew(long, classes, number))
     if roots is None:
         return classes.select(F.col("cid").alias("node"), F.col("cid").alias("root")).where(F.lit(False))
     return roots
