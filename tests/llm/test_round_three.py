@@ -369,3 +369,19 @@ def test_long_tables_are_joined_before_their_parts_are_dealt(spark):
     plain = long.join(further, "cid").select(F.xxhash64("key", "at", "part").alias("key"), "cid")
     assert Counter(map(tuple, found.select("key", "cid").collect())) == Counter(map(tuple, plain.collect()))
     assert found.count() == 6 * minhash.PARTS
+
+
+def test_tables_around_one_member_become_one_group(spark):
+    """Members were met again in every table they share, long tables' twelve times as often."""
+    rows = [(key, cid, cid, root) for key in range(50) for cid, root in ((10, 10), (11, 11), (12, 10))]
+    rows += [(100, 5, 5, 5), (100, 12, 12, 10), (200, 21, 21, 20), (200, 22, 22, 20)]
+    found = minhash.open_groups(spark.createDataFrame(rows, "key long, cid long, weight long, root long"))
+    wanted = Counter((12, 4, cid, root) for cid, root in ((5, 5), (10, 10), (11, 11), (12, 10)))
+    assert Counter(map(tuple, found.select("key", "n", "cid", "root").collect())) == wanted
+
+
+def test_blocks_of_a_long_group_meet_all_its_members(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 3)
+    docs = near_copies(9, 3, 60, 60, 4)
+    found = minhash.components(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert Counter(map(tuple, found.collect())) == plain_components(docs)
