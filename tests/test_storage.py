@@ -99,6 +99,27 @@ def test_manifest(spark, tmp_path):
         rd.verify_manifest(recorded, rd.file_manifest(spark, str(tmp_path)))
 
 
+def test_long_files_are_hashed_in_stretches(spark, tmp_path, monkeypatch):
+    """A file was read whole by one task."""
+    monkeypatch.setattr(rd, "LONG_FILE", 1000)
+    monkeypatch.setattr(rd, "STRETCH", 100_000)
+    lines = b"\n".join(os.urandom(40).replace(b"\n", b"") + b"\r" for _ in range(8_000))
+    contents = {
+        "a b%[1].bin": os.urandom(400_000), "ends.bin": lines + b"\n", "open.bin": lines, "blank.bin": b"\n" * 5_000,
+        "mark.txt": b"\xef\xbb\xbfx\n" + lines, "marks.txt": b"\xef\xbb\xbf" * 400 + b"\n", "one.bin": b"x" * 3_000,
+        "short.bin": b"x\n", "packed.gz": os.urandom(2_000), "zeros/ends.bin": bytes(300_000),
+    }
+    (tmp_path / "zeros").mkdir()
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = {r.path: (r.length, r.sha256) for r in rd.file_manifest(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: (len(c), hashlib.sha256(c).hexdigest()) for name, c in contents.items()}
+
+
 def test_training_on_a_test_split_is_refused(spark, tmp_path):
     for name in ("train.jsonl", "official_TEST.jsonl"):
         (tmp_path / name).write_text('{"a": 1}\n')
