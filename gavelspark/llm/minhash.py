@@ -199,7 +199,7 @@ def alike(a: str, b: str, percent: int) -> Column:
 
 def sets_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``cid`` and ``shingles`` of every class in ``pairs``, from one document of each."""
-    wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    wanted = stage(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
     firsts = classes.join(wanted, "cid", "left_semi").select(
         "cid", as_text(F.col("first.id")).alias("doc"), F.col("first.text_digest").alias("text_digest")
     )
