@@ -385,3 +385,41 @@ def test_blocks_of_a_long_group_meet_all_its_members(spark, monkeypatch):
     docs = near_copies(9, 3, 60, 60, 4)
     found = minhash.components(spark.createDataFrame(docs, "doc_id long, text string"))
     assert Counter(map(tuple, found.collect())) == plain_components(docs)
+
+
+def test_a_class_has_one_row_for_each_part_of_its_tables(spark):
+    """Tables were pairs of parts: 144 rows for a class whose 24 parts are shared."""
+    sketch = ", ".join(f"{c} long" for c in minhash.SKETCH)
+    blank = (0,) * len(minhash.SKETCH)
+    n_parts = minhash.PARTS * minhash.COLLECTIONS
+    lone = list(range(n_parts, 2 * n_parts))
+    rows = [(1, list(range(n_parts)), *blank), (2, list(range(n_parts)), *blank), (3, lone, *blank)]
+    found = minhash.tables(spark.createDataFrame(rows, f"cid long, parts array<long>, {sketch}"))
+    assert Counter(r.cid for r in found.collect()) == {1: 2 * minhash.PARTS, 2: 2 * minhash.PARTS}
+    assert found.select("key").distinct().count() == 2 * minhash.PARTS
+
+
+def test_a_set_is_sent_once_to_a_cell(spark):
+    """A set was copied for each pair: the shuffle grew with the pairs, not with the sets."""
+    n = 40
+    docs = spark.createDataFrame([(i, f"w{i} and some more words") for i in range(n)], "id long, text string")
+    digests = docs.select(F.col("id").alias("cid"), F.struct("id", F.xxhash64("text").alias("text_digest")).alias("first"))
+    classes = digests.withColumn("n_shingles", F.lit(2).cast("long"))
+    pairs = spark.createDataFrame([(a, b, 7) for a in range(n) for b in range(a + 1, n)], "a long, b long, at long")
+    sets = minhash.sets_of(minhash.in_cells(pairs, classes), classes, docs, "id", "text")
+    assert sets.count() == n
+    linked = minhash.confirmed(pairs, classes, docs, 80, "id", "text")
+    assert linked.count() == 0
+
+
+def test_cells_of_many_pairs_or_long_sets_are_split_and_keep_all_pairs(spark, monkeypatch):
+    pairs = spark.createDataFrame([(a, b, 7) for a in range(20) for b in range(a + 1, 20)], "a long, b long, at long")
+    for name, value, least in (("STAR", 10, 10), ("CELL_MEMBERS", 5, 8), ("CELL_SHINGLES", 1000, 2)):
+        with monkeypatch.context() as patched:
+            patched.setattr(minhash, name, value)
+            classes = spark.createDataFrame([(i, 100) for i in range(20)], "cid long, n_shingles long")
+            found = minhash.in_cells(pairs, classes)
+            assert Counter(map(tuple, found.select("a", "b").collect())) == Counter(
+                map(tuple, pairs.select("a", "b").collect())
+            )
+            assert found.select("cell").distinct().count() >= least
