@@ -208,8 +208,10 @@ def in_cells(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     counts = pairs.groupBy("at").agg(F.sqrt(F.count("*") / STAR).alias("root"))
     sides = counts.join(sizes, "at").select("at", F.ceil(F.greatest("size", "root")).alias("sides"))
-    place = [F.pmod(F.xxhash64(end), F.col("sides")) for end in ("a", "b")]
-    return pairs.join(sides, "at").select("a", "b", F.xxhash64("at", *place).alias("cell"))
+    # few: each stands for more than STAR pairs, CELL_MEMBERS sets or CELL_SHINGLES shingles
+    split = F.broadcast(sides.where("sides > 1"))
+    place = [F.pmod(F.xxhash64(end), F.coalesce("sides", F.lit(1))) for end in ("a", "b")]
+    return pairs.join(split, "at", "left").select("a", "b", F.xxhash64("at", *place).alias("cell"))
 
 
 def sets_of(celled: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -423,3 +423,11 @@ def test_cells_of_many_pairs_or_long_sets_are_split_and_keep_all_pairs(spark, mo
                 map(tuple, pairs.select("a", "b").collect())
             )
             assert found.select("cell").distinct().count() >= least
+
+
+def test_pairs_get_their_cells_without_a_shuffle_by_group(spark):
+    """The pairs of one large group went to one task."""
+    pairs = spark.createDataFrame([(1, 2, 7)], "a long, b long, at long")
+    classes = spark.createDataFrame([(1, 100), (2, 100)], "cid long, n_shingles long")
+    plan = minhash.in_cells(pairs, classes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "strategy=broadcast" in plan
